@@ -70,6 +70,30 @@ def rect_info(arr: pa.Array):
     return is_rect, box
 
 
+def _simple_rings(arr: pa.Array):
+    """Rows that are little-endian single-ring 2-D polygons: their indices, point
+    counts and all their coordinates as one flat ``(m, 2)`` array."""
+    offsets, data, valid = _buffers(arr)
+    start = offsets[:-1]
+    length = np.diff(offsets)
+    cand = np.nonzero(valid & (length >= 13 + 16 * 4))[0]
+    if len(cand) == 0:
+        return cand, np.empty(0, np.int64), np.empty((0, 2)), (offsets, data, valid)
+    s = start[cand]
+    hdr = data[s[:, None] + np.arange(13)]
+    npts = hdr[:, 9:13].astype(np.int64) @ np.array([1, 256, 65536, 16777216], dtype=np.int64)
+    ok = np.all(hdr[:, :9] == _RECT_HEADER[:9], axis=1) & (length[cand] == 13 + 16 * npts)
+    cand, s, npts = cand[ok], s[ok], npts[ok]
+    if len(cand) == 0:
+        return cand, npts, np.empty((0, 2)), (offsets, data, valid)
+    nbytes = 16 * npts
+    total = int(nbytes.sum())
+    first = np.concatenate([[0], np.cumsum(nbytes)[:-1]])
+    gather = np.arange(total) + np.repeat(s + 13 - first, nbytes)
+    xy = np.ascontiguousarray(data[gather]).view("<f8").reshape(-1, 2)
+    return cand, npts, xy, (offsets, data, valid)
+
+
 def bounds(arr: pa.Array) -> np.ndarray:
     """``(n, 4)`` bounding boxes; NaN for NULL or empty geometry."""
     arr = as_array(arr)
@@ -77,29 +101,16 @@ def bounds(arr: pa.Array) -> np.ndarray:
     out = np.full((n, 4), np.nan)
     if n == 0:
         return out
-    offsets, data, valid = _buffers(arr)
-    start = offsets[:-1]
-    length = np.diff(offsets)
+    cand, npts, xy, (offsets, data, valid) = _simple_rings(arr)
     simple = np.zeros(n, dtype=bool)
-    cand = np.nonzero(valid & (length >= 13 + 16 * 4))[0]
     if len(cand):
-        s = start[cand]
-        hdr = data[s[:, None] + np.arange(13)]
-        npts = hdr[:, 9:13].astype(np.int64) @ np.array([1, 256, 65536, 16777216], dtype=np.int64)
-        ok = np.all(hdr[:, :9] == _RECT_HEADER[:9], axis=1) & (length[cand] == 13 + 16 * npts)
-        cand, s, npts = cand[ok], s[ok], npts[ok]
-        if len(cand):
-            nbytes = 16 * npts
-            total = int(nbytes.sum())
-            first = np.concatenate([[0], np.cumsum(nbytes)[:-1]])
-            gather = np.arange(total) + np.repeat(s + 13 - first, nbytes)
-            xy = np.ascontiguousarray(data[gather]).view("<f8").reshape(-1, 2)
-            brk = np.concatenate([[0], np.cumsum(npts)[:-1]])
-            out[cand, 0] = np.minimum.reduceat(xy[:, 0], brk)
-            out[cand, 1] = np.minimum.reduceat(xy[:, 1], brk)
-            out[cand, 2] = np.maximum.reduceat(xy[:, 0], brk)
-            out[cand, 3] = np.maximum.reduceat(xy[:, 1], brk)
-            simple[cand] = True
+        brk = np.concatenate([[0], np.cumsum(npts)[:-1]])
+        out[cand, 0] = np.minimum.reduceat(xy[:, 0], brk)
+        out[cand, 1] = np.minimum.reduceat(xy[:, 1], brk)
+        out[cand, 2] = np.maximum.reduceat(xy[:, 0], brk)
+        out[cand, 3] = np.maximum.reduceat(xy[:, 1], brk)
+        simple[cand] = True
+    start = offsets[:-1]
     for i in np.nonzero(valid & ~simple)[0]:
         c = wkb.parse(data[start[i]:offsets[i + 1]].tobytes()).coords()
         if len(c):
@@ -107,6 +118,22 @@ def bounds(arr: pa.Array) -> np.ndarray:
     return out
 
 
+def polygon_mask(arr: pa.Array) -> np.ndarray:
+    """Rows whose WKB type is Polygon or MultiPolygon (2-D, either byte order)."""
+    arr = as_array(arr)
+    offsets, data, valid = _buffers(arr)
+    out = np.zeros(len(arr), dtype=bool)
+    idx = np.nonzero(valid & (np.diff(offsets) >= 5))[0]
+    if len(idx):
+        s = offsets[:-1][idx]
+        le = data[s] == 1
+        b = data[s[:, None] + np.arange(1, 5)].astype(np.int64)
+        code = np.where(le, b[:, 0] + 256 * b[:, 1] + 65536 * b[:, 2] + 16777216 * b[:, 3],
+                        b[:, 3] + 256 * b[:, 2] + 65536 * b[:, 1] + 16777216 * b[:, 0])
+        out[idx] = (code == 3) | (code == 6)
+    return out
+
+
 def values(arr: pa.Array) -> list:
     return as_array(arr).to_pylist()
 
@@ -168,11 +195,31 @@ def intersection_batch(a, b, keep_geom_type: bool, empty_as_null: bool = False)
                     out[both[k]] = box_contact_bytes(ib[k])
                 elif not empty_as_null:
                     out[both[k]] = wkb.encode(wkb.Shape())
+    done = ra & rb
+    rest = np.nonzero(~done)[0]
+    if len(rest) == 0:
+        return binary(out)
+    # containment: a polygon inside a rectangle is its own intersection with it
+    bxa, bxb = bounds(a), bounds(b)
+    pa_, pb_ = polygon_mask(a), polygon_mask(b)
+    a_in_b = rb & pa_ & (bxa[:, 0] >= bb[:, 0]) & (bxa[:, 1] >= bb[:, 1]) & (bxa[:, 2] <= bb[:, 2]) & (bxa[:, 3] <= bb[:, 3])
+    b_in_a = ra & pb_ & (bxb[:, 0] >= ba[:, 0]) & (bxb[:, 1] >= ba[:, 1]) & (bxb[:, 2] <= ba[:, 2]) & (bxb[:, 3] <= ba[:, 3])
+    # boxes meeting only along an edge or corner share no area
+    ow = np.minimum(bxa[:, 2], bxb[:, 2]) - np.maximum(bxa[:, 0], bxb[:, 0])
+    oh = np.minimum(bxa[:, 3], bxb[:, 3]) - np.maximum(bxa[:, 1], bxb[:, 1])
+    no_area = ~((ow > 0) & (oh > 0))
     av = a.to_pylist()
     bv = b.to_pylist()
-    done = ra & rb
-    for i in range(n):
-        if done[i] or av[i] is None or bv[i] is None:
+    for i in rest:
+        if av[i] is None or bv[i] is None:
+            continue
+        if a_in_b[i]:
+            out[i] = av[i]
+            continue
+        if b_in_a[i]:
+            out[i] = bv[i]
+            continue
+        if keep_geom_type and no_area[i]:
             continue
         sa, sb = wkb.parse(av[i]), wkb.parse(bv[i])
         res = g.intersection(sa, sb, keep_geom_type)
@@ -210,15 +257,26 @@ def intersects_batch(a, b) -> pa.Array:
 def area_batch(arr) -> pa.Array:
     arr = as_array(arr)
     n = len(arr)
-    rect, box = rect_info(arr)
     out = np.zeros(n)
-    out[rect] = (box[rect, 2] - box[rect, 0]) * (box[rect, 3] - box[rect, 1])
-    vals = arr.to_pylist()
-    nulls = np.zeros(n, dtype=bool)
-    for i in np.nonzero(~rect)[0]:
-        if vals[i] is None:
-            nulls[i] = True
-        else:
+    done = np.zeros(n, dtype=bool)
+    cand, npts, xy, (_, _, valid) = _simple_rings(arr)
+    if len(cand):
+        brk = np.concatenate([[0], np.cumsum(npts)[:-1]])
+        # shift every ring to its first vertex: keeps the shoelace exact-ish on large coordinates
+        origin = np.repeat(xy[brk], npts, axis=0)
+        d = xy - origin
+        terms = np.zeros(len(d))
+        terms[:-1] = d[:-1, 0] * d[1:, 1] - d[1:, 0] * d[:-1, 1]
+        ends = brk + npts - 1
+        terms[ends] = 0.0  # no term across two rings
+        out[cand] = np.abs(np.add.reduceat(terms, brk)) / 2.0
+        done[cand] = True
+    vals = None
+    nulls = ~valid
+    rest = np.nonzero(valid & ~done)[0]
+    if len(rest):
+        vals = arr.to_pylist()
+        for i in rest:
             out[i] = g.shape_area(wkb.parse(vals[i]))
     return pa.array(out, mask=nulls)
 

@@ -94,26 +94,35 @@ def _exponent(ext: Column) -> Column:
 
 
 def _side_stats(df: DataFrame, bbox: str) -> dict:
-    """Row count, median extent and the set of extent exponents (bounded: < 2,100 values)."""
-    b = F.col(bbox)
-    ext = _extent(b)
-    row = (
-        df.where(b.isNotNull())
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(ext, 0.5, 1000).alias("med"),
-            F.collect_set(_exponent(ext)).alias("exps"),
-        )
-        .first()
-    )
-    return {"n": int(row["n"] or 0), "med": float(row["med"] or 0.0), "exps": sorted(int(e) for e in row["exps"])}
+    return _stats_both(df, df, bbox)[0]
+
+
+def _stats_both(left: DataFrame, right: DataFrame, bbox: str) -> tuple[dict, dict]:
+    """Per side: row count, median and largest extent.
+
+    One aggregate job over the two bounding-box columns only (partial
+    aggregation on the map side, one row per side reaches the driver)."""
+    slim = (left.select(F.lit(0).alias("side"), F.col(bbox).alias("b"))
+            .unionByName(right.select(F.lit(1).alias("side"), F.col(bbox).alias("b")))
+            .where(F.col("b").isNotNull()))
+    ext = _extent(F.col("b"))
+    rows = {r["side"]: r for r in slim.groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(ext, 0.5, 1000).alias("med"),
+        F.max(ext).alias("top"),
+    ).collect()}
+    out = []
+    for side in (0, 1):
+        r = rows.get(side)
+        if r is None:
+            out.append({"n": 0, "med": 0.0, "top": 0.0})
+        else:
+            out.append({"n": int(r["n"]), "med": float(r["med"] or 0.0), "top": float(r["top"] or 0.0)})
+    return out[0], out[1]
 
 
-def _max_level(exps: list, cell: float, per_axis: int) -> int:
-    """Enough levels for the largest extent seen."""
-    if not exps:
-        return 0
-    top = 2.0 ** (max(exps) + 1)
+def _max_level(top: float, cell: float, per_axis: int) -> int:
+    """Number of thresholds needed so the largest extent gets a level."""
     lim = cell * (per_axis - 2)
     j = 0
     while lim * (2.0 ** j) < top:
@@ -121,14 +130,6 @@ def _max_level(exps: list, cell: float, per_axis: int) -> int:
     return j
 
 
-def _levels_from_exps(exps: list, thresholds: list) -> list:
-    """Levels rows with extents in ``[2**e, 2**(e+1))`` can have (a superset)."""
-    levels = {0}
-    for e in exps:
-        levels.update(range(_level_py(2.0 ** e, thresholds), _level_py(2.0 ** (e + 1), thresholds) + 1))
-    return sorted(levels)
-
-
 def _exact_levels(df: DataFrame, bbox: str, thresholds: list) -> list:
     """Second small aggregate, only run when oversize rows may exist."""
     rows = df.where(F.col(bbox).isNotNull()).agg(
@@ -194,6 +195,7 @@ def candidate_pairs(
     hot_cell_rows: int | None = None,
     salt_hot_cells: bool = True,
     max_hot_cells: int = 10_000,
+    npartitions: int | None = None,
 ) -> tuple[DataFrame, GridPlan]:
     """Pairs whose bounding boxes meet (touching counts), each exactly once.
 
@@ -207,18 +209,16 @@ def candidate_pairs(
     L = L.where(F.col(BBOX).isNotNull())
     R = R.where(F.col(BBOX).isNotNull())
 
-    sl, sr = _side_stats(L, BBOX), _side_stats(R, BBOX)
+    sl, sr = _stats_both(L, R, BBOX)
     per_axis = max(3, int(math.isqrt(max(int(max_cells), 9))))
     if cell_size is None:
         med = max(sl["med"], sr["med"])
         cell_size = 2.0 * med if med > 0 else 1.0
     cell = float(cell_size)
-    thresholds = _thresholds(cell, per_axis, _max_level(sl["exps"] + sr["exps"], cell, per_axis))
-    plan = GridPlan(cell_size=cell, per_axis=per_axis,
-                    levels_left=_levels_from_exps(sl["exps"], thresholds),
-                    levels_right=_levels_from_exps(sr["exps"], thresholds),
-                    rows_left=sl["n"], rows_right=sr["n"])
-    if plan.levels_left != [0] or plan.levels_right != [0]:
+    thresholds = _thresholds(cell, per_axis, _max_level(max(sl["top"], sr["top"]), cell, per_axis))
+    plan = GridPlan(cell_size=cell, per_axis=per_axis, rows_left=sl["n"], rows_right=sr["n"])
+    if _level_py(sl["top"], thresholds) > 0 or _level_py(sr["top"], thresholds) > 0:
+        # oversize rows exist: one more small aggregate gives the exact level sets
         plan.levels_left = _exact_levels(L, BBOX, thresholds)
         plan.levels_right = _exact_levels(R, BBOX, thresholds)
 
@@ -234,19 +234,27 @@ def candidate_pairs(
 
     # ---- hot cells: split the crowded side, replicate the other into each bucket
     hot = None
-    if salt_hot_cells:
-        total = max(plan.rows_left, plan.rows_right, 1)
-        threshold = hot_cell_rows or max(250_000, math.ceil(total / max_hot_cells))
-        hl = (lx.groupBy(*lkeys[:3]).count().where(F.col("count") > threshold)
-                .orderBy(F.desc("count")).limit(max_hot_cells).collect())
-        hr = (rx.groupBy(*rkeys[:3]).count().where(F.col("count") > threshold)
-                .orderBy(F.desc("count")).limit(max_hot_cells).collect())
+    total = max(plan.rows_left, plan.rows_right, 1)
+    threshold = hot_cell_rows or max(250_000, math.ceil(total / max_hot_cells))
+    # a cell holds at most one copy of each row: below the threshold no cell can be hot
+    if salt_hot_cells and total > threshold:
+        slim_l = _explode_cells(L.select(F.col(BBOX).alias("__b")), F.col("__b"), plan.levels_left,
+                                plan.levels_right, cell, thresholds, "__s_").select(
+            F.lit(0).alias("side"), "__s_lvl", "__s_cx", "__s_cy")
+        slim_r = _explode_cells(R.select(F.col(BBOX).alias("__b")), F.col("__b"), plan.levels_right,
+                                plan.levels_left, cell, thresholds, "__s_").select(
+            F.lit(1).alias("side"), "__s_lvl", "__s_cx", "__s_cy")
+        hot_rows = (slim_l.unionByName(slim_r).groupBy("side", "__s_lvl", "__s_cx", "__s_cy").count()
+                    .where(F.col("count") > threshold)
+                    .orderBy(F.desc("count")).limit(2 * max_hot_cells).collect())
+        hl = [(r[1], r[2], r[3], r["count"]) for r in hot_rows if r[0] == 0]
+        hr = [(r[1], r[2], r[3], r["count"]) for r in hot_rows if r[0] == 1]
         if hl or hr:
             counts: dict = {}
             for r in hl:
-                counts.setdefault((r[0], r[1], r[2]), [0, 0])[0] = r["count"]
+                counts.setdefault((r[0], r[1], r[2]), [0, 0])[0] = r[3]
             for r in hr:
-                counts.setdefault((r[0], r[1], r[2]), [0, 0])[1] = r["count"]
+                counts.setdefault((r[0], r[1], r[2]), [0, 0])[1] = r[3]
             rows = [(k[0], k[1], k[2], int(math.ceil(max(a, b) / threshold)), a >= b)
                     for k, (a, b) in counts.items()]
             rows = [r for r in rows if r[3] > 1]
@@ -276,6 +284,17 @@ def candidate_pairs(
             else:
                 lx = F.broadcast(lx)
 
+    if plan.broadcast_side is None:
+        # sort-merge join on the cell key: no unchecked broadcast of exploded rows (Spark's size
+        # estimate of a generator's output is a guess), and AQE can split skewed cells
+        lx = lx.hint("merge")
+    else:
+        # the streamed side is split evenly so the clip kernel runs on every core
+        n = npartitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        if plan.broadcast_side == "right":
+            lx = lx.repartition(n)
+        else:
+            rx = rx.repartition(n)
     cond = [lx[a] == rx[b] for a, b in zip(lkeys, rkeys)]
     joined = lx.join(rx, cond, "inner")
     lvl = F.col("__l_lvl")
@@ -380,6 +399,6 @@ def spatial_join_sql(spark, left_view: str, right_view: str, select: str, cell_s
 def choose_cell_size(left: DataFrame, right: DataFrame, left_geometry: str = "geometry",
                      right_geometry: str = "geometry") -> float:
     """Twice the larger of the two median feature extents (two small aggregates)."""
-    med = max(_side_stats(with_bbox(left, left_geometry), BBOX)["med"],
-              _side_stats(with_bbox(right, right_geometry), BBOX)["med"])
+    sl, sr = _stats_both(with_bbox(left, left_geometry), with_bbox(right, right_geometry), BBOX)
+    med = max(sl["med"], sr["med"])
     return 2.0 * med if med > 0 else 1.0

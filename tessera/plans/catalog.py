@@ -414,3 +414,133 @@ def sort_by_hash(spark, sf_dir):
     return (o.select("building_oid", "parcel_oid", geohash(cx, cy, 5).alias("geom_hash"),
                      grid_hash(cx, cy, 50.0).alias("grid_hash"))
              .orderBy("geom_hash", "grid_hash"))
+
+
+# ------------------------------------------------------------ whole job
+
+def _dedup_first_sql(base: str, key: str) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY source_file, record_no) AS rn
+  FROM ({base}) x) y WHERE rn = 1"""
+
+
+JOB_SQL = f"""WITH b AS ({_dedup_first_sql(B_COUNTIES, 'building_oid')}),
+p AS ({_dedup_first_sql(P_COUNTIES, 'parcel_oid')})
+SELECT b.building_oid, b.funktion, p.parcel_oid, p.nutzart, {W} * {H} AS area,
+       {geohash_sql(_CX, _CY, 5)} AS geom_hash, {grid_hash_sql(_CX, _CY, 1000.0)} AS grid_hash
+FROM b JOIN p ON {STRICT}"""
+
+
+@query("overlay_job", JOB_SQL)
+def overlay_job(spark, sf_dir):
+    """The reference job on county layers: keep-first dedup, repair, overlay, location keys, global sort."""
+    from .job import location_ordered, prepare, with_location_keys
+
+    b = prepare(fx.buildings_counties(spark, sf_dir).withColumnRenamed("building_oid", "oid"),
+                ["oid", "funktion"], "first", "all")
+    p = prepare(fx.parcels_counties(spark, sf_dir).withColumnRenamed("parcel_oid", "oid"),
+                ["oid", "nutzart"], "first", "all")
+    o = overlay(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "parcel_oid"))
+    o = location_ordered(with_location_keys(o))
+    return o.select("building_oid", "funktion", "parcel_oid", "nutzart", st_area("geometry").alias("area"),
+                    "geom_hash", "grid_hash")
+
+
+# ----------------------------------------------------------- file formats
+
+_WRITTEN: dict = {}
+
+
+def county_shapefiles(spark, sf_dir) -> str:
+    """Write F4 as per-county shapefiles once per session and data folder; returns the root."""
+    from ..session import register, scratch_dir
+    from .job import BUILDINGS_LAYER, PARCELS_LAYER
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _WRITTEN:
+        return _WRITTEN[key]
+    register(spark)
+    root = scratch_dir(spark, "shapefiles")
+    b = fx.buildings_counties(spark, sf_dir).select(
+        F.col("building_oid").alias("oid"), "aktualit", "funktion", "county", "geometry")
+    p = fx.parcels_counties(spark, sf_dir).select(
+        F.col("parcel_oid").alias("oid"), "nutzart", "bez", "county", "geometry")
+    for df, layer in ((b, BUILDINGS_LAYER), (p, PARCELS_LAYER)):
+        (df.repartition("county").write.format("shp").mode("overwrite")
+           .option("layer", layer).option("partitionBy", "county").save(root))
+    _WRITTEN[key] = root
+    return root
+
+
+def _read_shp(spark, root, layer, columns=None):
+    from .job import read_layer
+
+    return read_layer(spark, f"{root}/*/{layer}.shp", columns)
+
+
+@query("shapefile_roundtrip", f"""SELECT building_oid, funktion, aktualit, county,
+       (maxx - minx) * (maxy - miny) AS area FROM ({B_COUNTIES}) b""")
+def shapefile_roundtrip(spark, sf_dir):
+    """Write county shapefiles, read them back as one layer (record-range splits)."""
+    root = county_shapefiles(spark, sf_dir)
+    df = _read_shp(spark, root, "GebauedeBauwerk")
+    return df.select(F.col("oid").alias("building_oid"), "funktion", "aktualit",
+                     F.col("county").cast("int").alias("county"), st_area("geometry").alias("area"))
+
+
+@query("shapefile_columns", f"SELECT building_oid, county FROM ({B_COUNTIES}) b")
+def shapefile_columns(spark, sf_dir):
+    """S3: scan with a column list (unlisted DBF fields are not decoded)."""
+    root = county_shapefiles(spark, sf_dir)
+    df = _read_shp(spark, root, "GebauedeBauwerk", ["oid"])
+    return df.select(F.col("oid").alias("building_oid"), F.col("county").cast("int").alias("county"))
+
+
+@query("shapefile_counties_paired", f"""SELECT building_oid, county FROM ({B_COUNTIES}) b
+WHERE county IN (SELECT county FROM ({P_COUNTIES}) p)""")
+def shapefile_counties_paired(spark, sf_dir):
+    """Only counties that hold both layers."""
+    from .job import paired_counties
+
+    root = county_shapefiles(spark, sf_dir)
+    b, p = paired_counties(_read_shp(spark, root, "GebauedeBauwerk", ["oid"]),
+                           _read_shp(spark, root, "NutzungFlurstueck", ["oid"]))
+    return b.select(F.col("oid").alias("building_oid"), F.col("county").cast("int").alias("county"))
+
+
+@query("shapefile_overlay_job", JOB_SQL)
+def shapefile_overlay_job(spark, sf_dir):
+    """The whole job from shapefiles to GeoParquet (K1/K2), read back with the Parquet reader."""
+    from ..session import scratch_dir
+    from .job import run
+
+    root = county_shapefiles(spark, sf_dir)
+    out = scratch_dir(spark, "job-output")
+    run(spark, [f"{root}-absent", root], out)
+    df = spark.read.parquet(out)
+    return df.select("building_oid", "funktion", F.col("flur_oid").alias("parcel_oid"), "nutzart",
+                     st_area("geometry").alias("area"), "geom_hash", "grid_hash")
+
+
+@query("geoparquet_roundtrip", OVERLAY_SQL)
+def geoparquet_roundtrip(spark, sf_dir):
+    """K1/K2: overlay written as GeoParquet (zstd, CRS in the footer), read back."""
+    from ..session import register, scratch_dir
+
+    register(spark)
+    out = scratch_dir(spark, "gpq")
+    b, p = _layers(spark, sf_dir)
+    (overlay(b, p).write.format("gpq").mode("overwrite").option("crs", "EPSG:25833")
+        .option("compression", "zstd").save(out))
+    return _overlay_out(spark.read.parquet(out))
+
+
+@query("table_append", f"SELECT building_oid, funktion, county FROM ({B_COUNTIES}) b")
+def table_append(spark, sf_dir):
+    """Append county layers one by one into a Parquet table, read it back."""
+    from ..session import scratch_dir
+
+    path = scratch_dir(spark, "table")
+    df = fx.buildings_counties(spark, sf_dir).select("building_oid", "funktion", "county")
+    for c in range(4):
+        df.where(F.col("county") == c).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
