@@ -353,6 +353,8 @@ def view_after_repair(spark, sf_dir):
     register(spark)
     b, p = _layers(spark, sf_dir)
     ids = overlay(b.select("building_oid", "geometry", "bbox"), p.select("parcel_oid", "geometry", "bbox"))
+    for v in ("tessera_intersection", "tessera_bs", "tessera_ps"):
+        spark.sql(f"DROP VIEW IF EXISTS {v}")  # K6
     repair(ids, when="invalid").createOrReplaceTempView("tessera_intersection")
     b.drop("geometry", "bbox").createOrReplaceTempView("tessera_bs")
     p.drop("geometry", "bbox").createOrReplaceTempView("tessera_ps")
@@ -542,5 +544,8 @@ def table_append(spark, sf_dir):
     path = scratch_dir(spark, "table")
     df = fx.buildings_counties(spark, sf_dir).select("building_oid", "funktion", "county")
     for c in range(4):
-        df.where(F.col("county") == c).write.mode("append").parquet(path)
+        # One parameterised statement, run once per county file
+        part = spark.sql("SELECT building_oid, funktion, county FROM {layer} WHERE county = :county",
+                         args={"county": c}, layer=df)
+        part.write.mode("append").parquet(path)
     return spark.read.parquet(path)

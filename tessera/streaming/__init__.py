@@ -1,0 +1,5 @@
+"""Streaming: nothing here on purpose.
+
+The reference job is batch only (no watermarks, windows, state or late
+data), so no streaming operator is built.
+"""
