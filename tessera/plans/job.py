@@ -88,8 +88,24 @@ def with_location_keys(df: DataFrame, cell: float = 1000.0) -> DataFrame:
               .drop("__bb"))
 
 
-def location_ordered(df: DataFrame, single_file: bool = False) -> DataFrame:
-    """Global order by location: range exchange + sort (``single_file`` coalesces to one task)."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a fresh folder under the shared checkpoint folder and read it back."""
+    from ..session import scratch_dir
+
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def location_ordered(df: DataFrame, single_file: bool = False, materialize: bool = True) -> DataFrame:
+    """Global order by location: range exchange + sort (``single_file`` coalesces to one task).
+
+    The range exchange samples its input in a separate job; on an overlay that
+    would run the clip kernels twice, so the input is first written once as a
+    Parquet table under the shared ``spark.checkpoint.dir`` and read back
+    (lineage cut; ``checkpoint()`` itself would recompute the input)."""
+    if materialize:
+        df = written(df, "overlay")
     out = df.orderBy("geom_hash", "grid_hash")
     return out.coalesce(1) if single_file else out
 

@@ -38,11 +38,8 @@ class GeoParquetDataSource(DataSource):
 
 
 def _types_and_bbox(arr: pa.Array):
-    names = set()
-    vals = arr.to_pylist()
-    for v in vals:
-        if v is not None:
-            names.add(wkb.TYPE_NAMES.get(wkb.header_type(v), "Unknown"))
+    codes = batch.type_codes(arr)
+    names = {wkb.TYPE_NAMES.get(int(c), "Unknown") for c in np.unique(codes[codes > 0])}
     b = batch.bounds(arr)
     ok = ~np.isnan(b[:, 0])
     box = [float(b[ok, 0].min()), float(b[ok, 1].min()), float(b[ok, 2].max()), float(b[ok, 3].max())] if ok.any() else None
