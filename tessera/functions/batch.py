@@ -297,11 +297,18 @@ def area_batch(arr) -> pa.Array:
     return pa.array(out, mask=nulls)
 
 
-def map_rows(arr, fn, type_, rect_value=None) -> pa.Array:
-    """Apply ``fn(bytes)`` per row; rectangles can short-circuit with ``rect_value(bytes)``."""
+def map_rows(arr, fn, type_, rect_value=None, rect_keeps_input: bool = False) -> pa.Array:
+    """Apply ``fn(bytes)`` per row; rectangles short-circuit with ``rect_value(bytes)``.
+
+    ``rect_keeps_input`` says ``rect_value`` is the identity; otherwise it must
+    not depend on its argument.  A batch of rectangles only skips the row loop."""
     arr = as_array(arr)
+    rect = rect_info(arr)[0] if rect_value is not None else np.zeros(len(arr), bool)
+    if rect_value is not None and len(arr) and rect.all():
+        if rect_keeps_input:
+            return arr if arr.type == type_ else arr.cast(type_)
+        return pa.array([rect_value(None)] * len(arr), type=type_)
     vals = arr.to_pylist()
-    rect = rect_info(arr)[0] if rect_value is not None else np.zeros(len(vals), bool)
     out = []
     for v, r in zip(vals, rect):
         if v is None:

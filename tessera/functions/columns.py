@@ -73,7 +73,7 @@ def _is_valid_udf(g: pa.Array) -> pa.Array:
 
 @arrow_udf(BinaryType())
 def _make_valid_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.make_valid_one, pa.binary(), rect_value=lambda v: v)
+    return batch.map_rows(g, batch.make_valid_one, pa.binary(), rect_value=lambda v: v, rect_keeps_input=True)
 
 
 @arrow_udf(BinaryType())
@@ -83,7 +83,7 @@ def _multi_udf(g: pa.Array) -> pa.Array:
 
 @arrow_udf(BinaryType())
 def _polygonal_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.polygonal_one, pa.binary(), rect_value=lambda v: v)
+    return batch.map_rows(g, batch.polygonal_one, pa.binary(), rect_value=lambda v: v, rect_keeps_input=True)
 
 
 @arrow_udf(StringType())
