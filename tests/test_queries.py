@@ -4,9 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
-
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from tessera.plans.catalog import ORACLE, QUERIES
 
 
 def _rows(values):
