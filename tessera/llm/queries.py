@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontaminate, language_id, secret_scan, simhash
+from . import best_fit_packing, decontaminate, language_id, license_scan, metric_search, ring_sharding, secret_scan, simhash
 from ._work import ship, written
 
 QUERIES: dict = {}
@@ -38,6 +38,22 @@ def op1_best_fit_packing(spark, sf_dir):
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query
+def op2_metric_search(spark, sf_dir):
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op2_metric_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 @query
 def op3_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +67,19 @@ def op3_secret_scan(spark, sf_dir):
         F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+@query
+def op5_ring_sharding(spark, sf_dir):
+    placed = ring_sharding.assign(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op7_simhash(spark, sf_dir):
     found = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
