@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontaminate, language_id, license_scan, metric_search, ring_sharding, secret_scan, simhash
+from . import best_fit_packing, decontaminate, language_id, license_scan, metric_search, ring_sharding, secret_scan, simhash, substring_dedup
 from ._work import ship, written
 
 QUERIES: dict = {}
@@ -107,3 +107,9 @@ def op9_language_id(spark, sf_dir):
     model = language_model(docs)
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language_id.predicted(F.col("text"), model).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query
+def op10_substring_dedup(spark, sf_dir):
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
