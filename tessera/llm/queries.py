@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontaminate, language_id, license_scan, metric_search, ring_sharding, secret_scan, simhash, substring_dedup
+from . import best_fit_packing, decontaminate, language_id, license_scan, metric_search, ring_sharding, secret_scan, simhash, substring_dedup, suffix_dedup
 from ._work import ship, written
 
 QUERIES: dict = {}
@@ -67,6 +67,12 @@ def op3_secret_scan(spark, sf_dir):
         F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op5_ring_sharding(spark, sf_dir):
     placed = ring_sharding.assign(table(spark, sf_dir, "documents"), shards=24)
