@@ -26,21 +26,14 @@ def maybe_in(df: DataFrame, ref: str, refs: DataFrame) -> tuple[DataFrame, DataF
 
     A bitmap of fixed size, only a saving: the first part is joined exactly afterwards.
     """
-    place = F.pmod(F.xxhash64(ref), F.lit(1 << FILTER_BITS))
-    # Spark's bitmaps count from 1
-    maps = (refs.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).toArrow())
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for b, m in zip(maps.column("b").to_pylist(), maps.column("m").to_pylist(), strict=True):
-        bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def held(places: pa.Array) -> pa.Array:
-        p = places.to_numpy()
-        return pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
-
-    return df.where(held(place)), df.where(~held(place))
+    place = F.pmod(F.xxhash64(ref), F.lit(1 << FILTER_BITS)) + 1  # Spark's bitmaps count from 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = refs.select(bucket.alias("bits_of"), bit.alias("bit")).groupBy("bits_of").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    # at most 2**FILTER_BITS bits in all
+    tested = df.join(F.broadcast(maps), bucket == F.col("bits_of"), "left")
+    return tested.where(held).select(*df.columns), tested.where(~held).select(*df.columns)
 
 
 def adjacent(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +69,7 @@ def batch(names: list[str], columns: list) -> pa.RecordBatch:
 class Chunks:
     """Collects arrays column by column and hands them over once there are enough rows."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 400_000):
         self.limit, self.rows, self.parts = limit, 0, []
 
     def add(self, *columns: np.ndarray) -> bool:

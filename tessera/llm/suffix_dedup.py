@@ -153,7 +153,7 @@ def _edges(length: int, splitters: np.ndarray):
                              w2[rows].view(np.int32), ref[rows], pos[rows] << 16 | 1 << 8, state])
 
     def run(batches):
-        chunks = Chunks(1_000_000)
+        chunks = Chunks()
         name, w_a, w_b = rollers()
         for b in batches:
             for k, (ref, data) in enumerate(zip(b.column(0).to_pylist(), _texts(b, 1), strict=True)):
@@ -183,7 +183,7 @@ def _edges(length: int, splitters: np.ndarray):
     return run
 
 
-def _bucket(length: int, at_once: int = 2_000_000):
+def _bucket(length: int, at_once: int = 400_000):
     """A bucket's suffixes -> (ref, place) of runs of strings that stand elsewhere too."""
 
     def sort(h, place, ref, strings):
