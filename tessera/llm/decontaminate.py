@@ -1,7 +1,7 @@
 """Benchmark decontamination: BM25 with block-max WAND, then question and answer overlap.
 
-Test items form an inverted index: per word its items with BM25 impacts, in
-blocks with their largest impact.  Impacts are divided by the item's score
+Test items form an inverted index: per word its items with BM25 impacts, and
+per block of items the largest impact.  Impacts are divided by the item's score
 against itself, so a passage scores 1 if it has every word of the item, and
 one threshold serves items of any length.
 
@@ -26,8 +26,7 @@ passage; other columns are not read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,21 +57,27 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Index:
+    """Inverted index.  Blocks are ranges of item numbers, the same for every word."""
+
     items: list
     sides: list[tuple[list[str], list[str]]]
     vocabulary: dict[str, int]
-    postings: list[list[int]] = field(default_factory=list)
-    impacts: list[list[float]] = field(default_factory=list)
-    ends: list[list[int]] = field(default_factory=list)  # last item of each block
-    tops: list[list[float]] = field(default_factory=list)  # largest impact of each block
-    top: np.ndarray | None = None  # largest impact of each word
-    passage: int = 64
+    passage: int
+    block: int
+    top: np.ndarray  # largest impact of each word
+    starts: np.ndarray  # of a word's postings
+    item: np.ndarray
+    impact: np.ndarray
+    block_starts: np.ndarray  # of a word's blocks
+    block_of: np.ndarray
+    block_rows: np.ndarray  # first posting of each word's block
+    block_top: np.ndarray  # largest impact of the word in the block
 
 
 def build(items: list, texts: list[str], df: dict[str, int], n_items: int, mean_words: float, longest: int, block: int) -> Index:
     """Index of some items under the statistics of all items."""
-    index = Index(items, [question_answer(t) for t in texts], {}, passage=max(64, 2 * longest))
-    rows: list[list[tuple[int, float]]] = []
+    vocabulary: dict[str, int] = {}
+    rows: list[tuple[int, int, float]] = []
     for i, text in enumerate(texts):
         words = words_of(text)
         counts: dict[str, int] = {}
@@ -81,63 +86,69 @@ def build(items: list, texts: list[str], df: dict[str, int], n_items: int, mean_
         norm = K1 * (1 - B + B * len(words) / max(mean_words, 1e-9))
         impact = {w: np.log1p((n_items - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in counts.items()}
         own = sum(impact.values())
-        for w, x in impact.items():
-            if w not in index.vocabulary:
-                index.vocabulary[w] = len(rows)
-                rows.append([])
-            rows[index.vocabulary[w]].append((i, float(x / own)))
-    for row in rows:
-        index.postings.append([i for i, _ in row])
-        index.impacts.append([x for _, x in row])
-        cut = range(0, len(row), block)
-        index.ends.append([row[min(a + block, len(row)) - 1][0] for a in cut])
-        index.tops.append([max(x for _, x in row[a : a + block]) for a in cut])
-    index.top = np.array([max(t) for t in index.tops] or [0.0])
-    return index
-
-
-def block_max_wand(index: Index, terms: list[int], least: float, block: int) -> list[tuple[int, float]]:
-    """All items with a summed impact of ``least`` or more for the query terms."""
-    n_items, slack = len(index.items), 1e-9
-    lists = [[index.postings[t][0], 0, t] for t in terms]  # current item, place, term
-    found = []
-    while lists:
-        lists.sort(key=lambda c: c[0])
-        bound, pivot = 0.0, -1
-        for k, c in enumerate(lists):
-            bound += index.top[c[2]]
-            if bound >= least - slack:
-                pivot = k
-                break
-        if pivot < 0:
-            break
-        item = lists[pivot][0]
-        while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-            pivot += 1
-        bound, last = 0.0, n_items
-        for c in lists[: pivot + 1]:
-            ends = index.ends[c[2]]
-            b = bisect_left(ends, item)
-            if b < len(ends):
-                bound += index.tops[c[2]][b]
-                last = min(last, ends[b])
-        if bound < least - slack:  # no item up to the nearest block end, or the next list's item, can reach it
-            goal = min(last + 1, lists[pivot + 1][0] if pivot + 1 < len(lists) else n_items)
-            goal = max(goal, item + 1)
-            moving = lists[: pivot + 1]
-        elif lists[0][0] == item:
-            score = sum(index.impacts[c[2]][c[1]] for c in lists[: pivot + 1])
-            if score >= least - slack:
-                found.append((item, score))
-            goal, moving = item + 1, lists[: pivot + 1]
-        else:
-            goal, moving = item, [c for c in lists[:pivot] if c[0] < item]
-        for c in moving:
-            at = bisect_left(index.postings[c[2]], goal, c[1])
-            c[1] = at
-            c[0] = index.postings[c[2]][at] if at < len(index.postings[c[2]]) else n_items
-        lists = [c for c in lists if c[0] < n_items]
-    return found
+        rows += [(vocabulary.setdefault(w, len(vocabulary)), i, float(x / own)) for w, x in impact.items()]
+    rows.sort()
+    word, item = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    impact = np.array([r[2] for r in rows])
+    n = len(vocabulary)
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (item[1:] // block != item[:-1] // block)]) if len(rows) else np.zeros(0, np.int64)
+    starts = np.searchsorted(word, np.arange(n + 1))
+    return Index(items, [question_answer(t) for t in texts], vocabulary, max(64, 2 * longest), block,
+                 np.maximum.reduceat(impact, starts[:-1]) if n else np.zeros(0), starts, item, impact,
+                 np.searchsorted(word[first], np.arange(n + 1)), item[first] // block, np.r_[first, len(rows)],
+                 np.maximum.reduceat(impact, first) if len(first) else np.zeros(0))
+
+
+def _expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each term in a table sorted by term, and for each such row the place of its term in ``terms``."""
+    size = starts[terms + 1] - starts[terms]
+    of = np.repeat(np.arange(len(terms)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[terms], size), of
+
+
+def block_max_wand(index: Index, passage: np.ndarray, term: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """All (passage, item, score) with a score of ``least`` or more, for passages given as their distinct terms.
+
+    Document-at-a-time WAND looks only at items from the pivot word on; here
+    that is done for all items of a block at once.  A passage's words, weakest
+    first, cannot reach the threshold before its pivot, so an item needs a word
+    from the pivot on.  Blocks are ruled out by the block maxima of those words
+    and the total of the weaker ones; then by the block maxima of all words;
+    only what is left is scored.
+    """
+    least = least - 1e-9
+    order = np.lexsort((index.top[term], passage))
+    passage, term = passage[order], term[order]
+    top = index.top[term]
+    total = np.cumsum(top)
+    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    size = np.diff(np.r_[first, len(passage)])
+    so_far = total - np.repeat(total[first] - top[first], size)
+    strong = so_far >= least  # the pivot and the words after it
+    weak = np.bincount(passage, np.where(strong, 0.0, top))
+    p, t = passage[strong], term[strong]
+    at, of = _expand(index.block_starts, t)
+    blocks = int(index.block_of.max(initial=0)) + 1
+    n = int(passage[-1]) + 1
+    bound = np.bincount(p[of] * blocks + index.block_of[at], index.block_top[at], n * blocks).reshape(n, blocks)
+    open_blocks = bound + weak[:, None] >= least
+    able = open_blocks.any(axis=1)[passage]
+    passage, term = passage[able], term[able]
+    at, of = _expand(index.block_starts, term)
+    p = passage[of]
+    open_here = open_blocks[p, index.block_of[at]]
+    p, at, of = p[open_here], at[open_here], of[open_here]
+    bound = np.bincount(p * blocks + index.block_of[at], index.block_top[at], n * blocks).reshape(n, blocks)
+    open_blocks = bound >= least
+    keep = open_blocks[p, index.block_of[at]]
+    p, at = p[keep], at[keep]
+    if not len(p):
+        return []
+    # postings of the blocks that are left
+    rows, of = _expand(index.block_rows, at)
+    items = len(index.items)
+    score = np.bincount(p[of] * items + index.item[rows], index.impact[rows], n * items)
+    return [(int(k) // items, int(k) % items, float(score[k])) for k in np.flatnonzero(score >= least)]
 
 
 def _overlap(part: list[str], grams: dict[int, set], words: list[str], size: int = 3) -> float:
@@ -151,7 +162,7 @@ def _overlap(part: list[str], grams: dict[int, set], words: list[str], size: int
     return len(own & grams[size]) / len(own)
 
 
-def leaks(text: str | None, index: Index, least: float, question: float, answer: float, block: int) -> list[dict]:
+def leaks(text: str | None, index: Index, least: float, question: float, answer: float) -> list[dict]:
     """Items that leak into a text, each with its best passage."""
     words = words_of(text)
     if not words or not index.vocabulary:
@@ -168,29 +179,27 @@ def leaks(text: str | None, index: Index, least: float, question: float, answer:
     before[order[1:][again]] = at[order[:-1][again]]
     stride = index.passage // 2
     n = max(1, -(-(len(words) - stride) // stride))
-    bound = np.zeros(n + 1)
+    parts = []
     for back in (0, 1):
         p = at // stride - back
-        start = p * stride
-        counts = (p >= 0) & (p < n) & (before < start)
-        bound += np.bincount(p[counts], index.top[term[counts]], n + 1)
+        counts = (p >= 0) & (p < n) & (before < p * stride)  # a word's first occurrence in passage p
+        parts.append((p[counts], term[counts]))
+    passage, term = (np.concatenate(x) for x in zip(*parts, strict=True))
+    able = np.bincount(passage, index.top[term], n) >= least - 1e-6
+    passage, term = passage[able[passage]], term[able[passage]]
+    if not len(passage):
+        return []
     best: dict[int, dict] = {}
-    for p in np.flatnonzero(bound[:n] >= least - 1e-6).tolist():
-        start = p * stride
-        inside = ids[start : start + index.passage]
-        terms = np.unique(inside[inside >= 0]).tolist()
-        hits = block_max_wand(index, terms, least, block)
-        if not hits:
-            continue
-        passage, grams = words[start : start + index.passage], {}
-        for item, score in hits:
-            q, a = (_overlap(side, grams, passage) for side in index.sides[item])
-            if q >= question and a >= answer and score > best.get(item, {"score": -1.0})["score"]:
-                best[item] = {"item": item, "passage": start, "score": score, "question": q, "answer": a}
+    shown: dict[int, tuple[list[str], dict]] = {}
+    for p, item, score in block_max_wand(index, passage, term, least):
+        inside, grams = shown.setdefault(p, (words[p * stride : p * stride + index.passage], {}))
+        q, a = (_overlap(side, grams, inside) for side in index.sides[item])
+        if q >= question and a >= answer and score > best.get(item, {"score": -1.0})["score"]:
+            best[item] = {"item": item, "passage": p * stride, "score": score, "question": q, "answer": a}
     return [best[i] for i in sorted(best)]
 
 
-def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", shard_items: int = 20_000, block: int = 64):
+def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", shard_items: int = 20_000, block: int = 8):
     """The index shards of a table of test items, one after the other."""
     ship(items)
     rows = items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -215,7 +224,7 @@ def _split(text: str) -> Column:
     return split(text)
 
 
-def leaked(text: Column, index: Index, *, least: float = 0.6, question: float = 0.5, answer: float = 0.5, block: int = 64) -> Column:
+def leaked(text: Column, index: Index, *, least: float = 0.6, question: float = 0.5, answer: float = 0.5) -> Column:
     """Column: the items of one index shard that leak into a text (``item`` is the item's id)."""
     from pyspark.sql import SparkSession
 
@@ -224,7 +233,7 @@ def leaked(text: Column, index: Index, *, least: float = 0.6, question: float =
     @F.arrow_udf(HIT)
     def find(texts: pa.Array) -> pa.Array:
         ix = shared.value
-        rows = [leaks(t, ix, least, question, answer, block) for t in texts.to_pylist()]
+        rows = [leaks(t, ix, least, question, answer) for t in texts.to_pylist()]
         for row in rows:
             for hit in row:
                 hit["item"] = ix.items[hit["item"]]
