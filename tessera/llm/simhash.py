@@ -118,7 +118,7 @@ def bit_sliced(fps: np.ndarray, bucket: np.ndarray, radius: int, chunk: int = 1
     used = np.packbits((row_of >= 0).astype(np.uint8), bitorder="little").view("<u8")
     per_row = np.repeat(words, sizes)
     last = np.cumsum(per_row)
-    width = radius.bit_length()
+    width = max(1, radius.bit_length())
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(last, (last[at - 1] if at else 0) + chunk, "right")))
