@@ -47,7 +47,7 @@ class WordIds:
     others go through the tokenizer itself.  Both caches are bounded.
     """
 
-    CACHED_WORDS, CACHED_PARTS = 600_000, 1_000_000
+    CACHED_WORDS, CACHED_PARTS = 200_000, 300_000
     #: Fixed by the vocabulary file: its split pattern, for words of these characters.
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
