@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import st_is_valid, st_make_valid, st_multi
 
 
-def repair(df: DataFrame, geometry: str = "geometry", when: str = "all") -> DataFrame:
-    """Replace the geometry by a valid one; NULL stays NULL.
-
-    ``when="all"`` repairs every row, ``when="invalid"`` only rows that fail
-    ``st_is_valid``.  Both give the same rows: ``st_make_valid`` returns valid
-    input byte-for-byte unchanged after its own validity check.  Python UDFs do
-    not short-circuit inside ``CASE``, so writing ``"invalid"`` as
-    ``CASE WHEN NOT st_is_valid(g) THEN st_make_valid(g) ELSE g END`` would run
-    two kernel passes over every row; both forms therefore run the one pass.
+def repair(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """Replace every invalid geometry by a valid one; NULL stays NULL.
+
+    ``st_make_valid`` checks validity itself and returns valid input byte for
+    byte, so repairing all rows and repairing only the invalid ones is one and
+    the same pass.
     """
-    if when not in ("all", "invalid"):
-        raise ValueError("when must be 'all' or 'invalid'")
     return df.withColumn(geometry, st_make_valid(F.col(geometry)))
 
 

@@ -93,10 +93,6 @@ def _exponent(ext: Column) -> Column:
     return F.when(F.pow(F.lit(2.0), e + 1) <= ext, e + 1).otherwise(e)
 
 
-def _side_stats(df: DataFrame, bbox: str) -> dict:
-    return _stats_both(df, df, bbox)[0]
-
-
 def _stats_both(left: DataFrame, right: DataFrame, bbox: str) -> tuple[dict, dict]:
     """Per side: row count, median and largest extent.
 
@@ -138,12 +134,8 @@ def _exact_levels(df: DataFrame, bbox: str, thresholds: list) -> list:
 
 
 def _default_max_broadcast(spark) -> int:
-    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        n = int(str(v).lower().replace("b", ""))
-    except ValueError:
-        n = 10 * 1024 * 1024
-    return max(n, 0)
+    """Spark's own limit; -1 (broadcast off) allows none."""
+    return max(0, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
 
 
 def _explode_cells(df: DataFrame, bbox: Column, own_levels: list, other_levels: list,
@@ -166,19 +158,25 @@ def _explode_cells(df: DataFrame, bbox: Column, own_levels: list, other_levels:
               .withColumn(cy, F.explode(F.sequence(y0, y1))))
 
 
-def _salted(df: DataFrame, hot: DataFrame | None, keys: list, split_flag: str, basis: Column,
-            salt: str) -> DataFrame:
-    if hot is None:
-        return df.withColumn(salt, F.lit(0))
-    h = hot.select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(["lvl", "cx", "cy"])],
-                   F.col("s").alias("__hot_s"), F.col(split_flag).alias("__hot_split"))
-    cond = [df[k] == h[f"__hot_{i}"] for i, k in enumerate(keys)]
-    j = df.join(F.broadcast(h), cond, "left")
-    s = F.col("__hot_s")
-    salts = (F.when(s.isNull(), F.array(F.lit(0).cast("long")))
-              .when(F.col("__hot_split"), F.array(F.pmod(F.xxhash64(basis), s.cast("long"))))
-              .otherwise(F.sequence(F.lit(0).cast("long"), (s - 1).cast("long"))))
-    return j.withColumn(salt, F.explode(salts)).drop(*[c for c in h.columns])
+def _hot_cells(lx: DataFrame, rx: DataFrame, rows: int) -> DataFrame:
+    """Cells whose candidate pairs exceed ``rows ** 2``, with the number of parts of each side."""
+    def count(df, p, n):
+        return df.groupBy(*[F.col(f"{p}{c}").alias(f"__hot_{c}") for c in ("lvl", "cx", "cy")]).agg(F.count("*").alias(n))
+
+    both = count(lx, "__l_", "nl").join(count(rx, "__r_", "nr"), ["__hot_lvl", "__hot_cx", "__hot_cy"])
+    return (both.where(F.col("nl").cast("double") * F.col("nr") > float(rows) ** 2)
+            .select("__hot_lvl", "__hot_cx", "__hot_cy", F.ceil(F.col("nl") / rows).alias("__hot_s"), F.ceil(F.col("nr") / rows).alias("__hot_t")))
+
+
+def _salted(df: DataFrame, hot: DataFrame, small: bool, prefix: str, left: bool, basis: Column) -> DataFrame:
+    """Deal a hot cell's rows over s x t buckets: a row has one part of its own side and meets all parts of the other."""
+    h = F.broadcast(hot) if small else hot.hint("merge")
+    j = df.join(h, [df[f"{prefix}{c}"] == hot[f"__hot_{c}"] for c in ("lvl", "cx", "cy")], "left")
+    s, t = F.col("__hot_s"), F.col("__hot_t")
+    own = F.pmod(F.xxhash64(basis), s if left else t)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), (t if left else s) - 1), lambda o: own * t + o if left else o * t + own)
+    salts = F.when(s.isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)
+    return j.withColumn(f"{prefix}salt", F.explode(salts)).drop(*hot.columns)
 
 
 def candidate_pairs(
@@ -192,9 +190,8 @@ def candidate_pairs(
     partition_by: list | None = None,
     broadcast: str | None = None,
     max_broadcast_bytes: int | None = None,
-    hot_cell_rows: int | None = None,
+    hot_cell_rows: int = 20_000,
     salt_hot_cells: bool = True,
-    max_hot_cells: int = 10_000,
     npartitions: int | None = None,
 ) -> tuple[DataFrame, GridPlan]:
     """Pairs whose bounding boxes meet (touching counts), each exactly once.
@@ -232,49 +229,29 @@ def candidate_pairs(
     lkeys = ["__l_lvl", "__l_cx", "__l_cy"] + [f"__lk_{k}" for k in partition_by]
     rkeys = ["__r_lvl", "__r_cx", "__r_cy"] + [f"__rk_{k}" for k in partition_by]
 
-    # ---- hot cells: split the crowded side, replicate the other into each bucket
-    hot = None
-    total = max(plan.rows_left, plan.rows_right, 1)
-    threshold = hot_cell_rows or max(250_000, math.ceil(total / max_hot_cells))
-    # a cell holds at most one copy of each row: below the threshold no cell can be hot
-    if salt_hot_cells and total > threshold:
-        slim_l = _explode_cells(L.select(F.col(BBOX).alias("__b")), F.col("__b"), plan.levels_left,
-                                plan.levels_right, cell, thresholds, "__s_").select(
-            F.lit(0).alias("side"), "__s_lvl", "__s_cx", "__s_cy")
-        slim_r = _explode_cells(R.select(F.col(BBOX).alias("__b")), F.col("__b"), plan.levels_right,
-                                plan.levels_left, cell, thresholds, "__s_").select(
-            F.lit(1).alias("side"), "__s_lvl", "__s_cx", "__s_cy")
-        hot_rows = (slim_l.unionByName(slim_r).groupBy("side", "__s_lvl", "__s_cx", "__s_cy").count()
-                    .where(F.col("count") > threshold)
-                    .orderBy(F.desc("count")).limit(2 * max_hot_cells).collect())
-        hl = [(r[1], r[2], r[3], r["count"]) for r in hot_rows if r[0] == 0]
-        hr = [(r[1], r[2], r[3], r["count"]) for r in hot_rows if r[0] == 1]
-        if hl or hr:
-            counts: dict = {}
-            for r in hl:
-                counts.setdefault((r[0], r[1], r[2]), [0, 0])[0] = r[3]
-            for r in hr:
-                counts.setdefault((r[0], r[1], r[2]), [0, 0])[1] = r[3]
-            rows = [(k[0], k[1], k[2], int(math.ceil(max(a, b) / threshold)), a >= b)
-                    for k, (a, b) in counts.items()]
-            rows = [r for r in rows if r[3] > 1]
-            if rows:
-                hot = spark.createDataFrame(rows, "lvl int, cx long, cy long, s long, split_left boolean")
-                plan.hot_cells = len(rows)
-    if hot is not None:
-        hot_r = hot.withColumn("split_right", ~F.col("split_left"))
-        lx = _salted(lx, hot, lkeys[:3], "split_left", F.col(_L), "__l_salt")
-        rx = _salted(rx, hot_r, rkeys[:3], "split_right", F.col(_R), "__r_salt")
-        lkeys.append("__l_salt")
-        rkeys.append("__r_salt")
+    # ---- hot cells: both sides are split, so a bucket holds at most about hot_cell_rows of each
+    if salt_hot_cells and plan.rows_left * plan.rows_right > hot_cell_rows**2:
+        slim_l, slim_r = (
+            _explode_cells(df.select(F.col(BBOX).alias("__b")), F.col("__b"), own, other, cell, thresholds, p)
+            for df, own, other, p in ((L, plan.levels_left, plan.levels_right, "__l_"), (R, plan.levels_right, plan.levels_left, "__r_")))
+        hot = _hot_cells(slim_l, slim_r, hot_cell_rows)
+        plan.hot_cells = hot.count()
+        if plan.hot_cells:
+            small = plan.hot_cells <= 100_000  # 40 bytes a cell
+            lx = _salted(lx, hot, small, "__l_", True, F.col(_L))
+            rx = _salted(rx, hot, small, "__r_", False, F.col(_R))
+            lkeys.append("__l_salt")
+            rkeys.append("__r_salt")
 
     # ---- broadcast only behind a size check
     if broadcast in ("left", "right"):
-        limit = max_broadcast_bytes if max_broadcast_bytes is not None else max(
-            _default_max_broadcast(spark), 64 * 1024 * 1024)
+        limit = max_broadcast_bytes if max_broadcast_bytes is not None else _default_max_broadcast(spark)
         side = R if broadcast == "right" else L
         geom = right_geometry if broadcast == "right" else left_geometry
-        est = side.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(geom)).alias("b")).first()
+        own, other = (plan.levels_right, plan.levels_left) if broadcast == "right" else (plan.levels_left, plan.levels_right)
+        # the rows that would be sent: each feature once a cell
+        cells = _explode_cells(side.select(F.length(geom).alias("__n"), F.col(BBOX).alias("__b")), F.col("__b"), own, other, cell, thresholds, "__s_")
+        est = cells.agg(F.count(F.lit(1)).alias("n"), F.sum("__n").alias("b")).first()
         width = 64 * len(side.columns)
         size = int(est["b"] or 0) + int(est["n"] or 0) * width
         if size <= limit:
@@ -350,15 +327,7 @@ def spatial_join(
     return hit.select(*_flatten(hit, lcols, rcols, suffixes, drop_right=tuple(partition_by or ())))
 
 
-def box_join(left: DataFrame, right: DataFrame, *, left_bbox: Column, right_bbox: Column, **grid) -> DataFrame:
-    """Pairs of rows whose given boxes meet; for callers that only have boxes."""
-    lb = left.withColumn(BBOX, left_bbox)
-    rb = right.withColumn(BBOX, right_bbox)
-    pairs, _ = candidate_pairs(lb, rb, **grid)
-    return pairs
-
-
-__all__ = ["GridPlan", "bbox_of", "box_join", "candidate_pairs", "spatial_join", "with_bbox"]
+__all__ = ["GridPlan", "bbox_of", "candidate_pairs", "spatial_join", "with_bbox"]
 
 
 def spatial_join_sql(spark, left_view: str, right_view: str, select: str, cell_size: float,

@@ -330,7 +330,7 @@ FROM ({_F5}) f"""
 @query("repair_invalid", _REPAIRED)
 def repair_invalid(spark, sf_dir):
     """Repair only invalid rows; a bow-tie becomes two triangles of area 2."""
-    df = repair(fx.buildings_invalid(spark, sf_dir), when="invalid")
+    df = repair(fx.buildings_invalid(spark, sf_dir))
     return df.select("building_oid", st_area("geometry").alias("area"), st_is_valid("geometry").alias("valid"),
                      st_geometry_type("geometry").alias("geom_type"))
 
@@ -338,7 +338,7 @@ def repair_invalid(spark, sf_dir):
 @query("repair_all", _REPAIRED)
 def repair_all(spark, sf_dir):
     """G2 on every row (the Spark variant's form)."""
-    df = repair(fx.buildings_invalid(spark, sf_dir), when="all")
+    df = repair(fx.buildings_invalid(spark, sf_dir))
     return df.select("building_oid", st_area("geometry").alias("area"), st_is_valid("geometry").alias("valid"),
                      st_geometry_type("geometry").alias("geom_type"))
 
@@ -355,7 +355,7 @@ def view_after_repair(spark, sf_dir):
     ids = overlay(b.select("building_oid", "geometry", "bbox"), p.select("parcel_oid", "geometry", "bbox"))
     for v in ("tessera_intersection", "tessera_bs", "tessera_ps"):
         spark.sql(f"DROP VIEW IF EXISTS {v}")  # K6
-    repair(ids, when="invalid").createOrReplaceTempView("tessera_intersection")
+    repair(ids).createOrReplaceTempView("tessera_intersection")
     b.drop("geometry", "bbox").createOrReplaceTempView("tessera_bs")
     p.drop("geometry", "bbox").createOrReplaceTempView("tessera_ps")
     return spark.sql("""
@@ -425,8 +425,9 @@ def _dedup_first_sql(base: str, key: str) -> str:
   FROM ({base}) x) y WHERE rn = 1"""
 
 
+P_ALL = _counties_sql(P_GRID, "parcel_oid", "NutzungFlurstueck", "nutzart")
 JOB_SQL = f"""WITH b AS ({_dedup_first_sql(B_COUNTIES, 'building_oid')}),
-p AS ({_dedup_first_sql(P_COUNTIES, 'parcel_oid')})
+p AS ({_dedup_first_sql(P_ALL, 'parcel_oid')})
 SELECT b.building_oid, b.funktion, p.parcel_oid, p.nutzart, {W} * {H} AS area,
        {geohash_sql(_CX, _CY, 5)} AS geom_hash, {grid_hash_sql(_CX, _CY, 1000.0)} AS grid_hash
 FROM b JOIN p ON {STRICT}"""
@@ -439,7 +440,7 @@ def overlay_job(spark, sf_dir):
 
     b = prepare(fx.buildings_counties(spark, sf_dir).withColumnRenamed("building_oid", "oid"),
                 ["oid", "funktion"], "first", "all")
-    p = prepare(fx.parcels_counties(spark, sf_dir).withColumnRenamed("parcel_oid", "oid"),
+    p = prepare(fx.parcels_counties(spark, sf_dir, None).withColumnRenamed("parcel_oid", "oid"),
                 ["oid", "nutzart"], "first", "all")
     o = overlay(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "parcel_oid"))
     o = location_ordered(with_location_keys(o))
@@ -509,18 +510,59 @@ def shapefile_counties_paired(spark, sf_dir):
     return b.select(F.col("oid").alias("building_oid"), F.col("county").cast("int").alias("county"))
 
 
-@query("shapefile_overlay_job", JOB_SQL)
+FILES_SQL = f"""WITH b AS ({_dedup_first_sql(B_COUNTIES, 'building_oid')}),
+p AS ({_dedup_first_sql(P_ALL, 'parcel_oid')})
+SELECT {W} * {H} AS area, {geohash_sql(_CX, _CY, 5)} AS geom_hash, b.building_oid, b.funktion || '/' || b.aktualit AS gebnutzbez,
+       CAST(b.building_oid % 7 AS VARCHAR) || '_31001' AS gfkzshh, CAST(NULL AS VARCHAR) AS name, CAST(b.building_oid % 5 AS INTEGER) AS anzahlgs,
+       lpad(CAST(b.building_oid % 1000 AS VARCHAR), 8, '0') AS gmdschl, 'Straße ' || (b.building_oid % 97) AS lagebeztxt, b.funktion,
+       p.parcel_oid AS flur_oid, p.nutzart, p.bez, lpad(CAST(p.parcel_oid AS VARCHAR), 12, '0') AS flstkennz
+FROM b JOIN p ON {STRICT}"""
+
+
+def full_shapefiles(spark, sf_dir) -> str:
+    """All counties of both layers with every attribute the job reads, in nested folders; returns the root."""
+    from ..session import register, scratch_dir
+    from .job import BUILDINGS_LAYER, PARCELS_LAYER
+
+    key = (spark.sparkContext.applicationId, sf_dir, "full")
+    if key not in _WRITTEN:
+        register(spark)
+        root = scratch_dir(spark, "shapefiles")
+        k = F.col("building_oid")
+        b = fx.buildings_counties(spark, sf_dir).select(
+            k.alias("oid"), F.concat_ws("/", "funktion", "aktualit").alias("gebnutzbez"),
+            F.concat((k % 7).cast("string"), F.lit("_31001")).alias("gfkzshh"), F.lit(None).cast("string").alias("name"),
+            (k % 5).cast("int").alias("anzahlgs"), F.lpad((k % 1000).cast("string"), 8, "0").alias("gmdschl"),
+            F.concat(F.lit("Straße "), (k % 97).cast("string")).alias("lagebeztxt"), "funktion", "county", "geometry")
+        k = F.col("parcel_oid")
+        p = fx.parcels_counties(spark, sf_dir, None).select(
+            k.alias("oid"), "nutzart", "bez", F.lpad(k.cast("string"), 12, "0").alias("flstkennz"), "county", "geometry")
+        for df, layer in ((b, BUILDINGS_LAYER), (p, PARCELS_LAYER)):
+            (df.repartition("county").write.format("shp").mode("overwrite")
+               .option("layer", layer).option("partitionBy", "county").save(root))
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+@query("shapefile_overlay_job", FILES_SQL)
 def shapefile_overlay_job(spark, sf_dir):
-    """The whole job from shapefiles to GeoParquet (K1/K2), read back with the Parquet reader."""
+    """The whole job from shapefiles to GeoParquet (P4, K1/K2), read back with the Parquet reader."""
     from ..session import scratch_dir
-    from .job import run
+    from .job import RESULT_COLUMNS, run
 
-    root = county_shapefiles(spark, sf_dir)
+    root = full_shapefiles(spark, sf_dir)
     out = scratch_dir(spark, "job-output")
     run(spark, [f"{root}-absent", root], out)
-    df = spark.read.parquet(out)
-    return df.select("building_oid", "funktion", F.col("flur_oid").alias("parcel_oid"), "nutzart",
-                     st_area("geometry").alias("area"), "geom_hash", "grid_hash")
+    return spark.read.parquet(out).select(st_area("geometry").alias("area"), "geom_hash", *RESULT_COLUMNS)
+
+
+@query("shapefile_recursive", f"SELECT building_oid, county FROM ({B_COUNTIES}) b")
+def shapefile_recursive(spark, sf_dir):
+    """One layer in all folders below the root."""
+    root = county_shapefiles(spark, sf_dir)
+    df = (spark.read.format("shp").option("recursiveFileLookup", "true").option("columns", "oid")
+          .load(f"{root}/GebauedeBauwerk*.shp"))
+    return df.select(F.col("oid").alias("building_oid"), F.col("county").cast("int").alias("county"))
 
 
 @query("geoparquet_roundtrip", OVERLAY_SQL)
@@ -538,7 +580,7 @@ def geoparquet_roundtrip(spark, sf_dir):
 
 @query("table_append", f"SELECT building_oid, funktion, county FROM ({B_COUNTIES}) b")
 def table_append(spark, sf_dir):
-    """Append county layers one by one into a Parquet table, read it back."""
+    """Append county layers one by one into a Parquet table, read it back."""
     from ..session import scratch_dir
 
     path = scratch_dir(spark, "table")
@@ -549,3 +591,107 @@ def table_append(spark, sf_dir):
                          args={"county": c}, layer=df)
         part.write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+@query("geoparquet_empty", "SELECT building_oid FROM (SELECT o_orderkey AS building_oid FROM orders) o WHERE building_oid < 0")
+def geoparquet_empty(spark, sf_dir):
+    """K1: a result without rows is still a readable table."""
+    from ..session import register, scratch_dir
+
+    register(spark)
+    out = scratch_dir(spark, "gpq-empty")
+    fx.buildings_rect(spark, sf_dir).where("building_oid < 0").write.format("gpq").mode("overwrite").save(out)
+    return spark.read.parquet(out).select("building_oid")
+
+
+@query("geoparquet_overwrite", f"SELECT parcel_oid, nutzart FROM ({P_GRID}) p")
+def geoparquet_overwrite(spark, sf_dir):
+    """K9: writing twice leaves the second result only."""
+    from ..session import register, scratch_dir
+
+    register(spark)
+    out = scratch_dir(spark, "gpq-twice")
+    for df in (fx.buildings_rect(spark, sf_dir).selectExpr("building_oid parcel_oid", "funktion nutzart", "geometry"),
+               fx.parcels_grid(spark, sf_dir).select("parcel_oid", "nutzart", "geometry")):
+        df.write.format("gpq").mode("overwrite").save(out)
+    return spark.read.parquet(out).select("parcel_oid", "nutzart")
+
+
+@query("table_ctas", f"WITH b AS ({B_RECT}), p AS ({P_GRID}) SELECT b.building_oid, p.parcel_oid FROM b JOIN p ON {CLOSED}")
+def table_ctas(spark, sf_dir):
+    """K4 / K5 / K6: the id-only join as a persistent table under an explicit path; a table of that name is dropped first."""
+    from ..session import scratch_dir
+
+    path = scratch_dir(spark, "ctas")
+    b, p = _layers(spark, sf_dir)
+    spark.sql("DROP TABLE IF EXISTS tessera_buildings_intersection")
+    spark.sql(f"CREATE TABLE tessera_buildings_intersection USING parquet LOCATION '{path}' AS "
+              "SELECT building_oid, parcel_oid FROM {pairs}", pairs=spatial_join(b, p).select("building_oid", "parcel_oid"))
+    spark.sql("DROP TABLE IF EXISTS tessera_buildings_intersection")  # an external table: its files stay
+    return spark.read.parquet(path)
+
+
+@query("table_reuse", f"SELECT parcel_oid, nutzart FROM ({P_GRID}) p")
+def table_reuse(spark, sf_dir):
+    """Prepared input is made once and reused; only ``refresh`` makes it again."""
+    from ..session import scratch_dir
+    from .job import prepared
+
+    path = scratch_dir(spark, "prepared")
+    p = fx.parcels_grid(spark, sf_dir).select("parcel_oid", "nutzart")
+    prepared(spark, path, lambda: p.limit(0))
+    assert prepared(spark, path, lambda: p).isEmpty()
+    return prepared(spark, path, lambda: p, refresh=True)
+
+
+@query("export_zstd", OVERLAY_SQL)
+def export_zstd(spark, sf_dir):
+    """K3: a view exported as plain Parquet with zstd."""
+    from ..session import scratch_dir
+
+    out = scratch_dir(spark, "export")
+    b, p = _layers(spark, sf_dir)
+    overlay(b, p).createOrReplaceTempView("tessera_export")
+    spark.table("tessera_export").write.option("compression", "zstd").parquet(out)
+    spark.sql("DROP VIEW IF EXISTS tessera_export")
+    return _overlay_out(spark.read.parquet(out))
+
+
+# ------------------------------------------- multipart features, enclaves
+
+TWO_PARTS = """SELECT c_custkey AS building_oid, CAST((c_custkey * 7919) % 985 AS DOUBLE) AS x,
+       CAST((c_custkey * 104729) % 190 AS DOUBLE) AS y FROM customer"""
+
+
+def _part_area(dx: int) -> str:
+    return (f"GREATEST(0, LEAST(x + {dx} + 2, maxx) - GREATEST(x + {dx}, minx)) * "
+            "GREATEST(0, LEAST(y + 2, maxy) - GREATEST(y, miny))")
+
+
+def _part_meets(dx: int) -> str:
+    return f"(x + {dx} <= maxx AND minx <= x + {dx} + 2 AND y <= maxy AND miny <= y + 2)"
+
+
+@query("overlay_multipart", f"""WITH b AS ({TWO_PARTS}), p AS ({P_GRID})
+SELECT building_oid, parcel_oid, {_part_area(0)} + {_part_area(12)} AS area
+FROM b JOIN p ON {_part_area(0)} + {_part_area(12)} > 0""")
+def overlay_multipart(spark, sf_dir):
+    """J3 on two-part features, one part often inside a parcel without touching it, in both part orders."""
+    o = overlay(fx.buildings_two_parts(spark, sf_dir), fx.parcels_grid(spark, sf_dir))
+    return o.select("building_oid", "parcel_oid", st_area("geometry").alias("area"))
+
+
+@query("spatial_join_multipart", f"""WITH b AS ({TWO_PARTS}), p AS ({P_GRID})
+SELECT building_oid, parcel_oid FROM b JOIN p ON {_part_meets(0)} OR {_part_meets(12)}""")
+def spatial_join_multipart(spark, sf_dir):
+    """J1 on two-part features."""
+    return spatial_join(fx.buildings_two_parts(spark, sf_dir), fx.parcels_grid(spark, sf_dir)).select("building_oid", "parcel_oid")
+
+
+@query("overlay_enclave", """SELECT c_custkey AS building_oid,
+       CAST((c_custkey // 100) % 2 * 100 + c_custkey % 100 AS BIGINT) AS parcel_oid,
+       CAST(5 * (5 + c_custkey % 3) - 4 AS DOUBLE) AS area FROM customer""")
+def overlay_enclave(spark, sf_dir):
+    """J3 of boxes that cover a parcel's hole and touch none of its edges."""
+    o = overlay(fx.buildings_over_enclave(spark, sf_dir), fx.parcels_enclave(spark, sf_dir))
+    return o.select("building_oid", "parcel_oid", st_area("geometry").alias("area"))

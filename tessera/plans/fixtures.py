@@ -21,13 +21,8 @@ BUILDING_Y_MUL, BUILDING_Y_MOD = 104729, 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; spread over the cores when the file has fewer splits than cores
-    (the test files hold one row group each), so geometry building runs in parallel."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parcel_box(k):
@@ -100,6 +95,42 @@ def buildings_lshape(spark: SparkSession, sf_dir: str, hole: bool = False) -> Da
     )
 
 
+def two_part_origin():
+    k = F.col("c_custkey")
+    return k, ((k * 7919) % 985).cast("double"), ((k * 104729) % 190).cast("double")
+
+
+def buildings_two_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MultiPolygons of two 2 x 2 squares, 12 apart, in both part orders (odd and even keys)."""
+    k, x, y = two_part_origin()
+
+    def square(dx):
+        return st_polygon(F.array(_ring((x + dx, y), (x + dx + 2, y), (x + dx + 2, y + 2), (x + dx, y + 2), (x + dx, y))))
+
+    near, far = square(0), square(12)
+    header = F.unhex(F.lit("010600000002000000"))  # little-endian MultiPolygon of two
+    return table(spark, sf_dir, "customer").select(
+        k.alias("building_oid"), F.when(k % 2 == 0, F.concat(header, near, far)).otherwise(F.concat(header, far, near)).alias("geometry"),
+        bbox_of(x, y, x + 14, y + 2).alias("bbox"))
+
+
+def parcels_enclave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels with a 2 x 2 hole in the middle."""
+    k = F.col("p_partkey")
+    x0, y0, x1, y1 = parcel_box(k)
+    rings = F.array(_ring((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)),
+                    _ring((x0 + 4, y0 + 4), (x0 + 4, y0 + 6), (x0 + 6, y0 + 6), (x0 + 6, y0 + 4), (x0 + 4, y0 + 4)))
+    return table(spark, sf_dir, "part").select(k.alias("parcel_oid"), st_polygon(rings).alias("geometry"), bbox_of(x0, y0, x1, y1).alias("bbox"))
+
+
+def buildings_over_enclave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that cover a parcel's hole and touch no edge."""
+    k = F.col("c_custkey")
+    x, y = ((k % 100) * 10 + 3 - k % 2).cast("double"), (F.floor(k / 100) % 2 * 10 + 2).cast("double")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("building_oid"), st_make_envelope(x, y, x + 5, y + 5 + k % 3).alias("geometry"), bbox_of(x, y, x + 5, y + 5 + k % 3).alias("bbox"))
+
+
 def buildings_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bow-ties for ``k % 7 = 0``, NULL geometry for ``k % 101 = 0``, else F2 boxes."""
     k = F.col("o_orderkey")
@@ -138,8 +169,8 @@ def buildings_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counties(buildings_rect(spark, sf_dir), "building_oid", "GebauedeBauwerk", "funktion")
 
 
-def parcels_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counties(parcels_grid(spark, sf_dir), "parcel_oid", "NutzungFlurstueck", "nutzart", skip_county=3)
+def parcels_counties(spark: SparkSession, sf_dir: str, skip_county: int | None = 3) -> DataFrame:
+    return counties(parcels_grid(spark, sf_dir), "parcel_oid", "NutzungFlurstueck", "nutzart", skip_county=skip_county)
 
 
 def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:

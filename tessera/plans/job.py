@@ -20,8 +20,8 @@ from ..sources import fs
 # Layer file names and attribute lists of the reference job.
 BUILDINGS_LAYER = "GebauedeBauwerk"
 PARCELS_LAYER = "NutzungFlurstueck"
-BUILDING_COLUMNS = ["oid", "aktualit", "gebnutzbez", "funktion", "anzahlgs", "gmdschl", "lagebeztxt"]
-PARCEL_COLUMNS = ["oid", "aktualit", "nutzart", "bez", "flstkennz"]
+BUILDING_COLUMNS = ["oid", "gebnutzbez", "gfkzshh", "name", "anzahlgs", "gmdschl", "lagebeztxt", "funktion"]
+PARCEL_COLUMNS = ["oid", "nutzart", "bez", "flstkennz"]
 RESULT_COLUMNS = ["building_oid", "gebnutzbez", "gfkzshh", "name", "anzahlgs", "gmdschl", "lagebeztxt",
                   "funktion", "flur_oid", "nutzart", "bez", "flstkennz"]
 ETRS89_UTM33N = "EPSG:25833"
@@ -60,15 +60,18 @@ def paired_counties(buildings: DataFrame, parcels: DataFrame, key: str = "county
 
 def prepare(df: DataFrame, columns: list | None, dedup: str = "first", repair_when: str | None = "all",
             key: str = "oid") -> DataFrame:
-    """Dedup on ``key`` (``first`` in file order, ``any`` or ``none``), repair, then project."""
+    """Project, dedup on ``key`` (``first`` in file order, ``any`` or ``none``), repair."""
+    keep = list(dict.fromkeys([*(columns or [c for c in df.columns if c not in ("geometry", "bbox")]), "geometry", "bbox"]))
+    keep = [c for c in keep if c in df.columns or c != "bbox"]
+    order = ["source_file", "record_no"] if dedup == "first" else []
+    df = df.select(*dict.fromkeys(keep + order))
     if dedup == "first":
         df = drop_duplicates_first(df, key)
     elif dedup == "any":
         df = drop_duplicates_any(df, key)
     if repair_when:
-        df = repair(df, when=repair_when)
-    keep = (columns or [c for c in df.columns if c not in ("geometry", "bbox")]) + ["geometry", "bbox"]
-    return df.select(*[c for c in dict.fromkeys(keep) if c in df.columns])
+        df = repair(df)
+    return df.select(*keep)
 
 
 def overlay_layers(buildings: DataFrame, parcels: DataFrame, *, county_wise: bool = False, **grid) -> DataFrame:
@@ -97,6 +100,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def prepared(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:
+    """The Parquet table at ``path``; made from ``make()`` if it is not there yet, or on ``refresh``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    if refresh or not there:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def location_ordered(df: DataFrame, single_file: bool = False, materialize: bool = True) -> DataFrame:
     """Global order by location: range exchange + sort (``single_file`` coalesces to one task).
 
@@ -113,7 +125,11 @@ def location_ordered(df: DataFrame, single_file: bool = False, materialize: bool
 def run(spark: SparkSession, roots: list, output: str, *, crs: str | None = ETRS89_UTM33N,
         dedup: str = "first", repair_when: str | None = "all", county_wise: bool = False,
         on_missing: str = "error", single_file: bool = False, **grid) -> DataFrame | None:
-    """Run the job and write GeoParquet to ``output``; returns the result plan."""
+    """Run the job and write GeoParquet to ``output``; returns the result plan.
+
+    The result has ``geometry``, ``geom_hash`` and ``RESULT_COLUMNS`` in this
+    order; a layer without one of its columns is an error.
+    """
     try:
         root = resolve_root(roots)
         bpath, ppath = layer_paths(root)
@@ -121,16 +137,16 @@ def run(spark: SparkSession, roots: list, output: str, *, crs: str | None = ETRS
         if on_missing == "skip":
             return None
         raise
-    b = read_layer(spark, bpath)
-    p = read_layer(spark, ppath)
+    b = read_layer(spark, bpath, BUILDING_COLUMNS)
+    p = read_layer(spark, ppath, PARCEL_COLUMNS)
     if county_wise:
         b, p = paired_counties(b, p)
         dedup = "none"
-    bcols = [c for c in BUILDING_COLUMNS if c in b.columns] + (["county"] if county_wise else [])
-    pcols = [c for c in PARCEL_COLUMNS if c in p.columns] + (["county"] if county_wise else [])
+    bcols = BUILDING_COLUMNS + (["county"] if county_wise else [])
+    pcols = PARCEL_COLUMNS + (["county"] if county_wise else [])
     res = overlay_layers(prepare(b, bcols, dedup, repair_when), prepare(p, pcols, dedup, repair_when),
                          county_wise=county_wise, **grid)
-    res = location_ordered(with_location_keys(res), single_file)
+    res = location_ordered(with_location_keys(res), single_file).select("geometry", "geom_hash", *RESULT_COLUMNS)
     w = res.write.format("gpq").mode("overwrite").option("compression", "zstd").option("version", "1.0.0")
     if crs:
         w = w.option("crs", crs)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,12 +29,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only where it is unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only where it is unset, in a
+    local session (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -55,15 +58,4 @@ def register(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-    return path
-
-
-def _gen():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _gen()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

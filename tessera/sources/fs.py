@@ -25,6 +25,17 @@ def _static_prefix(pattern: str) -> str:
     return "/".join(keep) or "/"
 
 
+def _matches(path: str, pattern: str) -> bool:
+    """Segment by segment: a wildcard never crosses a ``/``."""
+    a, b = path.strip("/").split("/"), pattern.strip("/").split("/")
+    return len(a) == len(b) and all(map(fnmatch.fnmatchcase, a, b))
+
+
+def _hidden(path: str, base: str) -> bool:
+    """Below ``base``, in a folder or file that a job in progress or a tool keeps to itself."""
+    return any(s[:1] in ("_", ".") for s in posixpath.relpath(path, base).split("/"))
+
+
 def expand(pattern: str, recursive: bool = False) -> list[str]:
     """Files matching a glob pattern, sorted (file order decides "first" in dedup)."""
     fs, p = filesystem(pattern)
@@ -38,20 +49,23 @@ def expand(pattern: str, recursive: bool = False) -> list[str]:
         if info.type == pafs.FileType.File:
             return [pattern]
         if info.type == pafs.FileType.Directory:
-            sel = pafs.FileSelector(p, recursive=True)
-            return sorted(scheme + host + i.path for i in fs.get_file_info(sel) if i.type == pafs.FileType.File)
+            sel = pafs.FileSelector(p, recursive=recursive)
+            return sorted(scheme + host + i.path for i in fs.get_file_info(sel)
+                          if i.type == pafs.FileType.File and not _hidden(i.path, p))
         return []
     base = _static_prefix(p)
     info = fs.get_file_info(base)
     if info.type != pafs.FileType.Directory:
         return []
     depth = p.count("/") - base.rstrip("/").count("/")
-    sel = pafs.FileSelector(base, recursive=recursive or depth > 1 or "**" in p)
+    sel = pafs.FileSelector(base, recursive=recursive or depth > 1)
     out = []
     for i in fs.get_file_info(sel):
         if i.type != pafs.FileType.File:
             continue
-        if fnmatch.fnmatchcase(i.path, p) or (recursive and fnmatch.fnmatchcase(posixpath.basename(i.path), posixpath.basename(p))):
+        if _hidden(i.path, base):
+            continue
+        if _matches(i.path, p) or (recursive and fnmatch.fnmatchcase(posixpath.basename(i.path), posixpath.basename(p))):
             out.append(scheme + host + i.path)
     return sorted(out)
 
@@ -93,11 +107,11 @@ def delete_dir(path: str) -> None:
         fs.delete_dir(p)
 
 
-def list_files(path: str) -> list[str]:
+def list_files(path: str, recursive: bool = True) -> list[str]:
     fs, p = filesystem(path)
     if fs.get_file_info(p).type != pafs.FileType.Directory:
         return []
-    return [i.path for i in fs.get_file_info(pafs.FileSelector(p, recursive=True)) if i.type == pafs.FileType.File]
+    return [i.path for i in fs.get_file_info(pafs.FileSelector(p, recursive=recursive)) if i.type == pafs.FileType.File]
 
 
 def delete_file(path: str) -> None:

@@ -4,12 +4,12 @@ Spark's Parquet writer cannot add a custom footer key, so each task writes
 its Arrow batches with ``pyarrow.parquet`` and puts the GeoParquet ``geo``
 metadata (version, primary column, WKB encoding, geometry types, bbox, CRS)
 in the footer.  Files are written under ``_temporary`` and moved into place
-in ``commit`` (``overwrite`` first removes the old part files); ``abort``
+in ``commit`` (``overwrite`` then removes the old part files); ``abort``
 removes them.  The output is plain Parquet, readable by ``spark.read.parquet``.
 
 Options: ``geometry`` (column, default ``geometry``), ``version``
 (``1.0.0``), ``compression`` (``zstd``), ``crs`` (PROJJSON text or
-``EPSG:<code>``; omitted means OGC:CRS84 by the specification),
+``EPSG:25833``; omitted means OGC:CRS84 by the specification),
 ``row_group_size``.
 """
 
@@ -49,6 +49,7 @@ def _types_and_bbox(arr: pa.Array):
 class GeoParquetWriter(DataSourceArrowWriter):
     def __init__(self, options, schema, overwrite):
         self.options = options
+        self.schema = schema
         self.path = self.options["path"].rstrip("/")
         self.overwrite = overwrite
         self.geom = self.options.get("geometry", "geometry")
@@ -70,7 +71,8 @@ class GeoParquetWriter(DataSourceArrowWriter):
         fsys, p = fs.filesystem(tmp)
         fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
         sink = None
-        rows = 0
+        rows = waiting = 0
+        held: list = []
         try:
             for rb in iterator:
                 if rb.num_rows == 0:
@@ -82,10 +84,16 @@ class GeoParquetWriter(DataSourceArrowWriter):
                 if writer is None:
                     sink = fsys.open_output_stream(p)
                     writer = pq.ParquetWriter(sink, rb.schema, compression=self.compression)
-                writer.write_batch(rb, row_group_size=self.row_group)
+                held.append(rb)
+                waiting += rb.num_rows
                 rows += rb.num_rows
+                if waiting >= self.row_group:
+                    writer.write_table(pa.Table.from_batches(held), row_group_size=self.row_group)
+                    held, waiting = [], 0
         finally:
             if writer is not None:
+                if held:
+                    writer.write_table(pa.Table.from_batches(held), row_group_size=self.row_group)
                 meta = self._geo(types, boxes)
                 writer.add_key_value_metadata({"geo": json.dumps(meta)})
                 writer.close()
@@ -103,17 +111,35 @@ class GeoParquetWriter(DataSourceArrowWriter):
         return {"version": self.version, "primary_column": self.geom, "columns": {self.geom: col}}
 
     def commit(self, messages):
-        if self.overwrite:
-            for f in fs.list_files(self.path):
-                if "/_temporary/" not in f and f.endswith(".parquet"):
-                    fs.delete_file(f)
-        for m in messages:
-            for tmp in m.files:
-                fs.move(tmp, f"{self.path}/{tmp.rsplit('/', 1)[1]}")
+        # new files first, then the old ones by a list taken before: a failure never leaves less than one full result
+        old = [f for f in fs.list_files(self.path, False) if f.endswith(".parquet")] if self.overwrite else []
+        files = [tmp for m in messages if m is not None for tmp in m.files]
+        if not files:
+            self._empty()
+        for tmp in files:
+            fs.move(tmp, f"{self.path}/{tmp.rsplit('/', 1)[1]}")
+        for f in old:
+            fs.delete_file(f)
+        self._clean()
+
+    def _empty(self):
+        """A result without rows is one file with the schema."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fsys, p = fs.filesystem(f"{self.path}/part-00000-{uuid.uuid4().hex[:12]}.parquet")
+        fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
+        schema = to_arrow_schema(self.schema)
+        meta = {**(schema.metadata or {}), b"geo": json.dumps(self._geo(set(), [])).encode()}
+        with fsys.open_output_stream(p) as sink:
+            pq.write_table(schema.with_metadata(meta).empty_table(), sink, compression=self.compression)
+
+    def _clean(self):
         fs.delete_dir(f"{self.path}/_temporary/{self.job}")
+        if not fs.list_files(f"{self.path}/_temporary"):  # no other job is writing
+            fs.delete_dir(f"{self.path}/_temporary")
 
     def abort(self, messages):
-        fs.delete_dir(f"{self.path}/_temporary/{self.job}")
+        self._clean()
 
 
 class _Part(WriterCommitMessage):

@@ -85,7 +85,7 @@ def field_type(ftype: str, length: int, dec: int):
 def _decode_column(block: np.ndarray, off: int, length: int, ftype: str, dec: int, spark_type, enc: str) -> pa.Array:
     raw = [bytes(r) for r in block[:, off:off + length]]
     if isinstance(spark_type, StringType):
-        vals = [v.decode(enc, "replace").rstrip(" \x00") for v in raw]
+        vals = [v.decode(enc).rstrip(" \x00") for v in raw]
         return pa.array([v if v != "" else None for v in vals], type=pa.string())
     txt = [v.decode("ascii", "replace").strip(" \x00") for v in raw]
     if isinstance(spark_type, (IntegerType, LongType)):
@@ -134,7 +134,9 @@ def shape_to_wkb(content: bytes):
     if len(content) < 4:
         return None, None
     (stype,) = struct.unpack_from("<i", content, 0)
-    base = stype % 10 if stype else 0
+    if stype not in (0, 1, 3, 5, 8, 11, 13, 15, 18, 21, 23, 25, 28):
+        raise ValueError(f"shp: shape type {stype} is not supported")
+    base = stype % 10
     if base == 0:
         return None, None
     if base == 1:
@@ -152,7 +154,8 @@ def shape_to_wkb(content: bytes):
     if base == 3:
         return wkb.encode(wkb.Shape(lines=rings)), box
     rings = [g.clean_ring(r) for r in rings]
-    rings = [r for r in rings if len(r) >= 4]
+    if any(len(r) < 4 for r in rings):
+        raise ValueError("shp: a ring with fewer than three corners")
     if not rings:
         return wkb.encode(wkb.Shape(), empty_type=wkb.POLYGON), box
     if len(rings) == 1:
@@ -161,11 +164,24 @@ def shape_to_wkb(content: bytes):
             r = r[::-1]
         return wkb.polygon_bytes([r]), box
     # shapefile shells run clockwise; flip so shells are counter-clockwise, then group holes
-    flipped = [r[::-1].copy() for r in rings]
-    polys = g._assemble(flipped, tol=0.0, simplify=False)
-    if not polys:  # writer ignored the orientation rule: every ring is a shell
-        polys = [[r if g.ring_area2(r) > 0 else r[::-1].copy()] for r in rings]
-    return wkb.encode(wkb.Shape(polygons=polys)), box
+    return wkb.encode(wkb.Shape(polygons=_group([r[::-1].copy() for r in rings]))), box
+
+
+def _group(rings: list) -> list:
+    """Shells with their holes.  Every ring is kept: one without area is a shell, so is a hole outside all shells;
+    validity and repair see them."""
+    polys = [[r] for r in rings if g.ring_area2(r) >= 0]
+    sizes = [g.ring_area2(p[0]) for p in polys]
+    for hole in (r for r in rings if g.ring_area2(r) < 0):
+        x, y = hole[:-1, 0], hole[:-1, 1]
+        around = [k for k, p in enumerate(polys) if sizes[k] > 0 and (
+            g.points_in(x, y, g.edges_of([[p[0]]])) | g.points_on(x, y, g.edges_of([[p[0]]]), 0.0)).all()]
+        if around:
+            polys[min(around, key=sizes.__getitem__)].append(hole)
+        else:
+            polys.append([hole[::-1].copy()])
+            sizes.append(0.0)
+    return polys
 
 
 # ------------------------------------------------------------- data source
@@ -188,14 +204,21 @@ def _companion(path: str, ext: str) -> str:
     return stem + ext
 
 
-def _encoding(path: str, default: str) -> str:
+#: DBF language driver bytes.
+_LANGUAGE = {0x01: "cp437", 0x02: "cp850", 0x03: "cp1252", 0x57: "cp1252", 0x64: "cp852", 0x65: "cp866", 0xC8: "cp1250", 0xC9: "cp1251"}
+
+
+def _encoding(path: str, chosen: str | None) -> str:
+    """The reader's option, the ``.cpg`` file, the table's language byte, or Latin-1."""
+    if chosen:
+        return chosen
     cpg = _companion(path, ".cpg")
     if fs.exists(cpg):
         name = fs.read_all(cpg).decode("ascii", "replace").strip()
         if name:
             return {"UTF8": "utf-8", "UTF-8": "utf-8", "88591": "latin-1", "ISO-8859-1": "latin-1",
                     "LATIN1": "latin-1", "1252": "cp1252"}.get(name.upper(), name)
-    return default
+    return _LANGUAGE.get(fs.read_range(_companion(path, ".dbf"), 29, 1)[0], "latin-1")
 
 
 def _dbf_fields(path: str) -> list:
@@ -238,7 +261,8 @@ class ShapefileDataSource(DataSource):
                         fields[name] = DoubleType() if DoubleType in (type(prev), type(t)) else LongType()
                     else:
                         fields[name] = StringType()
-        names = [n for n in fields if wanted is None or n in wanted]
+        fields = {_attribute(n): t for n, t in fields.items()}
+        names = list(fields)
         if wanted is not None:
             missing = [n for n in wanted if n not in fields]
             if missing:
@@ -259,6 +283,11 @@ class ShapefileDataSource(DataSource):
         return ShapefileWriter(self.options, schema, overwrite)
 
 
+def _attribute(name: str) -> str:
+    """A table field named like one of the reader's own columns gets a suffix."""
+    return f"{name}_attr" if name in EXTRA_COLUMNS else name
+
+
 def _wanted(options):
     cols = options.get("columns")
     if not cols:
@@ -272,7 +301,7 @@ class ShapefileReader(DataSourceReader):
         self.schema = schema
         self.files = files
         self.per_part = int(self.options.get("recordsPerPartition", 100_000))
-        self.encoding = self.options.get("encoding", "utf-8")
+        self.encoding = self.options.get("encoding")
 
     def partitions(self):
         parts = []
@@ -308,13 +337,11 @@ class ShapefileReader(DataSourceReader):
         enc = _encoding(f, self.encoding)
         head = fs.read_range(dbf, 0, 32)
         _, hlen, rlen, _ = dbf_header(head + b"\x0d")
-        fields = {fl[0]: fl for fl in dbf_header(fs.read_range(dbf, 0, hlen))[3]}
+        fields = {_attribute(fl[0]): fl for fl in dbf_header(fs.read_range(dbf, 0, hlen))[3]}
         raw = fs.read_range(dbf, hlen + start * rlen, n * rlen)
         block = np.frombuffer(raw, dtype=np.uint8)[: n * rlen].reshape(n, rlen)
         arrays = []
-        for fld in self.schema.fields:
-            if fld.name in EXTRA_COLUMNS:
-                break
+        for fld in self.schema.fields[:-len(EXTRA_COLUMNS)]:
             spec = fields.get(fld.name)
             if spec is None:
                 arrays.append(pa.nulls(n, type=_arrow_type(fld.dataType)))
@@ -333,7 +360,8 @@ class ShapefileReader(DataSourceReader):
             pa.array(np.arange(start, end, dtype=np.int64)),
             pa.array([county] * n, type=pa.string()),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        live = pa.array(block[:, 0] != 0x2A)  # records marked as deleted do not exist
+        yield pa.RecordBatch.from_arrays(arrays, names=names).filter(live)
 
 
 def _arrow_type(t):
@@ -349,13 +377,15 @@ def _dbf_spec(name: str, arr: pa.Array):
     t = arr.type
     if pa.types.is_string(t) or pa.types.is_large_string(t):
         width = max([len(v.encode("utf-8")) for v in arr.to_pylist() if v is not None] or [1])
-        return (name, "C", min(max(width, 1), 254), 0)
+        if width > 254:
+            raise ValueError(f"shp: a text of {name} has {width} bytes, the format holds 254")
+        return (name, "C", max(width, 1), 0)
     if pa.types.is_int32(t) or pa.types.is_int16(t) or pa.types.is_int8(t):
         return (name, "N", 9, 0) if all(v is None or -99999999 <= v <= 999999999 for v in arr.to_pylist()) else (name, "N", 18, 0)
     if pa.types.is_integer(t):
-        return (name, "N", 18, 0)
+        return (name, "N", max([18, *(len(str(v)) for v in arr.to_pylist() if v is not None)]), 0)
     if pa.types.is_floating(t):
-        return (name, "F", 24, 15)
+        return (name, "F", 24, 16)
     if pa.types.is_date(t):
         return (name, "D", 8, 0)
     if pa.types.is_boolean(t):
@@ -368,11 +398,11 @@ def _dbf_value(v, spec) -> bytes:
     if v is None:
         return b" " * width
     if ftype == "C":
-        return v.encode("utf-8")[:width].ljust(width, b" ")
+        return v.encode("utf-8").ljust(width, b" ")
     if ftype == "N":
-        return str(int(v)).rjust(width)[:width].encode("ascii")
+        return str(int(v)).rjust(width).encode("ascii")
     if ftype == "F":
-        return f"{float(v):.{dec}e}".rjust(width)[:width].encode("ascii")
+        return f"{float(v):.{dec}e}".rjust(width).encode("ascii")
     if ftype == "D":
         return v.strftime("%Y%m%d").encode("ascii")
     if ftype == "L":
@@ -383,7 +413,10 @@ def _dbf_value(v, spec) -> bytes:
 def write_dbf(columns: dict) -> bytes:
     names = list(columns)
     n = len(next(iter(columns.values()))) if columns else 0
-    specs = [_dbf_spec(nm[:10], columns[nm]) for nm in names]
+    long = [nm for nm in names if not nm.isascii() or len(nm) > 10]
+    if long:
+        raise ValueError(f"shp: field names hold at most 10 ASCII characters: {long}")
+    specs = [_dbf_spec(nm, columns[nm]) for nm in names]
     rlen = 1 + sum(s[2] for s in specs)
     hlen = 32 + 32 * len(specs) + 1
     today = _dt.date.today()
@@ -402,6 +435,8 @@ def _shp_record(gbytes) -> tuple[int, bytes, tuple | None]:
     if gbytes is None:
         return 0, struct.pack("<i", 0), None
     s = wkb.parse(gbytes)
+    if sum(map(bool, (s.polygons, s.lines, s.points))) > 1 or len(s.points) > 1:
+        raise ValueError("shp: mixed collections and multipoints cannot be written")
     if s.polygons:
         rings = []
         for p in g.oriented(s.polygons):
@@ -520,6 +555,41 @@ class _Written(WriterCommitMessage):
         self.files = files
 
 
+def _metre(name: str, direction: str, abbreviation: str) -> dict:
+    return {"name": name, "abbreviation": abbreviation, "direction": direction, "unit": "metre"}
+
+
+def _method(name: str, code: int, value: float, unit: str) -> dict:
+    return {"name": name, "value": value, "unit": unit, "id": {"authority": "EPSG", "code": code}}
+
+
+#: ETRS89 / UTM zone 33N (EPSG:25833) as PROJJSON.
+UTM33N = {
+    "$schema": "https://proj.org/schemas/v0.7/projjson.schema.json",
+    "type": "ProjectedCRS",
+    "name": "ETRS89 / UTM zone 33N",
+    "base_crs": {
+        "name": "ETRS89",
+        "datum": {"type": "GeodeticReferenceFrame", "name": "European Terrestrial Reference System 1989",
+                  "ellipsoid": {"name": "GRS 1980", "semi_major_axis": 6378137, "inverse_flattening": 298.257222101}},
+        "coordinate_system": {"subtype": "ellipsoidal", "axis": [
+            {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"},
+            {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"}]},
+        "id": {"authority": "EPSG", "code": 4258},
+    },
+    "conversion": {
+        "name": "UTM zone 33N",
+        "method": {"name": "Transverse Mercator", "id": {"authority": "EPSG", "code": 9807}},
+        "parameters": [
+            _method("Latitude of natural origin", 8801, 0, "degree"), _method("Longitude of natural origin", 8802, 15, "degree"),
+            _method("Scale factor at natural origin", 8805, 0.9996, "unity"), _method("False easting", 8806, 500000, "metre"),
+            _method("False northing", 8807, 0, "metre")],
+    },
+    "coordinate_system": {"subtype": "Cartesian", "axis": [_metre("Easting", "east", "E"), _metre("Northing", "north", "N")]},
+    "id": {"authority": "EPSG", "code": 25833},
+}
+
+
 def crs_projjson(crs: str | None) -> dict | None:
     """PROJJSON for the GeoParquet ``crs`` field; accepts PROJJSON text or ``EPSG:<code>``."""
     if not crs:
@@ -527,8 +597,6 @@ def crs_projjson(crs: str | None) -> dict | None:
     crs = crs.strip()
     if crs.startswith("{"):
         return json.loads(crs)
-    if crs.upper().startswith("EPSG:"):
-        code = int(crs.split(":", 1)[1])
-        return {"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": "ProjectedCRS",
-                "name": f"EPSG:{code}", "id": {"authority": "EPSG", "code": code}}
-    raise ValueError(f"unsupported crs {crs!r}: give PROJJSON or EPSG:<code>")
+    if crs.upper() == "EPSG:25833":
+        return UTM33N
+    raise ValueError(f"unsupported crs {crs!r}: give the full PROJJSON object, or EPSG:25833")
