@@ -43,9 +43,9 @@ def ship(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def as_bytes(value) -> bytes:
-    """An Arrow string or binary scalar's bytes; null gives empty bytes."""
-    return value if value is not None else b""
+def values(column):
+    """Python values of an Arrow array one by one: a batch's texts are never all held at once."""
+    return (x.as_py() for x in column)
 
 
 SPACE = np.zeros(256, bool)

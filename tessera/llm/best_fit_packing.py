@@ -159,13 +159,13 @@ def _pack(fills: np.ndarray, first: np.ndarray, members: pa.StructArray, capacit
         names=["bin", "fill", "full", "members"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int, id_type: pa.DataType):
-    """Arrays of all pieces of a partition: doc_id, piece, start, length, crc."""
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int):
+    """Arrays of all pieces of a partition: doc_id, and (row, piece, start, length, crc).  Texts are not kept."""
     words, end = _word_ids(path), np.array([separator], "<u4").tobytes()
     ids, rows = [], []
     seen = 0
     for batch in batches:
-        ids.append(batch.column(0))
+        ids.append(batch.column(0).take(pa.array(np.arange(batch.num_rows))))  # a copy: the batch can go
         for i, text in enumerate(batch.column(1).cast(pa.binary())):
             data = words.ids(text.as_py() or b"") + end
             for piece, at in enumerate(range(0, len(data), 4 * capacity)):
@@ -173,10 +173,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separat
                 rows.append((seen + i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
         seen += batch.num_rows
     table = np.array(rows, np.int64).reshape(-1, 5)
-    docs = pa.chunked_array(ids, id_type).combine_chunks() if ids else pa.array([], id_type)
-    if isinstance(docs, pa.ChunkedArray):
-        docs = pa.concat_arrays(docs.chunks) if docs.num_chunks else pa.array([], id_type)
-    return docs.take(pa.array(table[:, 0])), table
+    return pa.concat_arrays(ids).take(pa.array(table[:, 0])) if ids else None, table
 
 
 def _member_type(id_type: pa.DataType) -> list[pa.Field]:
@@ -193,12 +190,10 @@ def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col
     schema = f"bin bigint, fill bigint, full boolean, members array<{_MEMBER.format(id=id_type)}>"
 
     def first_round(batches):
-        batches = list(batches)
-        arrow_id = batches[0].schema.field(0).type if batches else pa.int64()
-        docs, t = _pieces(iter(batches), tokenizer_path, capacity, separator, arrow_id)
+        docs, t = _pieces(batches, tokenizer_path, capacity, separator)
         if not len(t):
             return
-        fields = _member_type(arrow_id)
+        fields = _member_type(docs.type)
         members = pa.StructArray.from_arrays(
             [docs, pa.array(t[:, 1], pa.int32()), *(pa.array(t[:, i], pa.int64()) for i in (2, 3, 4)),
              pa.array(np.zeros(len(t), np.int64))], fields=fields)

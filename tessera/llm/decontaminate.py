@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import ship
+from ._work import ship, values
 
 WORD = re.compile(r"\w+")
 #: Widely used BM25 parameters.
@@ -233,7 +233,7 @@ def leaked(text: Column, index: Index, *, least: float = 0.6, question: float =
     @F.arrow_udf(HIT)
     def find(texts: pa.Array) -> pa.Array:
         ix = shared.value
-        rows = [leaks(t, ix, least, question, answer) for t in texts.to_pylist()]
+        rows = [leaks(t, ix, least, question, answer) for t in values(texts)]
         for row in rows:
             for hit in row:
                 hit["item"] = ix.items[hit["item"]]

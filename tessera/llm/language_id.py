@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import ship
+from ._work import ship, values
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -60,7 +60,7 @@ def train(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", bit
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for label, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
                 if label not in sums:
                     sums[label] = np.zeros(size, np.int64)
                 sums[label] += np.bincount(codes(text, bits), minlength=size)
@@ -131,7 +131,7 @@ def predicted(text: Column, model: Model) -> Column:
     @F.arrow_udf("struct<lang:string,score:double,mixture:map<string,double>>")
     def identify(texts: pa.Array) -> pa.Array:
         m = shared.value
-        found = [mixture(t, m) for t in texts.to_pylist()]
+        found = [mixture(t, m) for t in values(texts)]
         best = [max(sorted(f), key=f.get) if f else UNDETERMINED for f in found]
         score = [f[b] if f else 0.0 for f, b in zip(found, best, strict=True)]
         return pa.StructArray.from_arrays(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import ship
+from ._work import ship, values
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -120,6 +120,19 @@ def token_score(token: str, text_rate: float, reject: float) -> float:
     return min(float(UNITS), -math.log10(max(p, 10.0**-UNITS)))
 
 
+def test_tokens(text: str, tokens: re.Pattern, text_rate: float, reject: float) -> tuple[list[tuple[int, int, int, float]], int]:
+    """(kind, start, end, score) of the tokens that may be secrets, and the number of tokens."""
+    found, tested = [], 0
+    for m in tokens.finditer(text):
+        tested += 1
+        token = m.group()
+        if not (token[1:].islower() and token.isalpha()):
+            s = token_score(token, text_rate, reject)
+            if s > 0:
+                found.append((3, m.start(), m.end(), s))
+    return found, tested
+
+
 def scanner(text: Column, *, min_length: int = 16, text_rate: float = 0.1, reject: float = 0.001) -> Column:
     """Column: all spans of a text.  Tested tokens have kind ``random`` and their score; base spans have score null.
     The last element, kind -1, has the number of tested tokens as its end."""
@@ -128,19 +141,10 @@ def scanner(text: Column, *, min_length: int = 16, text_rate: float = 0.1, rejec
     @F.arrow_udf(SPANS)
     def scan(texts: pa.Array) -> pa.Array:
         size, kind, start, end, score = [0], [], [], [], []
-        for text in texts.to_pylist():
-            tested = 0
-            if text:
-                for k, a, b in base_spans(text):
-                    kind.append(k), start.append(a), end.append(b), score.append(None)
-                for m in tokens.finditer(text):
-                    tested += 1
-                    token = m.group()
-                    if token[1:].islower() and token.isalpha():
-                        continue
-                    s = token_score(token, text_rate, reject)
-                    if s > 0:
-                        kind.append(3), start.append(m.start()), end.append(m.end()), score.append(s)
+        for text in values(texts):
+            found, tested = test_tokens(text or "", tokens, text_rate, reject)
+            for k, a, b, s in [*((*b, None) for b in base_spans(text or "")), *found]:
+                kind.append(k), start.append(a), end.append(b), score.append(s)
             kind.append(-1), start.append(0), end.append(tested), score.append(None)
             size.append(len(kind))
         fields = [pa.array(kind, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(score, pa.float64())]
@@ -189,25 +193,25 @@ def redact(df: DataFrame, *, text_col: str = "text", length_col: str | None = "n
     """
     ship(df)
     least = threshold(df.select(scanner(F.col(text_col), **battery).alias("s")), "s", fdr)
-    spans, new = "spans_of_secret_stage", "text_of_secret_stage"
+    new = "text_of_secret_stage"
+    rate, reject = battery.get("text_rate", 0.1), battery.get("reject", 0.001)
+    tokens = re.compile(TOKEN + "{%d,}" % battery.get("min_length", 16))
+
+    def rewritten(text: str) -> str:
+        random = [(a, b) for _, a, b, s in test_tokens(text, tokens, rate, reject)[0] if s >= least]
+        parts, at = [], 0
+        for a, b in sorted([*((a, b) for _, a, b in base_spans(text)), *random]):
+            if a >= at:
+                parts += [text[at:a], mark]
+            at = max(at, b)
+        return "".join([*parts, text[at:]])
 
     @F.arrow_udf("string")
-    def rewrite(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for text, spans in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            if spans:
-                parts, at = [], 0
-                for s in spans:
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return pa.array(out, pa.string())
-
-    marked = df.withColumn(spans, scanner(F.col(text_col), **battery)).withColumn(spans, reported(F.col(spans), least))
-    marked = marked.withColumn(new, rewrite(F.col(text_col), F.col(spans)))
+    def rewrite(texts: pa.Array) -> pa.Array:
+        return pa.array((t and rewritten(t) for t in values(texts)), pa.string())
+
+    marked = df.withColumn(new, rewrite.asNondeterministic()(F.col(text_col)))
     columns = [F.col(new).alias(c) if c == text_col else
-               F.when(F.size(spans) > 0, F.length(new)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c)
+               F.when(F.col(new).eqNullSafe(F.col(text_col)), F.col(c)).otherwise(F.length(new)).cast(df.schema[c].dataType).alias(c)
                if c == length_col else F.col(c) for c in df.columns]
     return marked.select(*columns)
