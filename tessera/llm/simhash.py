@@ -201,15 +201,20 @@ def labels(rows: DataFrame, *, radius: int = 4, bands: int = 6, block: int = 409
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``df`` with one row of each group: the smallest doc_id (null last, then by fingerprint); all columns kept."""
+    """``df`` with one row of each group: the smallest doc_id (null last, then by fingerprint); all columns kept.
+
+    The row to keep is chosen per fingerprint first, so a common text costs a row a task; texts are
+    compared with the chosen rows' numbers only.
+    """
     ship(df)
     shingle = params.pop("shingle", 4)
-    fp, root = "fp_of_simhash_stage", "root_of_simhash_stage"
-    marked = written(df.withColumn(fp, fingerprints(F.col(text_col), shingle)), "simhash-docs")
-    rows = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
-    named = rows.join(labels(rows, **params), "fp")
-    best = (named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("fp").alias("fp")))
-    kept = marked.join(best.select(F.col("doc_id").alias(root), F.col("fp").alias(root + "_fp")),
-                       F.col(id_col).eqNullSafe(F.col(root)) & (F.col(fp) == F.col(root + "_fp")), "left_semi")
-    return kept.dropDuplicates([id_col, fp]).select(*df.columns)
+    fp, row = "fp_of_simhash_stage", "row_of_simhash_stage"
+    marked = df.withColumn(fp, fingerprints(F.col(text_col), shingle)).withColumn(row, F.monotonically_increasing_id())
+    marked = written(marked, "simhash-docs")  # fixes the row numbers
+    rows = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("a"))
+    named = first.join(labels(rows, **params), "fp")
+    best = named.groupBy("root").agg(F.min(F.struct("a.none", "a.doc_id", "fp", "a.row")).alias("b"))
+    kept = marked.join(best.select(F.col("b.row").alias("kept_row_of_simhash_stage")),
+                       F.col(row) == F.col("kept_row_of_simhash_stage"), "left_semi")
+    return kept.select(*df.columns)
