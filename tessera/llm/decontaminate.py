@@ -38,6 +38,8 @@ from ._work import ship, values
 WORD = re.compile(r"\w+")
 #: Widely used BM25 parameters.
 K1, B = 1.2, 0.75
+#: Passages of a long text are scored in groups of this many (passage, item) cells.
+CELLS = 1 << 20
 HIT = "array<struct<item:bigint,passage:bigint,score:double,question:double,answer:double>>"
 
 
@@ -189,13 +191,21 @@ def leaks(text: str | None, index: Index, least: float, question: float, answer:
     passage, term = passage[able[passage]], term[able[passage]]
     if not len(passage):
         return []
+    order = np.argsort(passage, kind="stable")
+    passage, term = passage[order], term[order]
+    step = max(1, CELLS // len(index.items))
     best: dict[int, dict] = {}
-    shown: dict[int, tuple[list[str], dict]] = {}
-    for p, item, score in block_max_wand(index, passage, term, least):
-        inside, grams = shown.setdefault(p, (words[p * stride : p * stride + index.passage], {}))
-        q, a = (_overlap(side, grams, inside) for side in index.sides[item])
-        if q >= question and a >= answer and score > best.get(item, {"score": -1.0})["score"]:
-            best[item] = {"item": item, "passage": p * stride, "score": score, "question": q, "answer": a}
+    for low in range(0, n, step):
+        a, b = np.searchsorted(passage, [low, low + step])
+        if a == b:
+            continue
+        shown: dict[int, tuple[list[str], dict]] = {}
+        for p, item, score in block_max_wand(index, passage[a:b] - low, term[a:b], least):
+            at = (low + p) * stride
+            inside, grams = shown.setdefault(p, (words[at : at + index.passage], {}))
+            q, a_share = (_overlap(side, grams, inside) for side in index.sides[item])
+            if q >= question and a_share >= answer and score > best.get(item, {"score": -1.0})["score"]:
+                best[item] = {"item": item, "passage": at, "score": score, "question": q, "answer": a_share}
     return [best[i] for i in sorted(best)]
 
 
