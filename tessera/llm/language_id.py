@@ -42,15 +42,25 @@ class Model:
     penalty: float
 
 
-def codes(text: str, bits: int) -> np.ndarray:
-    """Hashed trigrams of a text, those with two spaces left out."""
-    b = _FOLD[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)]
+def codes(data: np.ndarray, bits: int) -> np.ndarray:
+    """Hashed trigrams of UTF-8 bytes, those with two spaces left out."""
+    b = _FOLD[data]
     blank = b == 0x20
     keep = ~((blank[:-2] & blank[1:-1]) | (blank[1:-1] & blank[2:]))
     packed = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:])[keep]
     return (packed * np.uint32(2654435761)) >> np.uint32(32 - bits)
 
 
+def histogram(text: str, bits: int, piece: int = 1 << 20) -> np.ndarray:
+    """Counts of all codes of a whole text, taken piece by piece."""
+    data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
+    total = np.zeros(1 << bits, np.int64)
+    for at in range(0, len(data) - 2, piece):
+        found = np.bincount(codes(data[at : at + piece + 2], bits))
+        total[: len(found)] += found
+    return total
+
+
 def train(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", bits: int = 15, smoothing: float = 0.5,
           min_share: float = 0.02, penalty: float = 1.0, max_languages: int = 1000) -> Model:
     """Learn from all rows of ``df`` with a label and a text."""
@@ -63,7 +73,7 @@ def train(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", bit
             for label, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
                 if label not in sums:
                     sums[label] = np.zeros(size, np.int64)
-                sums[label] += np.bincount(codes(text, bits), minlength=size)
+                sums[label] += histogram(text, bits)
         for label, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -98,7 +108,7 @@ def mixture(text: str | None, model: Model) -> dict[str, float]:
     """Selected languages of a text and their proportions; empty if it has no letter."""
     if not text or not model.languages or not LETTER.search(text):
         return {}
-    hist = np.bincount(codes(text, model.bits), minlength=1)
+    hist = histogram(text, model.bits)
     at = np.flatnonzero(hist)
     counts = hist[at].astype(float)
     total = counts.sum()
