@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import ship, written
+from ._work import ship, values, written
 
 #: Short notices by licence identifier.
 TEMPLATES = [
@@ -69,7 +69,7 @@ def _candidates(text: Column, templates) -> Column:
     @F.arrow_udf("array<struct<line:int,at:array<int>,n:array<int>,rest:bigint>>")
     def candidates(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts.to_pylist():
+        for text in values(texts):
             rows: list[dict] = []
             total: dict = {}
             for k, line in enumerate((text or "").split("\n")):
