@@ -183,28 +183,40 @@ def _edges(length: int, splitters: np.ndarray):
     return run
 
 
-def _bucket(length: int, at_once: int = 400_000):
-    """A bucket's suffixes -> (ref, place) of runs of strings that stand elsewhere too."""
+def _bucket(length: int, at_once: int = 1 << 20):
+    """A bucket's suffixes -> (ref, place) of runs of strings that stand elsewhere too.  Whole tokens of about ``at_once``
+    bytes are sorted together."""
+
+    def pieces(size):
+        """Ranges of rows of about ``at_once`` bytes."""
+        total, a = np.cumsum(size), 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, "right")))
+            yield a, b
+            a = b
 
     def sort(h, place, ref, strings):
         """Multikey quicksort of the strings of some tokens: by token, then by one fingerprint, then the other."""
-        _, w_a, w_b = rollers()
-        data = np.frombuffer(b"".join(strings), np.uint8)
         count = place >> 8 & 255
-        begin = np.cumsum(count + length - 1) - (count + length - 1)
+        size = count + length - 1
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(begin, count) + step
-        w1 = w_a.spans(w_a.prefix(w_a.table[data]), at, at + length)
-        w2 = w_b.spans(w_b.prefix(w_b.table[data]), at, at + length)
+        first = np.cumsum(count) - count
+        w1, w2 = np.empty(len(step), U64), np.empty(len(step), U64)
+        for a, b in pieces(size):
+            data = np.frombuffer(b"".join(strings[a:b]), np.uint8)
+            own = slice(first[a], first[b - 1] + count[b - 1])
+            at = np.repeat(np.cumsum(size[a:b]) - size[a:b], count[a:b]) + step[own]
+            for w, roller in zip((w1, w2), rollers()[1:], strict=True):
+                w[own] = roller.spans(roller.prefix(roller.table[data]), at, at + length)
         order, group = adjacent([np.repeat(h, count), w1, w2])
-        twice = np.zeros(len(at), bool)
+        twice = np.zeros(len(step), bool)
         twice[order] = np.bincount(group)[group] > 1
         # runs of neighbouring strings inside a block
         block = np.repeat(np.arange(len(count)), count)
         starts = np.flatnonzero(twice & np.r_[True, ~twice[:-1] | (block[1:] != block[:-1])])
         ends = np.flatnonzero(twice & np.r_[~twice[1:] | (block[1:] != block[:-1]), True]) + 1
-        first = (place >> 16)[block[starts]] + step[starts]
-        return ref[block[starts]], first << 16 | (ends - starts) << 8
+        begin = (place >> 16)[block[starts]] + step[starts]
+        return ref[block[starts]], begin << 16 | (ends - starts) << 8
 
     def run(batches):
         columns = [[] for _ in range(7)]
@@ -227,7 +239,7 @@ def _bucket(length: int, at_once: int = 400_000):
         edge = edge[np.argsort(h[edge], kind="stable")]
         text = pa.chunked_array(strings)
         a = 0
-        total = np.cumsum(place[edge] >> 8 & 255)
+        total = np.cumsum((place[edge] >> 8 & 255) + length - 1)
         while a < len(edge):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, "right")))
             while b < len(edge) and h[edge[b]] == h[edge[b - 1]]:
