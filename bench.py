@@ -24,6 +24,8 @@ HEADLINE = [
     "spatial_join_intersects",
     "overlay_touching_kept",
     "overlay_lshapes",
+    "overlay_rotated",
+    "shapefile_overlay_job",
     "repair_invalid",
     "dedup_keep_first",
     "geohash5",

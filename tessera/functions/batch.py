@@ -13,6 +13,7 @@ import pyarrow as pa
 
 from . import geometry as g
 from . import wkb
+from .convex import Rings, clip
 
 _RECT_LEN = 13 + 16 * 5
 _RECT_HEADER = np.array([1, 3, 0, 0, 0, 1, 0, 0, 0, 5, 0, 0, 0], dtype=np.uint8)
@@ -211,34 +212,32 @@ def intersection_batch(a, b, keep_geom_type: bool, empty_as_null: bool = False)
                     out[both[k]] = box_contact_bytes(ib[k])
                 elif not empty_as_null:
                     out[both[k]] = wkb.encode(wkb.Shape())
-    done = ra & rb
-    rest = np.nonzero(~done)[0]
-    if len(rest) == 0:
+    valid = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)
+    todo = valid & ~(ra & rb)
+    if not todo.any():
         return binary(out)
     # containment: a polygon inside a rectangle is its own intersection with it
     bxa, bxb = bounds(a), bounds(b)
     pa_, pb_ = polygon_mask(a), polygon_mask(b)
     a_in_b = rb & pa_ & (bxa[:, 0] >= bb[:, 0]) & (bxa[:, 1] >= bb[:, 1]) & (bxa[:, 2] <= bb[:, 2]) & (bxa[:, 3] <= bb[:, 3])
     b_in_a = ra & pb_ & (bxb[:, 0] >= ba[:, 0]) & (bxb[:, 1] >= ba[:, 1]) & (bxb[:, 2] <= ba[:, 2]) & (bxb[:, 3] <= ba[:, 3])
-    # boxes meeting only along an edge or corner share no area
-    ow = np.minimum(bxa[:, 2], bxb[:, 2]) - np.maximum(bxa[:, 0], bxb[:, 0])
-    oh = np.minimum(bxa[:, 3], bxb[:, 3]) - np.maximum(bxa[:, 1], bxb[:, 1])
-    no_area = ~((ow > 0) & (oh > 0))
-    av = a.to_pylist()
-    bv = b.to_pylist()
-    for i in rest:
-        if av[i] is None or bv[i] is None:
-            continue
-        if a_in_b[i]:
-            out[i] = av[i]
-            continue
-        if b_in_a[i]:
-            out[i] = bv[i]
-            continue
-        if keep_geom_type and no_area[i]:
-            continue
-        sa, sb = wkb.parse(av[i]), wkb.parse(bv[i])
-        res = g.intersection(sa, sb, keep_geom_type)
+    for own, mask in ((a, todo & a_in_b), (b, todo & b_in_a & ~a_in_b)):
+        idx = np.flatnonzero(mask)
+        for i, v in zip(idx, own.take(pa.array(idx)).to_pylist(), strict=True):
+            out[i] = v
+    todo &= ~(a_in_b | b_in_a)
+    if keep_geom_type:
+        # boxes meeting only along an edge or corner share no area
+        ow = np.minimum(bxa[:, 2], bxb[:, 2]) - np.maximum(bxa[:, 0], bxb[:, 0])
+        oh = np.minimum(bxa[:, 3], bxb[:, 3]) - np.maximum(bxa[:, 1], bxb[:, 1])
+        todo &= (ow > 0) & (oh > 0)
+        for rows, found, exact in _convex_clips(a, b, todo):
+            for i, v in zip(rows[exact], np.array(found, object)[exact], strict=True):
+                out[i] = v
+            todo[rows[exact]] = False
+    rest = np.flatnonzero(todo)
+    for i, va, vb in zip(rest, a.take(pa.array(rest)).to_pylist(), b.take(pa.array(rest)).to_pylist(), strict=True):
+        res = g.intersection(wkb.parse(va), wkb.parse(vb), keep_geom_type)
         if keep_geom_type:
             out[i] = wkb.encode(res) if res.polygons else None
         elif not (empty_as_null and res.is_empty()):
@@ -246,11 +245,26 @@ def intersection_batch(a, b, keep_geom_type: bool, empty_as_null: bool = False)
     return binary(out)
 
 
+def rings(arr: pa.Array) -> Rings:
+    return Rings(len(arr), *_simple_rings(arr)[:3])
+
+
+def _convex_clips(a: pa.Array, b: pa.Array, todo: np.ndarray):
+    """Clips of the rows in which one side is convex and the other a single ring, part by part."""
+    if not todo.any():
+        return
+    ka, kb = rings(a), rings(b)
+    by_b = todo & ka.simple & kb.convex
+    by_a = todo & ka.convex & kb.simple & ~by_b
+    for subject, window, rows in ((ka, kb, by_b), (kb, ka, by_a)):
+        if rows.any():
+            yield from clip(subject, window, np.flatnonzero(rows))
+
+
 def intersects_batch(a, b) -> pa.Array:
     a, b = as_array(a), as_array(b)
     n = len(a)
     out = np.zeros(n, dtype=bool)
-    nulls = np.zeros(n, dtype=bool)
     ra, ba = rect_info(a)
     rb, bb = rect_info(b)
     both = ra & rb
@@ -258,13 +272,16 @@ def intersects_batch(a, b) -> pa.Array:
         (ba[both, 0] <= bb[both, 2]) & (bb[both, 0] <= ba[both, 2])
         & (ba[both, 1] <= bb[both, 3]) & (bb[both, 1] <= ba[both, 3])
     )
-    av = a.to_pylist()
-    bv = b.to_pylist()
-    for i in np.nonzero(~both)[0]:
-        if av[i] is None or bv[i] is None:
-            nulls[i] = True
-            continue
-        out[i] = g.intersects(wkb.parse(av[i]), wkb.parse(bv[i]))
+    nulls = ~(a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
+    todo = ~both & ~nulls
+    for rows, found, exact in _convex_clips(a, b, todo):
+        # shared area settles a pair; the others may still touch
+        hit = rows[exact & np.array([v is not None for v in found], bool)]
+        out[hit] = True
+        todo[hit] = False
+    rest = np.flatnonzero(todo)
+    for i, va, vb in zip(rest, a.take(pa.array(rest)).to_pylist(), b.take(pa.array(rest)).to_pylist(), strict=True):
+        out[i] = g.intersects(wkb.parse(va), wkb.parse(vb))
     return pa.array(out, mask=nulls)
 
 
@@ -297,27 +314,27 @@ def area_batch(arr) -> pa.Array:
     return pa.array(out, mask=nulls)
 
 
-def map_rows(arr, fn, type_, rect_value=None, rect_keeps_input: bool = False) -> pa.Array:
-    """Apply ``fn(bytes)`` per row; rectangles short-circuit with ``rect_value(bytes)``.
-
-    ``rect_keeps_input`` says ``rect_value`` is the identity; otherwise it must
-    not depend on its argument.  A batch of rectangles only skips the row loop."""
+def map_rows(arr, fn, type_, plain=None, plain_value=None) -> pa.Array:
+    """Apply ``fn(bytes)`` per row.  Rows that ``plain`` (a function of the batch) marks take ``plain_value``, or
+    themselves if it is None, without being parsed."""
     arr = as_array(arr)
-    rect = rect_info(arr)[0] if rect_value is not None else np.zeros(len(arr), bool)
-    if rect_value is not None and len(arr) and rect.all():
-        if rect_keeps_input:
-            return arr if arr.type == type_ else arr.cast(type_)
-        return pa.array([rect_value(None)] * len(arr), type=type_)
+    if plain is None:
+        return pa.array([None if v is None else fn(v) for v in arr.to_pylist()], type=type_)
+    known = plain(arr)
+    if plain_value is None and known.all():
+        return arr if arr.type == type_ else arr.cast(type_)
     vals = arr.to_pylist()
-    out = []
-    for v, r in zip(vals, rect):
-        if v is None:
-            out.append(None)
-        elif r:
-            out.append(rect_value(v))
-        else:
-            out.append(fn(v))
-    return pa.array(out, type=type_)
+    return pa.array([None if v is None else (v if plain_value is None else plain_value) if k else fn(v)
+                     for v, k in zip(vals, known, strict=True)], type=type_)
+
+
+def is_rect(arr: pa.Array) -> np.ndarray:
+    return rect_info(arr)[0]
+
+
+def is_convex(arr: pa.Array) -> np.ndarray:
+    """Convex single-ring polygons: valid, polygonal, of one part."""
+    return rings(arr).convex
 
 
 def is_valid_one(v: bytes) -> bool:

@@ -63,17 +63,17 @@ def _area_udf(g: pa.Array) -> pa.Array:
 
 @arrow_udf(DoubleType())
 def _length_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.length_one, pa.float64(), rect_value=lambda v: 0.0)
+    return batch.map_rows(g, batch.length_one, pa.float64(), batch.is_convex, 0.0)
 
 
 @arrow_udf(BooleanType())
 def _is_valid_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.is_valid_one, pa.bool_(), rect_value=lambda v: True)
+    return batch.map_rows(g, batch.is_valid_one, pa.bool_(), batch.is_convex, True)
 
 
 @arrow_udf(BinaryType())
 def _make_valid_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.make_valid_one, pa.binary(), rect_value=lambda v: v, rect_keeps_input=True)
+    return batch.map_rows(g, batch.make_valid_one, pa.binary(), batch.is_convex)
 
 
 @arrow_udf(BinaryType())
@@ -83,22 +83,22 @@ def _multi_udf(g: pa.Array) -> pa.Array:
 
 @arrow_udf(BinaryType())
 def _polygonal_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.polygonal_one, pa.binary(), rect_value=lambda v: v, rect_keeps_input=True)
+    return batch.map_rows(g, batch.polygonal_one, pa.binary(), batch.is_convex)
 
 
 @arrow_udf(StringType())
 def _geometry_type_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.geometry_type_one, pa.string(), rect_value=lambda v: "Polygon")
+    return batch.map_rows(g, batch.geometry_type_one, pa.string(), batch.is_convex, "Polygon")
 
 
 @arrow_udf(IntegerType())
 def _num_geometries_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.num_parts_one, pa.int32(), rect_value=lambda v: 1)
+    return batch.map_rows(g, batch.num_parts_one, pa.int32(), batch.is_convex, 1)
 
 
 @arrow_udf(IntegerType())
 def _num_points_udf(g: pa.Array) -> pa.Array:
-    return batch.map_rows(g, batch.num_points_one, pa.int32(), rect_value=lambda v: 5)
+    return batch.map_rows(g, batch.num_points_one, pa.int32(), batch.is_rect, 5)
 
 
 @arrow_udf(StringType())

@@ -86,18 +86,22 @@ P_COUNTIES = _counties_sql(P_GRID, "parcel_oid", "NutzungFlurstueck", "nutzart",
 
 
 def _cells_sql(cells: list) -> str:
-    values = ", ".join(f"({dx}, {dy})" for dx, dy in cells)
+    """Clipped area of shapes made of unit cells (dx, dy) or, with a share, of parts of such cells."""
+    values = ", ".join(f"({dx}, {dy}, {share[0] if share else 1})" for dx, dy, *share in cells)
     return f"""WITH b AS (SELECT o_orderkey AS building_oid,
                   CAST((o_orderkey * 7919) % 995 AS DOUBLE) AS x,
                   CAST((o_orderkey * 104729) % 200 AS DOUBLE) AS y FROM orders),
-c AS (SELECT building_oid, x + dx AS cx, y + dy AS cy FROM b, (VALUES {values}) AS d(dx, dy)),
+c AS (SELECT building_oid, x + dx AS cx, y + dy AS cy, share FROM b, (VALUES {values}) AS d(dx, dy, share)),
 p AS (SELECT p_partkey AS parcel_oid FROM part)
-SELECT c.building_oid, p.parcel_oid, CAST(COUNT(*) AS DOUBLE) AS area
+SELECT c.building_oid, p.parcel_oid, CAST(SUM(share) AS DOUBLE) AS area
 FROM c JOIN p ON p.parcel_oid = CAST(FLOOR(c.cy / 10) * 100 + FLOOR(c.cx / 10) AS BIGINT)
 GROUP BY c.building_oid, p.parcel_oid"""
 
 
 L_CELLS = [(0, 0), (1, 0), (0, 1)]
+#: Cells of a square rotated by 45 degrees about (3, 3): whole ones, and halves along its sides.
+R_CELLS = [(dx, dy, 1 if u + v < 2 else 0.5) for dx in range(6) for dy in range(6)
+           for u, v in [(max(dx - 3, 2 - dx), max(dy - 3, 2 - dy))] if u + v <= 2]
 H_CELLS = [(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2), (1, 2), (2, 2)]
 
 OVERLAY_SQL = f"""WITH b AS ({B_RECT}), p AS ({P_GRID})
@@ -167,6 +171,13 @@ def overlay_lshapes(spark, sf_dir):
     return o.select("building_oid", "parcel_oid", st_area("geometry").alias("area"))
 
 
+@query("overlay_rotated", _cells_sql(R_CELLS))
+def overlay_rotated(spark, sf_dir):
+    """J3 on rotated buildings: clipped area counted in unit cells and halves of them."""
+    o = overlay(fx.buildings_rotated(spark, sf_dir), fx.parcels_grid(spark, sf_dir))
+    return o.select("building_oid", "parcel_oid", st_area("geometry").alias("area"))
+
+
 @query("overlay_holes", _cells_sql(H_CELLS))
 def overlay_holes(spark, sf_dir):
     """J3 on buildings with a hole."""

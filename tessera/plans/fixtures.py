@@ -95,6 +95,15 @@ def buildings_lshape(spark: SparkSession, sf_dir: str, hole: bool = False) -> Da
     )
 
 
+def buildings_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares rotated by 45 degrees, with integer corners 3 away from the middle."""
+    k = F.col("o_orderkey")
+    x, y = building_origin(k)
+    ring = _ring((x + 3, y), (x + 6, y + 3), (x + 3, y + 6), (x, y + 3), (x + 3, y))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("building_oid"), st_polygon(F.array(ring)).alias("geometry"), bbox_of(x, y, x + 6, y + 6).alias("bbox"))
+
+
 def two_part_origin():
     k = F.col("c_custkey")
     return k, ((k * 7919) % 985).cast("double"), ((k * 104729) % 190).cast("double")
