@@ -76,6 +76,14 @@ def _make_valid_udf(g: pa.Array) -> pa.Array:
     return batch.map_rows(g, batch.make_valid_one, pa.binary(), batch.is_convex)
 
 
+@arrow_udf(BinaryType())
+def _make_valid_once_udf(g: pa.Array) -> pa.Array:
+    return batch.map_rows(g, batch.make_valid_one, pa.binary(), batch.is_convex)
+
+
+_make_valid_once_udf = _make_valid_once_udf.asNondeterministic()
+
+
 @arrow_udf(BinaryType())
 def _multi_udf(g: pa.Array) -> pa.Array:
     return batch.map_rows(g, batch.multi_one, pa.binary())
@@ -167,6 +175,11 @@ def st_make_valid(g) -> Column:
     return _call(_make_valid_udf, g)
 
 
+def make_valid_once(g) -> Column:
+    """``st_make_valid`` as an expression that is evaluated once, however often its column is used."""
+    return _call(_make_valid_once_udf, g)
+
+
 def st_multi(g) -> Column:
     """Promote Polygon to MultiPolygon (WKB type 3 to 6)."""
     return _call(_multi_udf, g)

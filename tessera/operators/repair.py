@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import st_is_valid, st_make_valid, st_multi
+from ..functions import st_is_valid, st_multi
+from ..functions.columns import make_valid_once
 
 
 def repair(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -13,9 +14,10 @@ def repair(df: DataFrame, geometry: str = "geometry") -> DataFrame:
 
     ``st_make_valid`` checks validity itself and returns valid input byte for
     byte, so repairing all rows and repairing only the invalid ones is one and
-    the same pass.
+    the same pass.  It is marked non-deterministic here, so that Catalyst does
+    not copy it into every later use of the column.
     """
-    return df.withColumn(geometry, st_make_valid(F.col(geometry)))
+    return df.withColumn(geometry, make_valid_once(F.col(geometry)))
 
 
 def invalid_rows(df: DataFrame, geometry: str = "geometry") -> DataFrame:

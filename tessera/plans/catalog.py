@@ -447,12 +447,12 @@ FROM b JOIN p ON {STRICT}"""
 @query("overlay_job", JOB_SQL)
 def overlay_job(spark, sf_dir):
     """The reference job on county layers: keep-first dedup, repair, overlay, location keys, global sort."""
-    from .job import location_ordered, prepare, with_location_keys
+    from .job import location_ordered, prepare, with_location_keys, written
 
-    b = prepare(fx.buildings_counties(spark, sf_dir).withColumnRenamed("building_oid", "oid"),
-                ["oid", "funktion"], "first", "all")
-    p = prepare(fx.parcels_counties(spark, sf_dir, None).withColumnRenamed("parcel_oid", "oid"),
-                ["oid", "nutzart"], "first", "all")
+    b = written(prepare(fx.buildings_counties(spark, sf_dir).withColumnRenamed("building_oid", "oid"),
+                ["oid", "funktion"], "first", "all"), "buildings")
+    p = written(prepare(fx.parcels_counties(spark, sf_dir, None).withColumnRenamed("parcel_oid", "oid"),
+                ["oid", "nutzart"], "first", "all"), "parcels")
     o = overlay(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "parcel_oid"))
     o = location_ordered(with_location_keys(o))
     return o.select("building_oid", "funktion", "parcel_oid", "nutzart", st_area("geometry").alias("area"),

@@ -1,9 +1,9 @@
 """The whole overlay job: per-county shapefiles in, location-ordered GeoParquet out.
 
 ``read layers -> keep-first dedup by oid -> repair -> intersection overlay ->
-geohash / grid hash -> range-partitioned sort -> GeoParquet`` as one plan.
-Only the final write is an action besides the small planning aggregates of
-the grid join.
+geohash / grid hash -> range-partitioned sort -> GeoParquet``.  Each source
+is read once: the prepared layers and the clipped pairs are written to the
+shared ``spark.checkpoint.dir``, and the grid join plans on the layers' bbox.
 """
 
 from __future__ import annotations
@@ -144,8 +144,10 @@ def run(spark: SparkSession, roots: list, output: str, *, crs: str | None = ETRS
         dedup = "none"
     bcols = BUILDING_COLUMNS + (["county"] if county_wise else [])
     pcols = PARCEL_COLUMNS + (["county"] if county_wise else [])
-    res = overlay_layers(prepare(b, bcols, dedup, repair_when), prepare(p, pcols, dedup, repair_when),
-                         county_wise=county_wise, **grid)
+    # written once: the grid join's planning aggregates then read only the bbox column of these tables
+    b = written(prepare(b, bcols, dedup, repair_when), "buildings")
+    p = written(prepare(p, pcols, dedup, repair_when), "parcels")
+    res = overlay_layers(b, p, county_wise=county_wise, **grid)
     res = location_ordered(with_location_keys(res), single_file).select("geometry", "geom_hash", *RESULT_COLUMNS)
     w = res.write.format("gpq").mode("overwrite").option("compression", "zstd").option("version", "1.0.0")
     if crs:
