@@ -119,36 +119,27 @@ def bounds(arr: pa.Array) -> np.ndarray:
     return out
 
 
-def type_codes(arr: pa.Array) -> np.ndarray:
-    """Base WKB type code per row (0 for NULL), read from the headers of the whole batch."""
-    arr = as_array(arr)
+def _raw_codes(arr: pa.Array) -> np.ndarray:
+    """WKB type code with flags per row (0 for NULL), read from the headers of the whole batch."""
     offsets, data, valid = _buffers(arr)
     out = np.zeros(len(arr), dtype=np.int64)
     idx = np.nonzero(valid & (np.diff(offsets) >= 5))[0]
     if len(idx):
         s = offsets[:-1][idx]
-        le = data[s] == 1
         b = data[s[:, None] + np.arange(1, 5)].astype(np.int64)
-        code = np.where(le, b[:, 0] + 256 * b[:, 1] + 65536 * b[:, 2] + 16777216 * b[:, 3],
-                        b[:, 3] + 256 * b[:, 2] + 65536 * b[:, 1] + 16777216 * b[:, 0])
-        out[idx] = (code & 0x0FFFFFFF) % 1000
+        b = np.where((data[s] == 1)[:, None], b, b[:, ::-1])
+        out[idx] = b @ (256 ** np.arange(4))
     return out
 
 
+def type_codes(arr: pa.Array) -> np.ndarray:
+    """Base WKB type code per row (0 for NULL)."""
+    return (_raw_codes(as_array(arr)) & 0x0FFFFFFF) % 1000
+
+
 def polygon_mask(arr: pa.Array) -> np.ndarray:
     """Rows whose WKB type is Polygon or MultiPolygon (2-D, either byte order)."""
-    arr = as_array(arr)
-    offsets, data, valid = _buffers(arr)
-    out = np.zeros(len(arr), dtype=bool)
-    idx = np.nonzero(valid & (np.diff(offsets) >= 5))[0]
-    if len(idx):
-        s = offsets[:-1][idx]
-        le = data[s] == 1
-        b = data[s[:, None] + np.arange(1, 5)].astype(np.int64)
-        code = np.where(le, b[:, 0] + 256 * b[:, 1] + 65536 * b[:, 2] + 16777216 * b[:, 3],
-                        b[:, 3] + 256 * b[:, 2] + 65536 * b[:, 1] + 16777216 * b[:, 0])
-        out[idx] = (code == 3) | (code == 6)
-    return out
+    return np.isin(_raw_codes(as_array(arr)), (wkb.POLYGON, wkb.MULTIPOLYGON))
 
 
 def values(arr: pa.Array) -> list:

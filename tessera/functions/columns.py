@@ -15,7 +15,7 @@ from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, IntegerType,
                                StructField, StructType)
 
 from .. import _ship
-from . import batch
+from . import batch, wkb
 
 BBOX_FIELDS = ("minx", "miny", "maxx", "maxy")
 BBOX_TYPE = StructType([StructField(n, DoubleType()) for n in BBOX_FIELDS])
@@ -180,9 +180,30 @@ def make_valid_once(g) -> Column:
     return _call(_make_valid_once_udf, g)
 
 
+def _byte(g: Column, at: int) -> Column:
+    return F.conv(F.hex(F.substring(g, at, 1)), 16, 10).cast("int")
+
+
+def _type_code(g: Column) -> Column:
+    """Base WKB type code from the header, without leaving the JVM."""
+    little = _byte(g, 1) == 1
+    low, high = F.when(little, _byte(g, 2)).otherwise(_byte(g, 5)), F.when(little, _byte(g, 3)).otherwise(_byte(g, 4))
+    return (low + 256 * high) % 1000
+
+
 def st_multi(g) -> Column:
-    """Promote Polygon to MultiPolygon (WKB type 3 to 6)."""
-    return _call(_multi_udf, g)
+    """Promote Polygon to MultiPolygon: a new header before the same bytes, whatever their order and dimensions."""
+    g = _c(g)
+    little = _byte(g, 1) == 1
+    code = F.when(little, _byte(g, 2)).otherwise(_byte(g, 5)) + 3
+    code = F.unhex(F.lpad(F.hex(code), 2, "0"))
+    kind = F.when(little, F.concat(F.substring(g, 1, 1), code, F.substring(g, 3, 3))).otherwise(F.concat(F.substring(g, 1, 4), code))
+    has_srid = F.when(little, _byte(g, 5)).otherwise(_byte(g, 2)).bitwiseAND(F.lit(0x20)) != 0
+    head = F.concat(kind, F.when(has_srid, F.substring(g, 6, 4)).otherwise(F.unhex(F.lit(""))))
+    empty = F.octet_length(g) <= F.when(has_srid, 13).otherwise(9)
+    one = F.when(little, F.unhex(F.lit("01000000"))).otherwise(F.unhex(F.lit("00000001")))
+    multi = F.when(empty, F.concat(head, F.unhex(F.lit("00000000")))).otherwise(F.concat(head, one, g))
+    return F.when(_type_code(g) == wkb.POLYGON, multi).otherwise(g)
 
 
 def st_polygonal(g) -> Column:
@@ -191,7 +212,10 @@ def st_polygonal(g) -> Column:
 
 
 def st_geometry_type(g) -> Column:
-    return _call(_geometry_type_udf, g)
+    """OGC type name, e.g. ``Polygon``."""
+    names = F.array(*(F.lit(wkb.TYPE_NAMES.get(i, "Unknown")) for i in range(max(wkb.TYPE_NAMES) + 1)))
+    g = _c(g)
+    return F.when(g.isNotNull(), F.coalesce(F.get(names, _type_code(g)), F.lit("Unknown")))
 
 
 def st_num_geometries(g) -> Column:

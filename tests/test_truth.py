@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import bbox_of, geometry as g, st_make_envelope, wkb
+from tessera.functions import batch, bbox_of, geometry as g, st_geometry_type, st_make_envelope, st_multi, wkb
 from tessera.operators.spatial_join import candidate_pairs, spatial_join
 from tessera.plans import job
 from tessera.sources import fs, shapefile
@@ -119,3 +119,22 @@ def test_hot_cell_is_split_on_both_sides(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(tasks) == 60_000 and len(tasks) > 4
     assert spatial_join(side("a", 30), side("b", 20), hot_cell_rows=4).distinct().count() == 600
+
+
+def test_headers_are_read_and_rewritten_in_the_jvm(spark):
+    def polygon(order, flags, dims, srid=b"", rings=1):
+        head = bytes([order == "<"]) + struct.pack(order + "I", flags) + srid + struct.pack(order + "I", rings)
+        return head + (struct.pack(order + "I", 5) + np.hstack([square(1, 1), np.zeros((5, dims - 2))]).astype(order + "f8").tobytes() if rings else b"")
+
+    values = [polygon(o, f, d) for o in "<>" for f, d in ((3, 2), (1003, 3), (2003, 3), (3003, 4), (0x80000003, 3))]
+    values += [polygon(o, 0x20000003, 2, struct.pack(o + "I", 25833)) for o in "<>"] + [polygon("<", 3, 2, rings=0), wkb.point_bytes(np.ones(2)), None]
+    values += [wkb.encode_multipolygon([[square(0, 0)]])]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, g binary")
+    rows = df.select("g", st_multi("g").alias("m"), st_geometry_type("g").alias("t"), st_geometry_type(st_multi("g")).alias("u")).orderBy("i").collect()
+    assert [r.t for r in rows] == ["Polygon"] * 13 + ["Point", None, "MultiPolygon"]
+    assert [r.u for r in rows] == ["MultiPolygon"] * 13 + ["Point", None, "MultiPolygon"]
+    for r in rows:
+        if r.g is not None:
+            old, new = wkb.parse(r.g), wkb.parse(r.m)
+            assert len(old.polygons) == len(new.polygons) and np.array_equal(old.coords(), new.coords())
+            assert wkb.parse(batch.multi_one(bytes(r.g))).coords().tolist() == new.coords().tolist()
