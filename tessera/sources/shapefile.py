@@ -301,6 +301,8 @@ class ShapefileReader(DataSourceReader):
         self.schema = schema
         self.files = files
         self.per_part = int(self.options.get("recordsPerPartition", 100_000))
+        self.part_bytes = int(self.options.get("bytesPerPartition", 64 << 20))
+        self.batch_bytes = int(self.options.get("bytesPerBatch", 8 << 20))
         self.encoding = self.options.get("encoding")
 
     def partitions(self):
@@ -309,21 +311,36 @@ class ShapefileReader(DataSourceReader):
             shx = _companion(f, ".shx")
             fsys, p = fs.filesystem(shx)
             n = max(0, (fsys.get_file_info(p).size - 100) // 8)
-            for s in range(0, max(n, 1), self.per_part):
-                parts.append(_FilePart(f, s, min(n, s + self.per_part)))
+            size = fsys.get_file_info(fs.filesystem(f)[1]).size
+            # so many records that a range has about part_bytes; a range is read batch by batch in any case
+            step = max(1, min(self.per_part, -(-n // max(1, -(-size // self.part_bytes)))))
+            for s in range(0, max(n, 1), step):
+                parts.append(_FilePart(f, s, min(n, s + step)))
         return parts
 
     def read(self, partition):
         f, start, end = partition.path, partition.start, partition.end
-        n = end - start
-        names = [fld.name for fld in self.schema.fields]
-        if n <= 0:
+        if end <= start:
             return
-        idx = np.frombuffer(fs.read_range(_companion(f, ".shx"), 100 + 8 * start, 8 * n), dtype=">i4").reshape(-1, 2)
-        offs = idx[:, 0].astype(np.int64) * 2
-        lens = idx[:, 1].astype(np.int64) * 2
-        lo = int(offs[0])
-        hi = int(offs[-1] + 8 + lens[-1])
+        idx = np.frombuffer(fs.read_range(_companion(f, ".shx"), 100 + 8 * start, 8 * (end - start)), dtype=">i4").reshape(-1, 2)
+        offs, lens = (idx[:, k].astype(np.int64) * 2 for k in (0, 1))
+        dbf = _companion(f, ".dbf")
+        _, hlen, rlen, _ = dbf_header(fs.read_range(dbf, 0, 32) + b"\x0d")
+        fields = {_attribute(fl[0]): fl for fl in dbf_header(fs.read_range(dbf, 0, hlen))[3]}
+        enc = _encoding(f, self.encoding)
+        total = np.cumsum(lens + rlen)
+        a = 0
+        while a < len(idx):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.batch_bytes, "right")))
+            raw = fs.read_range(dbf, hlen + (start + a) * rlen, (b - a) * rlen)
+            block = np.frombuffer(raw, dtype=np.uint8)[: (b - a) * rlen].reshape(b - a, rlen)
+            yield self._batch(f, start + a, offs[a:b], lens[a:b], block, fields, enc)
+            a = b
+
+    def _batch(self, f, start, offs, lens, block, fields, enc):
+        """Consecutive records from ``start`` on, with their attribute rows in ``block``."""
+        n = len(offs)
+        lo, hi = int(offs.min()), int((offs + 8 + lens).max())
         shp = fs.read_range(f, lo, hi - lo)
         geoms, boxes = [], np.full((n, 4), np.nan)
         for i in range(n):
@@ -332,14 +349,6 @@ class ShapefileReader(DataSourceReader):
             geoms.append(gbytes)
             if box is not None:
                 boxes[i] = box
-        # attributes
-        dbf = _companion(f, ".dbf")
-        enc = _encoding(f, self.encoding)
-        head = fs.read_range(dbf, 0, 32)
-        _, hlen, rlen, _ = dbf_header(head + b"\x0d")
-        fields = {_attribute(fl[0]): fl for fl in dbf_header(fs.read_range(dbf, 0, hlen))[3]}
-        raw = fs.read_range(dbf, hlen + start * rlen, n * rlen)
-        block = np.frombuffer(raw, dtype=np.uint8)[: n * rlen].reshape(n, rlen)
         arrays = []
         for fld in self.schema.fields[:-len(EXTRA_COLUMNS)]:
             spec = fields.get(fld.name)
@@ -357,11 +366,11 @@ class ShapefileReader(DataSourceReader):
             pa.array(geoms, type=pa.binary()),
             bbox,
             pa.array([f] * n, type=pa.string()),
-            pa.array(np.arange(start, end, dtype=np.int64)),
+            pa.array(np.arange(start, start + n, dtype=np.int64)),
             pa.array([county] * n, type=pa.string()),
         ]
         live = pa.array(block[:, 0] != 0x2A)  # records marked as deleted do not exist
-        yield pa.RecordBatch.from_arrays(arrays, names=names).filter(live)
+        return pa.RecordBatch.from_arrays(arrays, names=[fld.name for fld in self.schema.fields]).filter(live)
 
 
 def _arrow_type(t):

@@ -65,6 +65,15 @@ def test_clashing_fields_deleted_records_and_encoding(tmp_path, spark):
     assert [(r.oid, r.county_attr, r.county) for r in rows] == [("Grün", "p", "k1"), ("da", "r", "k1")]
 
 
+def test_reader_splits_by_bytes(tmp_path, spark):
+    names = [f"n{i}" for i in range(50)]
+    write(tmp_path / "k/L", names, num=pa.array(range(50)))
+    df = (spark.read.format("shp").option("bytesPerPartition", "2000").option("bytesPerBatch", "500").load(f"{tmp_path}/*/L.shp"))
+    rows = df.orderBy("record_no").collect()
+    assert [(r.oid, r.num, r.record_no, r.bbox.minx) for r in rows] == [(n, i, i, float(i)) for i, n in enumerate(names)]
+    assert df.rdd.getNumPartitions() == -(-(tmp_path / "k/L.shp").stat().st_size // 2000)
+
+
 def test_reader_keeps_all_rings():
     def record(rings):
         pts = np.vstack(rings)
