@@ -1,13 +1,16 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a text (a header notice) and the whole text (a licence file) is
-a sparse vector of adjacent word pairs, weighted by term frequency and the
-inverse document frequency over all documents, and compared with the vectors
-of known notices.  A line that shares no pair with a template has cosine 0,
-so only lines that share one are scored; pairs outside the templates count in
-a line's length with the weight of a pair no document has.
-
-A document's licence is that of its best line at or above ``least``.  A
+Stretches of a text are sparse vectors of adjacent word pairs, weighted by
+term frequency and the inverse document frequency over all documents, and
+compared with the vectors of known notices.  Scored are every line, the whole
+text and, with line breaks as spaces, every window of a template's length (or
+a quarter more, for marks at line beginnings) that begins at one of its pairs:
+a notice inside a paragraph or wrapped over lines counts as one on its own
+line.  Stretches without a template's pair have cosine 0.  A pair outside the
+templates counts in a stretch's length as often as it stands there, each time
+with the weight of a pair no document has.
+
+A document's licence is that of its best stretch at or above ``least``.  A
 document is a licence file if its name says so or its whole text matches; the
 licence of a directory's best such file covers all documents below it that
 have no notice of their own, the nearest directory first.  Directories are
@@ -61,73 +64,119 @@ def _vocabulary(templates) -> dict[tuple[str, str], int]:
     return known
 
 
+HITS = "struct<size:int,pos:array<int>,at:array<int>,line:array<int>,begin:array<int>,pairs:array<int>>"
+
+
+class _Finder:
+    """Known word pairs of a text by their place."""
+
+    def __init__(self, known: dict[tuple[str, str], int]):
+        self.ids: dict[str, int] = {}
+        for p in known:
+            for w in p:
+                self.ids.setdefault(w, len(self.ids))
+        keys = np.array([self.ids[a] * len(self.ids) + self.ids[b] for a, b in known], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words (-1: in no known pair), and where each line's words begin."""
+        found: list[int] = []
+        begin = [0]
+        for line in text.lower().split("\n"):
+            found += [self.ids.get(w, -1) for w in WORD.findall(line)]
+            begin.append(len(found))
+        return np.array(found, np.int64), np.array(begin, np.int64)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known pairs, and which they are."""
+        pos = np.flatnonzero((words[:-1] >= 0) & (words[1:] >= 0))
+        key = words[pos] * len(self.ids) + words[pos + 1]
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        same = self.keys[k] == key
+        return pos[same], self.order[k[same]]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
+
+
 def _candidates(text: Column, templates) -> Column:
-    """Column: for the whole text (line -1) and each line that shares a pair with a template, its counts of
-    template pairs (``at``, ``n``) and the squared counts of its other pairs added up (``rest``)."""
+    """Column: number of words, the template pairs (``at``) by place (``pos``) and the lines that have one:
+    ``line``, place of its first word (``begin``), number of pairs inside it (``pairs``)."""
     known = _vocabulary(templates)
 
-    @F.arrow_udf("array<struct<line:int,at:array<int>,n:array<int>,rest:bigint>>")
+    @F.arrow_udf(HITS)
     def candidates(texts: pa.Array) -> pa.Array:
-        out = []
+        finder = _Finder(known)
+        sizes, lists = [], [[] for _ in range(5)]
         for text in values(texts):
-            rows: list[dict] = []
-            total: dict = {}
-            for k, line in enumerate((text or "").split("\n")):
-                found = pairs(line)
-                counts: dict = {}
-                for p in found:
-                    counts[p] = counts.get(p, 0) + 1
-                if any(p in known for p in counts):
-                    rows.append({"line": k, **_row(counts, known)})
-                for p, n in counts.items():
-                    total[p] = total.get(p, 0) + n
-            if rows:
-                rows.append({"line": -1, **_row(total, known)})
-            out.append(rows)
-        kind = pa.struct([("line", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("rest", pa.int64())])
-        return pa.array(out, pa.list_(kind))
+            words, begin = finder.words(text or "")
+            pos, at = finder.hits(words)
+            line = np.unique(np.searchsorted(begin, pos, "right") - 1)
+            sizes.append(len(words))
+            for to, part in zip(lists, (pos, at, line, begin[line], np.maximum(begin[line + 1] - begin[line] - 1, 0)), strict=True):
+                to.append(part.astype(np.int32))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), *map(_lists, lists)],
+                                          names=["size", "pos", "at", "line", "begin", "pairs"])
 
     return candidates.asNondeterministic()(text)
 
 
-def _row(counts: dict, known: dict) -> dict:
-    inside = {known[p]: n for p, n in counts.items() if p in known}
-    return {"at": list(inside), "n": list(inside.values()), "rest": sum(n * n for p, n in counts.items() if p not in known)}
-
-
-def _best(lines: Column, idf: np.ndarray, unseen: float, templates, least: float) -> Column:
-    """Column: best template of the lines, and of the whole text, with cosines."""
+def _best(hits: Column, idf: np.ndarray, unseen: float, templates, least: float) -> Column:
+    """Column: best template of the lines and windows, and of the whole text, with cosines."""
     known = _vocabulary(templates)
     vectors = np.zeros((len(templates), len(known)))
     for k, (_, text) in enumerate(templates):
         for p in pairs(text):
             vectors[k, known[p]] += 1
+    lengths = vectors.sum(axis=1).astype(int)
     vectors *= idf
     vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-12)
     names = [name for name, _ in templates]
 
+    def scored(at: np.ndarray, pos: np.ndarray, begin: np.ndarray, end: np.ndarray, dots: np.ndarray, squares: np.ndarray, of: np.ndarray):
+        """(stretch, template, cosine) for stretches [begin, end) of pairs that reach ``least`` with the templates ``of``."""
+        i, j = np.searchsorted(pos, begin), np.searchsorted(pos, end)
+        rest = (end - begin - (j - i)) * unseen**2
+        # with every pair once the length is smallest
+        bound = (dots[of][:, j] - dots[of][:, i]) / np.sqrt(np.maximum(squares[j] - squares[i] + rest, 1e-12))
+        for s in np.flatnonzero((bound >= least - 1e-6).any(axis=0)).tolist():
+            which, n = np.unique(at[i[s] : j[s]], return_counts=True)
+            w = n * idf[which]
+            cosine = np.round(vectors[of][:, which] @ w / np.sqrt(w @ w + rest[s]), 9)
+            for k in np.flatnonzero(cosine >= least).tolist():
+                yield s, of[k], float(cosine[k])
+
     @F.arrow_udf("struct<license:string,score:double,line:int,whole:string,whole_score:double>")
     def best(rows: pa.Array) -> pa.Array:
         out = []
-        for lines in rows.to_pylist():
-            top, whole = (None, 0.0, None), (None, 0.0)
-            for row in lines or []:
-                w = np.array(row["n"]) * idf[row["at"]]
-                cosine = vectors[:, row["at"]] @ w / np.sqrt(w @ w + row["rest"] * unseen**2)
-                score = round(float(cosine.max()), 9)
-                name = min(names[k] for k in np.flatnonzero(np.round(cosine, 9) == score))
-                if score < least:
-                    continue
-                if row["line"] < 0:
-                    whole = (name, score)
-                elif (-score, name) < (-top[1], top[0] or ""):
-                    top = (name, score, row["line"])
-            out.append({"license": top[0], "score": top[1] if top[0] else None, "line": top[2],
-                        "whole": whole[0], "whole_score": whole[1] if whole[0] else None})
+        every = np.arange(len(templates))
+        columns = {f.name: rows.field(f.name) for f in rows.type}
+        flat = {c: (x.offsets.to_numpy(), x.values.to_numpy()) for c, x in columns.items() if c != "size"}
+        for r, size in enumerate(columns["size"].to_pylist()):
+            pos, at, line, begin, inside = (v[o[r] : o[r + 1]].astype(np.int64) for o, v in (flat[c] for c in ("pos", "at", "line", "begin", "pairs")))
+            found: list[tuple[float, str, int]] = []
+            whole: list[tuple[float, str]] = []
+            if len(pos):
+                dots = np.concatenate([np.zeros((len(vectors), 1)), np.cumsum(vectors[:, at] * idf[at], axis=1)], axis=1)
+                squares = np.concatenate([[0.0], np.cumsum(idf[at] ** 2)])
+                line_of = lambda place: int(line[np.searchsorted(begin, place, "right") - 1])  # noqa: B023, E731
+                found += [(-c, names[k], int(line[s])) for s, k, c in scored(at, pos, begin, begin + inside, dots, squares, every)]
+                whole += [(-c, names[k]) for _, k, c in scored(at, pos, np.array([0]), np.array([size - 1]), dots, squares, every)]
+                for t, length in enumerate(lengths.tolist()):
+                    start = pos[vectors[t, at] > 0]
+                    for n in {length, length + length // 4}:
+                        end = np.minimum(start + n, size - 1)
+                        found += [(-c, names[k], line_of(start[s])) for s, k, c in scored(at, pos, start, end, dots, squares, every[t : t + 1])]
+            top = min(found, default=None)
+            out.append({"license": top and top[1], "score": top and -top[0], "line": top and top[2],
+                        "whole": min(whole)[1] if whole else None, "whole_score": -min(whole)[0] if whole else None})
         return pa.array(out, pa.struct([("license", pa.string()), ("score", pa.float64()), ("line", pa.int32()),
                                         ("whole", pa.string()), ("whole_score", pa.float64())]))
 
-    return best.asNondeterministic()(lines)
+    return best.asNondeterministic()(hits)
 
 
 def scan(df: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6,
@@ -135,17 +184,16 @@ def scan(df: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str =
     """A row per row of ``df``: doc_id, path, license, origin (``notice``, ``inherited`` or null), score, line
     (of the notice) and licensed_by (the directory whose licence is inherited)."""
     ship(df)
-    rows = written(df.select(F.col(id_col).alias("doc_id"), path.alias("path"), _candidates(F.col(text_col), templates).alias("lines")),
-                   "license-lines")
+    rows = written(df.select(F.col(id_col).alias("doc_id"), path.alias("path"), _candidates(F.col(text_col), templates).alias("hits")),
+                   "license-hits")
     known = _vocabulary(templates)
     n = rows.count()
-    whole = F.element_at(F.filter("lines", lambda r: r["line"] == -1), 1)["at"]
-    counts = rows.where(F.size("lines") > 0).select(F.explode(whole).alias("at")).groupBy("at").count().collect()  # a row a template pair
+    counts = rows.select(F.explode(F.array_distinct("hits.at")).alias("at")).groupBy("at").count().collect()  # a row a template pair
     df_of = np.zeros(len(known))
     for at, count in counts:
         df_of[at] = count
     idf = np.log((n + 1) / (df_of + 1)) + 1
-    scored = rows.select("doc_id", "path", _best(F.col("lines"), idf, float(np.log(n + 1) + 1), templates, least).alias("b"))
+    scored = rows.select("doc_id", "path", _best(F.col("hits"), idf, float(np.log(n + 1) + 1), templates, least).alias("b"))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     named = F.substring_index("path", "/", -1).rlike(FILE_NAME)
     scored = written(scored.select("doc_id", "path", folder.alias("dir"), "b.*", F.coalesce(named, F.lit(False)).alias("named")), "license-scores")

@@ -229,6 +229,17 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty, F.col("path")).collect() == []
 
 
+def test_license_notices_in_running_text(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    data = [(1, f"{words} Licensed under the Apache License, Version 2.0. {words}"),
+            (2, "This work is licensed under the GNU General\nPublic License, version 3.\n" + words),
+            (3, f"{words}\nREM This work is licensed under the GNU General\nREM Public License, version 3."),
+            (4, f"{words} under the {words}")]
+    df = spark.createDataFrame([(*r, None) for r in data], "doc_id long, text string, path string")
+    got = {r.doc_id: (r.license, r.line) for r in license_scan.scan(df, F.col("path")).collect()}
+    assert got == {1: ("Apache-2.0", 0), 2: ("GPL-3.0", 0), 3: ("GPL-3.0", 1), 4: (None, None)}
+
+
 def brute_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
