@@ -10,8 +10,13 @@ line.  Stretches without a template's pair have cosine 0.  A pair outside the
 templates counts in a stretch's length as often as it stands there, each time
 with the weight of a pair no document has.
 
-A document's licence is that of its best stretch at or above ``least``.  A
-document is a licence file if its name says so or its whole text matches; the
+A document that contains a whole licence (``file_least`` of the word pairs of
+one of the texts in ``licenses/``, each as often as it stands there) has that
+licence, of several the one with the most pairs found; any other has that of
+its best stretch at or above ``least``, one without a version only if no other
+is.  A document is a licence file if it contains a whole licence, if it is a
+notice and nothing else (cosine at or above ``file_least``), or if its name
+says so and it has a notice; the
 licence of a directory's best such file covers all documents below it that
 have no notice of their own, the nearest directory first.  Directories are
 resolved once each, by joining their ancestors with the licensed directories.
@@ -24,6 +29,7 @@ other; ties go to the smaller licence name; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +52,25 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    # usual header blocks
+    *((name, f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} "
+             f"as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+      for name, what, mark, kind, version in (
+          ("GPL-2.0", "program", ";", "General Public License", "2"), ("GPL-3.0", "program", ":", "General Public License", "3"),
+          ("AGPL-3.0", "program", ":", "Affero General Public License", "3"),
+          ("LGPL-2.1", "library", ";", "Lesser General Public License", "2.1"), ("LGPL-3.0", "library", ":", "Lesser General Public License", "3"))),
+    ("GPL", "You should have received a copy of the GNU General Public License"),
+    ("LGPL", "You should have received a copy of the GNU Lesser General Public License"),
+    ("AGPL", "You should have received a copy of the GNU Affero General Public License"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+                   "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
+#: Names without a version: taken only if no other notice is found.
+UNVERSIONED = {"GPL", "LGPL", "AGPL"}
+#: A text that has all of one licence but this title is another.
+TITLES = {"GPL-3.0": ("AGPL-3.0", re.compile(r"(?i)gnu\s+affero\s+general\s+public\s+license\W+version\s+3,\s+19\s+november"))}
 WORD = re.compile(r"\w+")
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 
@@ -56,6 +80,12 @@ def pairs(text: str) -> list[tuple[str, str]]:
     return list(zip(words, words[1:], strict=False))
 
 
+def license_texts() -> list[tuple[str, str]]:
+    """(name, text) of whole licences without their appendices; of the CC BY family the paragraph before section 1."""
+    folder = resources.files(__package__) / "licenses"
+    return sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in folder.iterdir() if f.name.endswith(".txt"))
+
+
 def _vocabulary(templates) -> dict[tuple[str, str], int]:
     known: dict[tuple[str, str], int] = {}
     for _, text in templates:
@@ -64,7 +94,8 @@ def _vocabulary(templates) -> dict[tuple[str, str], int]:
     return known
 
 
-HITS = "struct<size:int,pos:array<int>,at:array<int>,line:array<int>,begin:array<int>,pairs:array<int>>"
+HITS = ("struct<size:int,pos:array<int>,at:array<int>,line:array<int>,begin:array<int>,pairs:array<int>,"
+        "text:string,share:double,text_line:int>")
 
 
 class _Finder:
@@ -102,24 +133,61 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
 
 
-def _candidates(text: Column, templates) -> Column:
+class _Texts:
+    """Whole licences by the numbers of their pairs."""
+
+    def __init__(self, texts, known: dict[tuple[str, str], int], least: float):
+        self.names, self.least, self.size, self.texts = [n for n, _ in texts], least, len(known), []
+        for _, text in texts:
+            at = np.array([known[p] for p in pairs(text)], np.int64)
+            self.texts.append((*np.unique(at, return_counts=True), int(at[0]), len(at)))
+        self.shortest = min((t[3] for t in self.texts), default=np.inf)
+
+    def contained(self, pos: np.ndarray, at: np.ndarray) -> tuple[str, float, int] | None:
+        """(name, share of its pairs, place of its first pair) of the licence with the most pairs found."""
+        if len(at) < self.least * self.shortest:
+            return None
+        counts, best = np.bincount(at, minlength=self.size), None
+        for name, (which, n, first, size) in zip(self.names, self.texts, strict=True):
+            found = int(np.minimum(counts[which], n).sum())
+            if found >= self.least * size and (best is None or found > best[0]):
+                best = (found, name, round(found / size, 9), first)
+        if best is None:
+            return None
+        place = np.flatnonzero(at == best[3])
+        return best[1], best[2], int(pos[place[0]] if len(place) else pos[0])
+
+
+def _candidates(text: Column, templates, texts, file_least: float) -> Column:
     """Column: number of words, the template pairs (``at``) by place (``pos``) and the lines that have one:
-    ``line``, place of its first word (``begin``), number of pairs inside it (``pairs``)."""
+    ``line``, place of its first word (``begin``), number of pairs inside it (``pairs``); and the whole licence
+    contained (``text``) with the share of its pairs and the line where it begins."""
     known = _vocabulary(templates)
+    notices = len(known)
+    every = _vocabulary([*templates, *texts])
+    finder, whole = _Finder(every), _Texts(texts, every, file_least)
 
     @F.arrow_udf(HITS)
     def candidates(texts: pa.Array) -> pa.Array:
-        finder = _Finder(known)
-        sizes, lists = [], [[] for _ in range(5)]
+        sizes, lists, inside = [], [[] for _ in range(5)], []
         for text in values(texts):
             words, begin = finder.words(text or "")
             pos, at = finder.hits(words)
+            found = whole.contained(pos, at)
+            if found:
+                name, share, place = found
+                other, title = TITLES.get(name, (name, None))
+                found = (other if title and title.search(text) else name, share, int(np.searchsorted(begin, place, "right") - 1))
+            inside.append(found or (None, None, None))
+            pos, at = pos[at < notices], at[at < notices]
             line = np.unique(np.searchsorted(begin, pos, "right") - 1)
             sizes.append(len(words))
             for to, part in zip(lists, (pos, at, line, begin[line], np.maximum(begin[line + 1] - begin[line] - 1, 0)), strict=True):
                 to.append(part.astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), *map(_lists, lists)],
-                                          names=["size", "pos", "at", "line", "begin", "pairs"])
+        kinds = (pa.string(), pa.float64(), pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.array(sizes, pa.int32()), *map(_lists, lists), *(pa.array([x[i] for x in inside], k) for i, k in enumerate(kinds))],
+            names=["size", "pos", "at", "line", "begin", "pairs", "text", "share", "text_line"])
 
     return candidates.asNondeterministic()(text)
 
@@ -154,9 +222,9 @@ def _best(hits: Column, idf: np.ndarray, unseen: float, templates, least: float)
         out = []
         every = np.arange(len(templates))
         columns = {f.name: rows.field(f.name) for f in rows.type}
-        flat = {c: (x.offsets.to_numpy(), x.values.to_numpy()) for c, x in columns.items() if c != "size"}
+        flat = {c: (columns[c].offsets.to_numpy(), columns[c].values.to_numpy()) for c in ("pos", "at", "line", "begin", "pairs")}
         for r, size in enumerate(columns["size"].to_pylist()):
-            pos, at, line, begin, inside = (v[o[r] : o[r + 1]].astype(np.int64) for o, v in (flat[c] for c in ("pos", "at", "line", "begin", "pairs")))
+            pos, at, line, begin, inside = (v[o[r] : o[r + 1]].astype(np.int64) for o, v in flat.values())
             found: list[tuple[float, str, int]] = []
             whole: list[tuple[float, str]] = []
             if len(pos):
@@ -170,9 +238,10 @@ def _best(hits: Column, idf: np.ndarray, unseen: float, templates, least: float)
                     for n in {length, length + length // 4}:
                         end = np.minimum(start + n, size - 1)
                         found += [(-c, names[k], line_of(start[s])) for s, k, c in scored(at, pos, start, end, dots, squares, every[t : t + 1])]
-            top = min(found, default=None)
+            top = min(found, key=lambda x: (x[1] in UNVERSIONED, *x), default=None)
+            whole.sort(key=lambda x: (x[1] in UNVERSIONED, *x))
             out.append({"license": top and top[1], "score": top and -top[0], "line": top and top[2],
-                        "whole": min(whole)[1] if whole else None, "whole_score": -min(whole)[0] if whole else None})
+                        "whole": whole[0][1] if whole else None, "whole_score": -whole[0][0] if whole else None})
         return pa.array(out, pa.struct([("license", pa.string()), ("score", pa.float64()), ("line", pa.int32()),
                                         ("whole", pa.string()), ("whole_score", pa.float64())]))
 
@@ -180,11 +249,13 @@ def _best(hits: Column, idf: np.ndarray, unseen: float, templates, least: float)
 
 
 def scan(df: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6,
-         file_least: float = 0.9, templates=TEMPLATES) -> DataFrame:
+         file_least: float = 0.9, templates=TEMPLATES, texts=None) -> DataFrame:
     """A row per row of ``df``: doc_id, path, license, origin (``notice``, ``inherited`` or null), score, line
-    (of the notice) and licensed_by (the directory whose licence is inherited)."""
+    (of the notice or where the whole licence begins) and licensed_by (the directory whose licence is inherited).
+    ``texts`` are the whole licences, as ``templates`` are the notices; ``license_texts()`` by default."""
     ship(df)
-    rows = written(df.select(F.col(id_col).alias("doc_id"), path.alias("path"), _candidates(F.col(text_col), templates).alias("hits")),
+    texts = license_texts() if texts is None else texts
+    rows = written(df.select(F.col(id_col).alias("doc_id"), path.alias("path"), _candidates(F.col(text_col), templates, texts, file_least).alias("hits")),
                    "license-hits")
     known = _vocabulary(templates)
     n = rows.count()
@@ -193,10 +264,15 @@ def scan(df: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str =
     for at, count in counts:
         df_of[at] = count
     idf = np.log((n + 1) / (df_of + 1)) + 1
-    scored = rows.select("doc_id", "path", _best(F.col("hits"), idf, float(np.log(n + 1) + 1), templates, least).alias("b"))
+    scored = rows.select("doc_id", "path", _best(F.col("hits"), idf, float(np.log(n + 1) + 1), templates, least).alias("b"), F.col("hits.text").alias("t"),
+                         F.col("hits.share").alias("share"), F.col("hits.text_line").alias("t_line"))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     named = F.substring_index("path", "/", -1).rlike(FILE_NAME)
-    scored = written(scored.select("doc_id", "path", folder.alias("dir"), "b.*", F.coalesce(named, F.lit(False)).alias("named")), "license-scores")
+    scored = written(scored.select("doc_id", "path", folder.alias("dir"), F.coalesce("t", "b.license").alias("license"),
+                                   F.when(F.col("t").isNotNull(), F.col("share")).otherwise(F.col("b.score")).alias("score"),
+                                   F.when(F.col("t").isNotNull(), F.col("t_line")).otherwise(F.col("b.line")).alias("line"),
+                                   F.coalesce("t", "b.whole").alias("whole"), F.coalesce("share", "b.whole_score").alias("whole_score"),
+                                   F.coalesce(named, F.lit(False)).alias("named")), "license-scores")
     file_license = F.coalesce(F.when(F.col("whole_score") >= file_least, F.col("whole")), F.when(F.col("named"), F.col("license")))
     files = (scored.where(F.col("dir").isNotNull() & file_license.isNotNull())
              .select("dir", file_license.alias("name"), F.coalesce("whole_score", "score").alias("s")))

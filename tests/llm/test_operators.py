@@ -240,6 +240,25 @@ def test_license_notices_in_running_text(spark):
     assert got == {1: ("Apache-2.0", 0), 2: ("GPL-3.0", 0), 3: ("GPL-3.0", 1), 4: (None, None)}
 
 
+def test_license_files_are_found_by_their_text(spark, tmp_path):
+    texts = dict(license_scan.license_texts())
+    agpl = texts["GPL-3.0"].replace("GENERAL PUBLIC LICENSE", "AFFERO GENERAL PUBLIC LICENSE", 1).replace("29 June", "19 November", 1)
+    block = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    data = [(f"t-{name}", "en", k, "Copyright (c) 2020 Someone\n\n" + text) for k, (name, text) in enumerate(sorted(texts.items()))]
+    data += [(f"t-{name}", "en", 100 + k, f"plain words number {k}") for k, name in enumerate(sorted(texts))]
+    data += [("agpl", "en", 200, agpl), ("agpl", "de", 201, "nothing above"), ("src", "en", 202, "x = 1\n# " + block.replace(" terms", "\n# terms")),
+             ("src", "en", 203, "a header licenses no folder"), ("src", "en", 204, "You should have received a copy of the GNU General Public License"),
+             ("src", "de", 205, block + " You should have received a copy of the GNU General Public License")]
+    spark.createDataFrame(data, "source string, lang string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_license_scan(spark, str(tmp_path)).collect()}
+    for k, name in enumerate(sorted(texts)):
+        assert (got[k].license, got[k].origin) == (name, "notice")
+        assert (got[100 + k].license, got[100 + k].origin, got[100 + k].licensed_by) == (name, "inherited", f"t-{name}/en")
+    assert got[200].license == "AGPL-3.0" and got[201].license is None
+    assert (got[202].license, got[202].line) == ("GPL-3.0", 1) and got[205].license == "GPL-3.0"
+    assert got[204].license == "GPL" and got[203].license == "GPL"  # 204 is a notice and nothing else
+
+
 def brute_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
