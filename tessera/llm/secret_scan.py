@@ -3,7 +3,10 @@
 Patterns find assignments, access keys and hexadecimal strings.  Besides,
 every token of ``min_length`` or more key characters is tested:
 
-* its encoding is inferred: the smallest alphabet that holds it;
+* its encoding is inferred: the smallest alphabet that holds it; besides the
+  whole, its parts between '=' and the signs outside an encoding are tested
+  (a name before a key, a key in a path), each as a token of its own, and of
+  parts that overlap the one with the smallest p-value stands;
 * three tests ask whether it is random in that encoding: chi-squared
   uniformity over eight parts of the alphabet, the runs test about the
   alphabet's middle, and the lag-one serial correlation.  A token that any of
@@ -39,6 +42,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 TOKEN = "[A-Za-z0-9+/_=-]"
+#: Parts of a token in encodings with all signs, with '-_', with '+/' and with none; padding stays at the end.
+PARTS = [re.compile(f"[A-Za-z0-9{signs}]+(?:=+$)?") for signs in ("+/_-", "_-", "+/", "")]
 
 _UP, _LOW, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = [_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOW, _UP, _UP + "234567", _DIGITS + _LOW, _DIGITS + _UP,
@@ -120,17 +125,34 @@ def token_score(token: str, text_rate: float, reject: float) -> float:
     return min(float(UNITS), -math.log10(max(p, 10.0**-UNITS)))
 
 
-def test_tokens(text: str, tokens: re.Pattern, text_rate: float, reject: float) -> tuple[list[tuple[int, int, int, float]], int]:
-    """(kind, start, end, score) of the tokens that may be secrets, and the number of tokens."""
+def token_parts(token: str, min_length: int) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a token: the whole if an encoding may hold it, and its parts between '=' and
+    the signs that are outside one of the encodings."""
+    if token.isalnum():
+        return [(0, len(token))]
+    spans = [m.span() for part in PARTS for m in part.finditer(token)]
+    return list(dict.fromkeys((a, b) for a, b in spans if b - a >= min_length))
+
+
+def test_tokens(text: str, tokens: re.Pattern, min_length: int, text_rate: float, reject: float) -> tuple[list[tuple[int, int, int, float]], int]:
+    """(kind, start, end, score) of the tokens or parts that may be secrets, of parts that overlap the best, and the
+    number of tests."""
     found, tested = [], 0
     for m in tokens.finditer(text):
-        tested += 1
-        token = m.group()
-        if not (token[1:].islower() and token.isalpha()):
-            s = token_score(token, text_rate, reject)
-            if s > 0:
-                found.append((3, m.start(), m.end(), s))
-    return found, tested
+        token, scored = m.group(), []
+        for a, b in token_parts(token, min_length):
+            tested += 1
+            part = token[a:b]
+            if not (part[1:].islower() and part.isalpha()):
+                s = token_score(part, text_rate, reject)
+                if s > 0:
+                    scored.append((-s, a - b, a, b))
+        taken: list[tuple[int, int]] = []
+        for s, _, a, b in sorted(scored):
+            if all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                found.append((3, m.start() + a, m.start() + b, -s))
+    return sorted(found), tested
 
 
 def scanner(text: Column, *, min_length: int = 16, text_rate: float = 0.1, reject: float = 0.001) -> Column:
@@ -142,7 +164,7 @@ def scanner(text: Column, *, min_length: int = 16, text_rate: float = 0.1, rejec
     def scan(texts: pa.Array) -> pa.Array:
         size, kind, start, end, score = [0], [], [], [], []
         for text in values(texts):
-            found, tested = test_tokens(text or "", tokens, text_rate, reject)
+            found, tested = test_tokens(text or "", tokens, min_length, text_rate, reject)
             for k, a, b, s in [*((*b, None) for b in base_spans(text or "")), *found]:
                 kind.append(k), start.append(a), end.append(b), score.append(s)
             kind.append(-1), start.append(0), end.append(tested), score.append(None)
@@ -194,11 +216,11 @@ def redact(df: DataFrame, *, text_col: str = "text", length_col: str | None = "n
     ship(df)
     least = threshold(df.select(scanner(F.col(text_col), **battery).alias("s")), "s", fdr)
     new = "text_of_secret_stage"
-    rate, reject = battery.get("text_rate", 0.1), battery.get("reject", 0.001)
-    tokens = re.compile(TOKEN + "{%d,}" % battery.get("min_length", 16))
+    rate, reject, shortest = battery.get("text_rate", 0.1), battery.get("reject", 0.001), battery.get("min_length", 16)
+    tokens = re.compile(TOKEN + "{%d,}" % shortest)
 
     def rewritten(text: str) -> str:
-        random = [(a, b) for _, a, b, s in test_tokens(text, tokens, rate, reject)[0] if s >= least]
+        random = [(a, b) for _, a, b, s in test_tokens(text, tokens, shortest, rate, reject)[0] if s >= least]
         parts, at = [], 0
         for a, b in sorted([*((a, b) for _, a, b in base_spans(text)), *random]):
             if a >= at:

@@ -141,6 +141,22 @@ def test_secrets(docs, rows, empty):
     assert after[1000].text is None and after[1004].text == dict((r[0], r[1]) for r in rows)[1004]
 
 
+def test_secrets_inside_tokens(spark):
+    key = "Zq7Xk2LmP9vRt4YwB8nC3jHd6FsGa1Ue"
+    texts = [f"AUTH={key} end", f"https://host/get?sig={key}", f"see host/my-app/v_1/{key}/x-y here", f"x={key}== end", f"a+b/{key}-c_d", "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = df.select("doc_id", secret_scan.scanner(F.col("text")).alias("s"))
+    least = secret_scan.threshold(found, "s")
+    got = {r.doc_id: r.j for r in found.select("doc_id", secret_scan.joined(secret_scan.reported(F.col("s"), least)).alias("j")).collect()}
+    for i, text in enumerate(texts[:-1]):
+        assert got[i].startswith("random:") and got[i].count("random") == 1
+        _, a, b = got[i].split(":")
+        assert key in text[int(a):int(b)]
+    assert got[0] == "random:5:37" and got[5] == ""
+    clean = [r.text for r in secret_scan.redact(df, length_col=None).orderBy("doc_id").collect()]
+    assert clean[0] == "AUTH=[REDACTED] end" and clean[3] == "x=[REDACTED] end" and not any(key in c for c in clean)
+
+
 def test_fdr_threshold_needs_more_for_more_tests(spark):
     one = lambda tests: spark.createDataFrame([([(3, 0, 40, 4.0), (-1, 0, tests, None)],)], f"s {secret_scan.SPANS}")
     assert secret_scan.threshold(one(50), "s") == 4.0
