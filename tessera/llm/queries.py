@@ -58,7 +58,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 def op3_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     ship(docs)
-    found = written(docs.select("doc_id", secret_scan.scanner(F.col("text")).alias("s")), "secrets")
+    model = secret_scan.text_model(docs, "text")
+    found = written(docs.select("doc_id", secret_scan.scanner(F.col("text"), model=model).alias("s")), "secrets")
     least = secret_scan.threshold(found, "s")
     count = lambda k: F.size(F.filter("s", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)

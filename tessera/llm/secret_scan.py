@@ -11,9 +11,15 @@ every token of ``min_length`` or more key characters is tested:
   uniformity over eight parts of the alphabet, the runs test about the
   alphabet's middle, and the lag-one serial correlation.  A token that any of
   them rejects (Bonferroni, ``reject``) is not random;
-* its p-value as ordinary text is the chance that text of the same length
-  changes so often between lower case, upper case, digits and marks
-  (binomial with rate ``text_rate``), so short tokens need more.
+* its p-value as ordinary text is twice the smaller of two, and 1 if it is not
+  random: the chance that text of the same length changes so often between
+  lower case, upper case, digits and marks (binomial with rate ``text_rate``);
+  and the likelihood of its pairs of neighbours, case aside, by the pairs
+  counted over the corpus, over that of random characters of its encoding.  A
+  ratio as small has no larger chance in text (Markov's inequality), whatever
+  the length, so short tokens need more.  Without a ``model`` of the corpus
+  only the first is used.  Digits follow each other in ordinary numbers nearly
+  as in random ones: keys of digits alone have large p-values.
 
 Over all tokens of the corpus the Benjamini-Hochberg rule at level ``fdr``
 picks the p-value below which tokens are reported, as kind ``random``.  The
@@ -52,6 +58,14 @@ _SETS = [frozenset(e) for e in ENCODINGS]
 #: Histogram of -log10(p): this many bins a unit, this many units.
 BINS_A_UNIT, UNITS = 20, 60
 
+#: Characters by which neighbours are counted; a case counts as the other.
+SYMBOLS = _LOW + _DIGITS + "+/_-"
+_SYMBOL = np.full(256, -1)
+for _i, _c in enumerate(SYMBOLS):
+    _SYMBOL[[ord(_c), ord(_c.upper())]] = _i
+#: Share of random characters that the model of text allows for, and how many of them each character's counts begin with.
+RANDOM_SHARE, RANDOM_FIRST = 0.05, 64
+
 SPANS = "array<struct<kind:int,start:int,end:int,score:double>>"
 
 
@@ -85,11 +99,16 @@ def _binomial_tail(n: int, k: int, rate: float) -> float:
 _CLASS = bytes(0 if chr(b).islower() else 1 if chr(b).isupper() else 2 if chr(b).isdigit() else 3 for b in range(128)) + b"\x03" * 128
 
 
+def _encoding(body: str) -> str | None:
+    """Smallest alphabet that holds all characters."""
+    seen = frozenset(body)
+    return next((e for e, s in zip(ENCODINGS, _SETS, strict=True) if seen <= s), None)
+
+
 def randomness(token: str) -> float:
     """Smallest p-value of the battery times the number of tests, in the inferred encoding."""
     body = token.rstrip("=")
-    seen = frozenset(body)
-    alphabet = next((e for e, s in zip(ENCODINGS, _SETS, strict=True) if seen <= s), None)
+    alphabet = _encoding(body)
     if alphabet is None or len(body) < 8:
         return 0.0
     place = {c: i for i, c in enumerate(alphabet)}
@@ -113,16 +132,62 @@ def randomness(token: str) -> float:
     return min(1.0, 3 * min(chi, runs, serial))
 
 
-def token_score(token: str, text_rate: float, reject: float) -> float:
+def text_model(df: DataFrame, text_col: str) -> np.ndarray:
+    """How often a character follows another one over all texts: one pass, a row a pair of ``SYMBOLS``."""
+    size = len(SYMBOLS)
+
+    def count(batches):
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            for text in values(b.column(0)):
+                v = _SYMBOL[np.frombuffer((text or "").encode(), np.uint8)]
+                known = (v[:-1] >= 0) & (v[1:] >= 0)
+                total += np.bincount(v[:-1][known] * size + v[1:][known], minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    model = np.zeros(size * size)
+    for at, n in df.select(F.col(text_col)).mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n")).collect():
+        model[at] = n
+    return model.reshape(size, size)
+
+
+class Unlike:
+    """-log10 of a token's likelihood as text over that as random characters of its encoding."""
+
+    def __init__(self, model: np.ndarray):
+        self.model, self.tables = model, {}
+
+    def _table(self, alphabet: str) -> np.ndarray:
+        if alphabet not in self.tables:
+            random = np.bincount(_SYMBOL[[ord(c) for c in alphabet]], minlength=len(SYMBOLS)) / len(alphabet)
+            text = (self.model + RANDOM_FIRST * random) / (self.model.sum(axis=1, keepdims=True) + RANDOM_FIRST)
+            text = (1 - RANDOM_SHARE) * text + RANDOM_SHARE * random
+            self.tables[alphabet] = np.log10(np.where(random > 0, random, 1) / np.where(random > 0, text, 1))
+        return self.tables[alphabet]
+
+    def __call__(self, token: str) -> float:
+        body = token.rstrip("=")
+        alphabet = _encoding(body)
+        if alphabet is None:
+            return 0.0
+        v = _SYMBOL[np.frombuffer(body.encode(), np.uint8)]
+        return float(self._table(alphabet)[v[:-1], v[1:]].sum())
+
+
+def token_score(token: str, text_rate: float, reject: float, unlike: Unlike | None = None) -> float:
     """-log10 of the p-value as ordinary text; 0 if the battery says that the token is not random."""
     kinds = token.encode().translate(_CLASS)
     n = len(kinds) - 1
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    if changes <= text_rate * n or randomness(token) < reject:
-        return 0.0
-    # beyond a few hundred characters the tail is smaller than the histogram shows
-    p = _binomial_tail(n, changes, text_rate) if n <= 400 else math.exp(-2 * n * (changes / n - text_rate) ** 2)
-    return min(float(UNITS), -math.log10(max(p, 10.0**-UNITS)))
+    score = 0.0
+    if changes > text_rate * n:
+        # beyond a few hundred characters the tail is smaller than the histogram shows
+        p = _binomial_tail(n, changes, text_rate) if n <= 400 else math.exp(-2 * n * (changes / n - text_rate) ** 2)
+        score = -math.log10(max(p, 10.0**-UNITS))
+    if unlike is not None:
+        score = max(score, unlike(token)) - math.log10(2)
+    return min(float(UNITS), score) if score > 0 and randomness(token) >= reject else 0.0
 
 
 def token_parts(token: str, min_length: int) -> list[tuple[int, int]]:
@@ -134,7 +199,8 @@ def token_parts(token: str, min_length: int) -> list[tuple[int, int]]:
     return list(dict.fromkeys((a, b) for a, b in spans if b - a >= min_length))
 
 
-def test_tokens(text: str, tokens: re.Pattern, min_length: int, text_rate: float, reject: float) -> tuple[list[tuple[int, int, int, float]], int]:
+def test_tokens(text: str, tokens: re.Pattern, min_length: int, text_rate: float, reject: float,
+                unlike: Unlike | None = None) -> tuple[list[tuple[int, int, int, float]], int]:
     """(kind, start, end, score) of the tokens or parts that may be secrets, of parts that overlap the best, and the
     number of tests."""
     found, tested = [], 0
@@ -143,8 +209,8 @@ def test_tokens(text: str, tokens: re.Pattern, min_length: int, text_rate: float
         for a, b in token_parts(token, min_length):
             tested += 1
             part = token[a:b]
-            if not (part[1:].islower() and part.isalpha()):
-                s = token_score(part, text_rate, reject)
+            if unlike is not None or not (part[1:].islower() and part.isalpha()):
+                s = token_score(part, text_rate, reject, unlike)
                 if s > 0:
                     scored.append((-s, a - b, a, b))
         taken: list[tuple[int, int]] = []
@@ -155,16 +221,17 @@ def test_tokens(text: str, tokens: re.Pattern, min_length: int, text_rate: float
     return sorted(found), tested
 
 
-def scanner(text: Column, *, min_length: int = 16, text_rate: float = 0.1, reject: float = 0.001) -> Column:
-    """Column: all spans of a text.  Tested tokens have kind ``random`` and their score; base spans have score null.
+def scanner(text: Column, *, min_length: int = 16, text_rate: float = 0.1, reject: float = 0.001, model: np.ndarray | None = None) -> Column:
+    """Column: all spans of a text, with the ``text_model`` of the corpus.  Tested tokens have kind ``random`` and their score; base spans have score null.
     The last element, kind -1, has the number of tested tokens as its end."""
     tokens = re.compile(TOKEN + "{%d,}" % min_length)
+    unlike = None if model is None else Unlike(model)
 
     @F.arrow_udf(SPANS)
     def scan(texts: pa.Array) -> pa.Array:
         size, kind, start, end, score = [0], [], [], [], []
         for text in values(texts):
-            found, tested = test_tokens(text or "", tokens, min_length, text_rate, reject)
+            found, tested = test_tokens(text or "", tokens, min_length, text_rate, reject, unlike)
             for k, a, b, s in [*((*b, None) for b in base_spans(text or "")), *found]:
                 kind.append(k), start.append(a), end.append(b), score.append(s)
             kind.append(-1), start.append(0), end.append(tested), score.append(None)
@@ -211,16 +278,17 @@ def redact(df: DataFrame, *, text_col: str = "text", length_col: str | None = "n
            fdr: float = 0.01, **battery) -> DataFrame:
     """``df`` with every reported span of its texts replaced; rows without one are unchanged.
 
-    Two passes over the texts: the first finds the threshold, the second rewrites.
+    Three passes over the texts: the first counts neighbours, the second finds the threshold, the third rewrites.
     """
     ship(df)
-    least = threshold(df.select(scanner(F.col(text_col), **battery).alias("s")), "s", fdr)
+    unlike = Unlike(text_model(df, text_col))
+    least = threshold(df.select(scanner(F.col(text_col), model=unlike.model, **battery).alias("s")), "s", fdr)
     new = "text_of_secret_stage"
     rate, reject, shortest = battery.get("text_rate", 0.1), battery.get("reject", 0.001), battery.get("min_length", 16)
     tokens = re.compile(TOKEN + "{%d,}" % shortest)
 
     def rewritten(text: str) -> str:
-        random = [(a, b) for _, a, b, s in test_tokens(text, tokens, shortest, rate, reject)[0] if s >= least]
+        random = [(a, b) for _, a, b, s in test_tokens(text, tokens, shortest, rate, reject, unlike)[0] if s >= least]
         parts, at = [], 0
         for a, b in sorted([*((a, b) for _, a, b in base_spans(text)), *random]):
             if a >= at:

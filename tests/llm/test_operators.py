@@ -157,6 +157,22 @@ def test_secrets_inside_tokens(spark):
     assert clean[0] == "AUTH=[REDACTED] end" and clean[3] == "x=[REDACTED] end" and not any(key in c for c in clean)
 
 
+def test_secrets_of_one_class(spark, rows, tmp_path):
+    low, up = "qzkvwpxjhbtmcgyrdlfnoqsu", "XQ5KZ7VJ3WPGB2YTMHCXLNQD"
+    words = next(r[1].split() for r in rows if r[1] and len(r[1].split()) > 100)
+    ordinary = "".join(re.findall("[a-z]+", " ".join(words).lower()))[:40]
+    extra = [(2000, f"the {low} stands"), (2001, f"the {up} stands"), (2002, f"the {low.upper()} stands"),
+             (2003, f"the {ordinary} stands"), (2004, f"the {ordinary.upper()} stands")]
+    data = [(r[0], r[1]) for r in rows if len(r[1] or "") < 30_000 and (r[0] or 0) < 1000] + extra
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in queries.op3_secret_scan(spark, str(tmp_path)).collect()}
+    assert got[2000] == "random:4:28" and got[2001] == "random:4:28" and got[2002].startswith("random:4:")
+    assert got[2003] == got[2004] == ""
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df, length_col=None).collect()}
+    assert clean[2000] == clean[2001] == clean[2002] == "the [REDACTED] stands" and ordinary in clean[2003]
+
+
 def test_fdr_threshold_needs_more_for_more_tests(spark):
     one = lambda tests: spark.createDataFrame([([(3, 0, 40, 4.0), (-1, 0, tests, None)],)], f"s {secret_scan.SPANS}")
     assert secret_scan.threshold(one(50), "s") == 4.0
