@@ -7,7 +7,7 @@ metric.
 
 The tree is paged.  Its top level are ``pivots`` routing vectors; each holds
 the vectors nearest to it, dealt over pages trees of at most ``page_rows``
-rows (a common vector's copies are dealt over several by id).  Inside such a
+rows (a common vector's copies are dealt over several by row).  Inside such a
 tree vectors are split by distance to sampled centres down to leaves of
 ``leaf`` rows; every node keeps its pivot, covering radius and distance to the
 parent's pivot, every leaf entry its distance to the leaf's pivot.  A page is
@@ -22,10 +22,12 @@ work; per page each query returns at most k rows.
 
 Defined results: vectors that are null or empty of finite numbers only in
 part (null, NaN or infinite components), and rows without an id, take no
-part; shorter vectors are filled up with zeros; an id that repeats counts
-once, with its smallest vector; components are held to +-2**24 after scaling,
-so that scores fit a long; ties go to the smaller id; an empty table gives no
-rows; other columns are not read.
+part; shorter vectors are filled up with zeros; with ``every_row`` all rows of
+an id that repeats are candidates and, for its one list of k, queries, and no
+row of the query's own id is a candidate; without it such an id counts once,
+with its smallest vector; vectors whose scaled squared norm is 2**62 or more
+are an error, as their scores may not fit a long; ties go to the smaller id;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import Window as W
 
 from ._work import ship, written
 
-LIMIT = 1 << 24
+LIMIT = 1 << 62
 
 
 class Node:
@@ -133,13 +135,19 @@ def _matrix(column, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of every component; rows that take part only, one an id."""
+def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int, every_row: bool) -> DataFrame:
+    """(id, v, key): floor(scale * x) of every component; rows that take part only, and a number of the row."""
     x = F.transform(vector_col, lambda x: x.cast("double"))
     whole = F.forall(x, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    held = F.transform(x, lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))).cast("long"))
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(whole, F.lit(False)))
-    return rows.select(F.col(id_col).cast("long").alias("id"), held.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    scaled = F.transform(x, lambda x: x * scale)
+    norm = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x)
+    fits = F.when(norm >= float(LIMIT), F.raise_error(F.lit("op2: a scaled vector is too long for exact scores"))).otherwise(
+        F.transform(scaled, lambda x: F.floor(x).cast("long")))
+    held = rows.select(F.col(id_col).cast("long").alias("id"), fits.alias("v"))
+    if not every_row:
+        held = held.groupBy("id").agg(F.min("v").alias("v"))
+    return held.withColumn("key", F.monotonically_increasing_id())
 
 
 def _map(values: dict):
@@ -147,19 +155,20 @@ def _map(values: dict):
 
 
 def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_modulus: int = 100, k: int = 10,
-          scale: int = 1024, pivots: int = 16, page_rows: int = 4096, leaf: int = 256, block: int = 512) -> DataFrame:
+          scale: int = 1024, pivots: int = 16, page_rows: int = 4096, leaf: int = 256, block: int = 512,
+          every_row: bool = False) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) for every row whose id is divisible by ``query_modulus``."""
     spark = ship(df)
-    base = written(integer_vectors(df, id_col, vector_col, scale), "vectors")
+    base = written(integer_vectors(df, id_col, vector_col, scale, every_row), "vectors")
     squared = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     n, size, largest, asked = base.agg(F.count("*"), F.max(F.size("v")), F.max(squared),
                                        F.count_if(F.col("id") % query_modulus == 0)).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     size, largest = max(size, 1), float(largest)
-    base = base.select("id", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(size) - F.size("v"))).alias("v"))
+    base = base.select("id", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(size) - F.size("v"))).alias("v"), "key")
     # routing vectors: far from each other in a sample of fixed size, the lowest hashes
-    sample = base.orderBy(F.xxhash64("id")).limit(64 * pivots).toArrow()
+    sample = base.orderBy(F.xxhash64("key")).limit(64 * pivots).toArrow()
     points = _raise(np.unique(_matrix(sample.column("v"), size), axis=0), largest)
     chosen, gap = [0], _distances(points, points[0])
     while len(chosen) < pivots and gap.max() > 0:
@@ -171,25 +180,25 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         for b in batches:
             p = _raise(_matrix(b.column(1), size), largest)
             nearest = np.stack([_distances(p, c) for c in centres]).argmin(axis=0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest, pa.int32())], names=["id", "v", "pivot"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest, pa.int32())], names=["id", "v", "key", "pivot"])
 
-    routed = written(base.mapInArrow(route, "id bigint, v array<bigint>, pivot int"), "routed")
+    routed = written(base.mapInArrow(route, "id bigint, v array<bigint>, key bigint, pivot int"), "routed")
     sizes = {r[0]: r[1] for r in routed.groupBy("pivot").count().collect()}  # a row a pivot
     cuts = {p: -(-c // page_rows) for p, c in sizes.items()}
     first = {p: sum(cuts[o] for o in cuts if o < p) for p in cuts}
-    page = _map(first)[F.col("pivot")] + F.pmod(F.xxhash64("id"), _map(cuts)[F.col("pivot")]).cast("int")
+    page = _map(first)[F.col("pivot")] + F.pmod(F.xxhash64("key"), _map(cuts)[F.col("pivot")]).cast("int")
 
     def build(key, rows):
         vectors, ids, pivot = _matrix(rows.column("v"), size), rows.column("id").to_numpy(), rows.column("pivot")[0].as_py()
         tree = grow(_raise(vectors, largest), np.arange(len(ids)), leaf, pivot=centres[pivot])
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([pivot], pa.int32()), pa.array([tree.radius]),
-                         pa.array([pickle.dumps((tree, vectors.astype(np.int32), ids))], pa.binary())],
+                         pa.array([pickle.dumps((tree, vectors.astype(np.int32 if np.abs(vectors).max(initial=0) < 1 << 31 else np.int64), ids))], pa.binary())],
                         names=["page", "pivot", "radius", "tree"])
 
     pages = written(routed.withColumn("page", page).groupBy("page").applyInArrow(build, "page int, pivot int, radius double, tree binary"), "pages")
     top = pages.select("page", "pivot", "radius").toArrow()  # a row for page_rows vectors
     queries = routed.where(F.col("id") % query_modulus == 0).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked // block)))).cast("int"))
+        "block", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-asked // block)))).cast("int"))
 
     def look(key, tree, asked):
         out = []

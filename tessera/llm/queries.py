@@ -40,7 +40,7 @@ def op1_best_fit_packing(spark, sf_dir):
 
 @query
 def op2_metric_search(spark, sf_dir):
-    return metric_search.top_k(table(spark, sf_dir, "embeddings"))
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"), every_row=True)
 
 
 ORACLE["op2_metric_search"] = """

@@ -118,6 +118,21 @@ def test_metric_search(spark, page_rows):
     assert metric_search.top_k(df.where("vec_id = 100")).collect() == []
 
 
+def test_metric_search_takes_every_row(spark, duck, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(300, 6)), 2)
+    vectors[::7] *= 20_000.0  # components beyond 2**24 after scaling, scores that the SQL's doubles hold
+    data = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(i, (3 * v).tolist()) for i, v in enumerate(vectors) if i % 5 == 0]
+    data += [(9, vectors[9].tolist())] * 4 + [(None, vectors[9].tolist())]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = queries.ORACLE["op2_metric_search"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = Counter(tuple(r) for r in queries.op2_metric_search(spark, str(tmp_path)).collect())
+    assert got == Counter(duck.sql(sql).fetchall())
+    long = spark.createDataFrame([(0, [1e9, 1e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too long for exact scores"):
+        metric_search.top_k(long).collect()
+
+
 def test_secrets(docs, rows, empty):
     found = docs.select("doc_id", "text", secret_scan.scanner(F.col("text")).alias("s"))
     least = secret_scan.threshold(found, "s")
