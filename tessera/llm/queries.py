@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontaminate, language_id, license_scan, metric_search, ring_sharding, secret_scan, simhash, substring_dedup, suffix_dedup
+from . import (
+    best_fit_packing,
+    decontaminate,
+    language_id,
+    lattice_score,
+    license_scan,
+    metric_search,
+    ring_sharding,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    token_alignment,
+    whitening,
+)
 from ._work import ship, written
 
 QUERIES: dict = {}
@@ -120,3 +134,26 @@ def op9_language_id(spark, sf_dir):
 def op10_substring_dedup(spark, sf_dir):
     found = substring_dedup.dedup(table(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def left_out(doc_id):
+    """True for a seventh of the ids; a null id is not left out, and not learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
+
+
+@query
+def op11_lattice_score(spark, sf_dir):
+    doc_id = F.col("doc_id")
+    found = lattice_score.score(table(spark, sf_dir, "documents"), lattice_score.read_ranks(tokenizer("byte_bpe_multi_50k.tiktoken")),
+                                doc_id.isNotNull() & ~left_out(doc_id))
+    return found.withColumn("held_out", left_out(doc_id))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
