@@ -1,7 +1,9 @@
 """Steps shared by the two operators that find repeated passages.
 
-Rows are named by ``ref``, a hash of id and text: the same on every run and
-for every partitioning.  Fully equal rows share it and get equal results.
+Rows are named by two hashes of id and text, the same on every run and for
+every partitioning; fully equal rows share them and get equal results.  ``ref``
+has 64 bits; more bits of the name (31 in op10, 16 in op4) ride in the upper
+bits of the positions, so that rows whose refs collide keep apart.
 """
 
 from __future__ import annotations
@@ -21,6 +23,16 @@ def row_ref(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.lit("/"), F.col(text_col))
 
 
+def row_tag(id_col: str, text_col: str, bits: int) -> Column:
+    """Further ``bits`` of a row's name, signed, independent of ``row_ref``."""
+    return F.shiftright(F.xxhash64(F.lit("tag"), F.col(id_col), F.lit("/"), F.col(text_col)), 64 - bits)
+
+
+def tagged(at: np.ndarray, tag: int, shift: int) -> np.ndarray:
+    """Positions (below ``1 << shift``) with the tag of their row above them."""
+    return at.astype(np.int64) | np.int64(int(tag) << shift)
+
+
 def maybe_in(df: DataFrame, ref: str, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose ``ref`` may be in ``refs``, and those for which it surely is not.
 
@@ -36,10 +48,11 @@ def maybe_in(df: DataFrame, ref: str, refs: DataFrame) -> tuple[DataFrame, DataF
     return tested.where(held).select(*df.columns), tested.where(~held).select(*df.columns)
 
 
-def adjacent(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def adjacent(keys: list) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts the rows by ``keys`` (first key first), and for each sorted row its group's number.
 
-    A multikey sort: by the first key alone, then each later key only inside runs of equal earlier keys.
+    A multikey sort: by the first key alone, then each later key only inside runs of equal earlier keys.  A later key
+    may be a function of the rows that are still tied.
     """
     order = np.argsort(keys[0], kind="stable")
     first = keys[0][order]
@@ -51,9 +64,10 @@ def adjacent(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         group = np.cumsum(new)[at]
-        inner = np.lexsort((key[order[at]], group))
+        k = key(order[at]) if callable(key) else key[order[at]]
+        inner = np.lexsort((k, group))
         order[at] = order[at][inner]
-        k = key[order[at]]
+        k = k[inner]
         new[at[1:]] |= k[1:] != k[:-1]
     return order, np.cumsum(new) - 1
 
@@ -86,12 +100,32 @@ class Chunks:
         return out
 
 
-def whole_partition(batches) -> list[np.ndarray] | None:
-    """All rows of a partition as arrays (partitions are sized by Spark)."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None
-
+def grouped(batches, key: int = 0):
+    """Arrays of the columns for whole runs of equal keys, of batches that come sorted by ``key``.
 
-def positions(flags: DataFrame, *names: str) -> DataFrame:
-    """One row a ref: the distinct positions of each kind as sorted arrays."""
-    return flags.groupBy("ref").agg(*(F.sort_array(F.collect_set(n)).alias(n) for n in names))
+    No more than a batch and one unfinished run are held, whatever the partition's size.
+    """
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        keys = columns[key]
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+        if cut or (held and held[-1][key][-1] != keys[0]):
+            if not cut:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            else:
+                head = [c[:cut] for c in columns]
+                yield [np.concatenate(c) for c in zip(*held, head, strict=True)]
+                held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def positions(flags: DataFrame, name: str, shift: int) -> DataFrame:
+    """One row a named row (``ref``, ``tag``): its distinct positions as a sorted array."""
+    return flags.groupBy("ref", F.shiftright(name, shift).alias("tag")).agg(
+        F.sort_array(F.collect_set(F.col(name).bitwiseAND(F.lit((1 << shift) - 1)))).alias(name))

@@ -52,45 +52,72 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+#: Modulus of the polynomial hashes: the Mersenne prime 2**61 - 1.
+PRIME = (1 << 61) - 1
+
+
+def modulo(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2**64 modulo the prime."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def times_modulo(a: np.ndarray, b: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 31 and 30 bits; piece by piece, for the caches."""
+    out = np.empty(np.broadcast(a, b).shape, U64)
+    low31, low30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+    for i in range(0, len(out), at_once):
+        x, y = a[i : i + at_once], b[i : i + at_once] if b.ndim else b
+        x1, x0, y1, y0 = x >> U64(31), x & low31, y >> U64(31), y & low31
+        middle = x1 * y0 + x0 * y1
+        # 2**62 counts as 2, 2**61 as 1
+        out[i : i + at_once] = modulo(x1 * y1 * U64(2) + (middle >> U64(30)) + ((middle & low30) << U64(31)) + x0 * y0)
+    return out
+
+
 class Roller:
-    """Polynomial hashes (mod 2**64) of all fixed-length windows of an array.
+    """Polynomial hashes, modulo a prime, of all fixed-length windows of an array.
 
-    ``windows(values, k)`` is the hash of ``values[i:i+k]`` for every i.  The
-    base is odd, so it has an inverse and one prefix sum serves any length.
-    Different ``seed`` give independent hashes.
+    ``windows(prefix(values), k)`` is the hash of ``values[i:i+k]`` for every i.
+    The base has an inverse, so one prefix sum serves any length.  Different
+    ``seed`` give independent hashes.
     """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62, dtype=np.uint64)) * 8 + 5 & (1 << 64) - 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+        self.base = int(rng.integers(1 << 32, PRIME, dtype=np.uint64))
+        self.inverse = pow(self.base, -1, PRIME)
+        self.table = rng.integers(1, PRIME, 256, dtype=np.uint64)
         self.up = self.down = np.ones(1, U64)
 
     def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << max(12, int(n - 1).bit_length())
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, base, U64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up, self.down = (np.concatenate([p, times_modulo(p, np.asarray(pow(base, k, PRIME), U64))])
+                                  for p, base in ((self.up, self.base), (self.down, self.inverse)))
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of ``values`` (uint64), one longer than it."""
+        """Prefix sums of ``values`` (uint64, taken modulo the prime), one longer than it."""
         self._powers(len(values) + 1)
+        terms = times_modulo(modulo(values), self.up[: len(values)])
         out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
+        # sums of halves stay below 2**61 for 2**30 values
+        high, low = np.cumsum(terms >> U64(31)), np.cumsum(terms & U64((1 << 31) - 1))
+        out[1:] = modulo((high >> U64(30)) + ((high & U64((1 << 30) - 1)) << U64(31)) + low)
         return out
 
+    def _hash(self, ends: np.ndarray, starts: np.ndarray, down: np.ndarray) -> np.ndarray:
+        return mix(times_modulo(modulo(ends + (U64(PRIME) - starts)), down))
+
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hashes of the spans [start, end)."""
-        return mix((prefix[end] - prefix[start]) * self.down[start])
+        return self._hash(prefix[end], prefix[start], self.down[start])
 
     def windows(self, prefix: np.ndarray, k: int) -> np.ndarray:
         n = len(prefix) - k
         if n <= 0:
             return np.zeros(0, U64)
-        return mix((prefix[k:] - prefix[:n]) * self.down[:n])
+        return self._hash(prefix[k:], prefix[:n], self.down[:n])
 
 
 def mix(h: np.ndarray) -> np.ndarray:

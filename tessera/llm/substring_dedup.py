@@ -10,15 +10,16 @@ a document with a smaller doc_id.
 2. An anchor that stands in two places makes the windows that hold it
    candidates.  Each task combines its own equal anchors first and sends one
    row of each, so a hot anchor costs a row a task.
-3. Extension: the candidates' whole windows are compared by a 96-bit
-   fingerprint and the smallest document of each is found, again after
+3. Extension: the candidates' whole windows are compared by a 93-bit
+   fingerprint (two polynomial hashes modulo a prime) and the smallest document of each is found, again after
    combining inside each task.  Windows are judged on the input.
 
 Texts that hold no candidate never leave their scan: a bitmap of fixed size
 keeps them out of the shuffles.
 
 Defined results: null and empty texts have no words; texts shorter than a
-window lose nothing; rows without doc_id come after all others, among
+window lose nothing; ids of any type are ordered as Spark orders them; rows
+without doc_id come after all others, among
 themselves in the order of a hash of their text; rows with the same doc_id
 never cause each other's removal; an empty table gives no rows; other columns
 are not read.
@@ -32,14 +33,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._repeats import Chunks, adjacent, batch, maybe_in, positions, row_ref, spread_key, whole_partition
+from ._repeats import Chunks, adjacent, batch, grouped, maybe_in, positions, row_ref, row_tag, spread_key, tagged
 from ._work import U64, Roller, cover_mask, runs_of, ship, word_spans, written
 
 #: Perfect difference sets (every non-zero difference modulo the period, once).
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
 
+#: Positions have 32 bits, the rows' tags above them 31.
+SHIFT = 32
+
+
 class Hasher:
     """Hashes of words and of word sequences; one a worker."""
 
@@ -88,7 +94,7 @@ def _texts(b: pa.RecordBatch, column: int):
 
 
 def _anchors(window: int, period: int):
-    """(ref, text) -> anchors (key, h, ref, at, state); state 0: alone in this task so far, 1: repeated here, its rows
+    """(ref, tag, text) -> anchors (key, h, ref, at, state); state 0: alone in this task so far, 1: repeated here, its rows
     are reported, 2: a reported row."""
     length = window - period + 1
 
@@ -103,20 +109,20 @@ def _anchors(window: int, period: int):
         rows = np.concatenate([rep, known])
         state = np.concatenate([many[rep].astype(np.int8), np.full(len(known), 2, np.int8)])
         key = np.concatenate([h[rep].view(np.int64), spread_key(ref[known], at[known])])
-        return batch(["key", "h", "ref", "at", "state"], [key, h[rows].view(np.int64), ref[rows], at[rows].astype(np.int32), state])
+        return batch(["key", "h", "ref", "at", "state"], [key, h[rows].view(np.int64), ref[rows], at[rows], state])
 
     def run(batches):
         hs, chunks = hasher(), Chunks()
         for b in batches:
-            refs = b.column(0).to_numpy()
-            for ref, data in zip(refs, _texts(b, 1), strict=True):
+            refs, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for ref, tag, data in zip(refs, tags, _texts(b, 2), strict=True):
                 if len(data) < 2 * window - 1:  # too short for so many words
                     continue
                 _, _, words = hs.words(data, 0)
                 if len(words) < window:
                     continue
                 at = anchor_places(len(words), period, length)
-                full = chunks.add(hs.windows(words, 0, length)[at], np.full(len(at), ref), at)
+                full = chunks.add(hs.windows(words, 0, length)[at], np.full(len(at), ref), tagged(at, tag, SHIFT))
                 if full:
                     yield combine(chunks.take())
         if chunks.rows:
@@ -126,20 +132,17 @@ def _anchors(window: int, period: int):
 
 
 def _shared(batches):
-    """Anchors of one key range -> (ref, at) of those in two places or more."""
-    columns = whole_partition(batches)
-    if columns is None:
-        return
-    _, h, ref, at, state = columns
-    told = state == 2
-    h, alone, r, a = h[~told], state[~told] == 0, ref[~told], at[~told]
-    order, group = adjacent([h])
-    found = order[(np.bincount(group)[group] > 1) & alone[order]] if len(h) else order
-    yield batch(["ref", "at"], [np.concatenate([ref[told], r[found]]), np.concatenate([at[told], a[found]])])
+    """Anchors sorted by key -> (ref, at) of those in two places or more."""
+    for _, h, ref, at, state in grouped(batches):
+        told = state == 2
+        h, alone, r, a = h[~told], state[~told] == 0, ref[~told], at[~told]
+        order, group = adjacent([h])
+        found = order[(np.bincount(group)[group] > 1) & alone[order]] if len(h) else order
+        yield batch(["ref", "at"], [np.concatenate([ref[told], r[found]]), np.concatenate([at[told], a[found]])])
 
 
 def _windows(window: int, period: int):
-    """(ref, id, tie, text, at) -> windows (key, w1, w2, id, tie, ref, pos, state) at candidate positions; state 2: a
+    """(ref, tag, id, tie, text, at) -> windows (key, w1, w2, id, tie, ref, pos, state) at candidate positions; state 2: a
     smaller document has it in this task already."""
 
     def combine(columns):
@@ -158,23 +161,23 @@ def _windows(window: int, period: int):
         state[int(keep.sum()) :] = 2
         key = np.where(state == 2, spread_key(ref[rows], pos[rows]), w1[rows].view(np.int64))
         return batch(["key", "w1", "w2", "id", "tie", "ref", "pos", "state"],
-                     [key, w1[rows].view(np.int64), w2[rows].view(np.int32), ident[rows], tie[rows], ref[rows], pos[rows].astype(np.int32), state])
+                     [key, w1[rows].view(np.int64), w2[rows].view(np.int32), ident[rows], tie[rows], ref[rows], pos[rows], state])
 
     def run(batches):
         hs, chunks = hasher(), Chunks()
         for b in batches:
-            refs, ids, ties = (b.column(i).to_numpy() for i in range(3))
-            for k, data in enumerate(_texts(b, 3)):
+            refs, tags, ids, ties = (b.column(i).to_numpy() for i in range(4))
+            for k, data in enumerate(_texts(b, 4)):
                 _, _, words = hs.words(data, 0)
                 n = len(words) - window + 1
-                at = b.column(4)[k].values.to_numpy().astype(np.int64)
+                at = b.column(5)[k].values.to_numpy().astype(np.int64)
                 first = np.maximum(at - period + 1, 0)
                 pos = np.flatnonzero(cover_mask(n, first[first < n], (at - first + 1)[first < n]))
                 if not len(pos):
                     continue
                 w1 = hs.windows(words, 0, window)[pos]
                 w2 = (hs.windows(hs.words(data, 1)[2], 1, window)[pos] >> U64(32)).astype(np.uint32)
-                if chunks.add(w1, w2, *(np.full(len(pos), x[k]) for x in (ids, ties, refs)), pos):
+                if chunks.add(w1, w2, *(np.full(len(pos), x[k]) for x in (ids, ties, refs)), tagged(pos, tags[k], SHIFT)):
                     yield combine(chunks.take())
         if chunks.rows:
             yield combine(chunks.take())
@@ -199,16 +202,26 @@ def _later(group: np.ndarray, ident: np.ndarray, tie: np.ndarray) -> np.ndarray:
 
 
 def _owned(batches):
-    """Windows of one key range -> (ref, pos) of those that a smaller document has too."""
-    columns = whole_partition(batches)
-    if columns is None:
-        return
-    _, w1, w2, ident, tie, ref, pos, state = columns
-    told = state == 2
-    w1, w2, i, t, r, p = (c[~told] for c in (w1, w2, ident, tie, ref, pos))
-    order, group = adjacent([w1, w2])
-    late = order[_later(group, i[order], t[order])]
-    yield batch(["ref", "pos"], [np.concatenate([ref[told], r[late]]), np.concatenate([pos[told], p[late]])])
+    """Windows sorted by key -> (ref, pos) of those that a smaller document has too."""
+    for _, w1, w2, ident, tie, ref, pos, state in grouped(batches):
+        told = state == 2
+        w1, w2, i, t, r, p = (c[~told] for c in (w1, w2, ident, tie, ref, pos))
+        order, group = adjacent([w1, w2])
+        late = order[_later(group, i[order], t[order])]
+        yield batch(["ref", "pos"], [np.concatenate([ref[told], r[late]]), np.concatenate([pos[told], p[late]])])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with numbers (id, tie) that order them by doc_id, whatever its type; rows without it come last, by a hash."""
+    doc_id = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        docs = docs.withColumn("id", doc_id.cast("long"))
+    else:  # numbers that rise from sorted partition to sorted partition
+        order = docs.select(doc_id.alias("same_id")).where("same_id IS NOT NULL").distinct().orderBy("same_id")
+        order = written(order.withColumn("id", F.monotonically_increasing_id()), "ids")
+        docs = docs.join(order, doc_id == F.col("same_id"), "left")
+    none = doc_id.isNull()
+    return docs.withColumns({"id": F.when(none, F.lit((1 << 63) - 1)).otherwise(F.col("id")), "tie": F.when(none, F.col("ref")).otherwise(F.lit(0))})
 
 
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, period: int = 31) -> DataFrame:
@@ -216,17 +229,15 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wind
     ship(df)
     if not period < window or period not in COVERS:
         raise ValueError(f"period must be one of {sorted(COVERS)} and below the window")
-    last = F.lit((1 << 63) - 1)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_ref(id_col, text_col).alias("ref"))
-    anchors = docs.select("ref", "text").mapInArrow(_anchors(window, period), "key bigint, h bigint, ref bigint, at int, state tinyint")
-    shared = anchors.repartition("key").mapInArrow(_shared, "ref bigint, at int")
-    marked = written(positions(shared, "at"), "anchors")
-    texts = docs.select("ref", F.coalesce(F.col("doc_id").cast("long"), last).alias("id"),
-                        F.when(F.col("doc_id").isNull(), F.col("ref")).otherwise(F.lit(0)).alias("tie"), "text")
-    texts = maybe_in(texts, "ref", marked)[0].join(marked, "ref").select("ref", "id", "tie", "text", "at")
-    found = texts.mapInArrow(_windows(window, period), "key bigint, w1 bigint, w2 int, id bigint, tie bigint, ref bigint, pos int, state tinyint")
-    owned = found.repartition("key").mapInArrow(_owned, "ref bigint, pos int")
-    removed = written(positions(owned, "pos"), "windows")
+    named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = named.withColumns({"ref": row_ref("doc_id", "text"), "tag": row_tag("doc_id", "text", 31)})
+    anchors = docs.select("ref", "tag", "text").mapInArrow(_anchors(window, period), "key bigint, h bigint, ref bigint, at bigint, state tinyint")
+    shared = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "ref bigint, at bigint")
+    marked = written(positions(shared, "at", SHIFT), "anchors")
+    texts = numbered(maybe_in(docs, "ref", marked)[0].join(marked, ["ref", "tag"])).select("ref", "tag", "id", "tie", "text", "at")
+    found = texts.mapInArrow(_windows(window, period), "key bigint, w1 bigint, w2 int, id bigint, tie bigint, ref bigint, pos bigint, state tinyint")
+    owned = found.repartition("key").sortWithinPartitions("key").mapInArrow(_owned, "ref bigint, pos bigint")
+    removed = written(positions(owned, "pos", SHIFT), "windows")
     return finish(docs, removed, _cut_words(window), "n_words bigint, n_removed bigint, kept array<struct<start:int,end:int>>, kept_sha256 string")
 
 
@@ -235,8 +246,8 @@ def finish(docs: DataFrame, removed: DataFrame, cut, schema: str) -> DataFrame:
     docs = docs.withColumn("doc_key", F.struct("doc_id"))
     kind = f"doc_key struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()}>, {schema}"
     hit, rest = maybe_in(docs, "ref", removed)
-    none = F.array().cast(removed.schema[1].dataType)
-    touched = hit.join(removed, "ref", "left").select("doc_key", "text", F.coalesce(removed.columns[1], none).alias("pos"))
+    none = F.array().cast(removed.schema[2].dataType)
+    touched = hit.join(removed, ["ref", "tag"], "left").select("doc_key", "text", F.coalesce(removed.columns[2], none).alias("pos"))
     rest = rest.select("doc_key", "text", none.alias("pos"))
     out = touched.mapInArrow(cut, kind).unionByName(rest.mapInArrow(cut, kind))
     return out.select("doc_key.doc_id", *out.columns[1:])
