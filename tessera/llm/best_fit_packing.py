@@ -225,7 +225,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col
         n = left.count()
         tasks = -(-n // items_per_task)
         # another round helps unless one task has already seen everything, or nothing was joined
-        if n <= 1 or before == 1 or (before is not None and n > 0.98 * seen):
+        if n <= 1 or before == 1 or (before is not None and n >= seen):
             return _members(done.unionByName(left))
         k, before, seen = k + 1, tasks, n
         dealt = left.select("fill", "members").repartition(tasks, F.xxhash64("bin"))

@@ -18,29 +18,31 @@ shards of at most ``shard_items`` items, so what is sent to the executors is
 bounded by that parameter, and every text queries every shard (one scan of
 the texts for each shard).
 
-Defined results: null and empty texts or items match nothing; repeated items
-are reported each; a text that holds an item several times reports its best
+Defined results: null and empty texts or items match nothing; ids have any
+type, null ones are carried; repeated items are reported each; a text that holds an item several times reports its best
 passage; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._work import ship, values
+from ._work import ship, values, written
 
 WORD = re.compile(r"\w+")
 #: Widely used BM25 parameters.
 K1, B = 1.2, 0.75
 #: Passages of a long text are scored in groups of this many (passage, item) cells.
 CELLS = 1 << 20
-HIT = "array<struct<item:bigint,passage:bigint,score:double,question:double,answer:double>>"
+HIT = "array<struct<item:{item},passage:bigint,score:double,question:double,answer:double>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,6 +76,7 @@ class Index:
     block_of: np.ndarray
     block_rows: np.ndarray  # first posting of each word's block
     block_top: np.ndarray  # largest impact of the word in the block
+    id_type: T.DataType = T.LongType()
 
 
 def build(items: list, texts: list[str], df: dict[str, int], n_items: int, mean_words: float, longest: int, block: int) -> Index:
@@ -213,7 +216,7 @@ def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
     """The index shards of a table of test items, one after the other."""
     ship(items)
     rows = items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    worded = rows.withColumn("words", _split("text"))
+    worded = written(rows.withColumn("words", _split("text")), "benchmark-words")
     n, mean, longest = worded.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
     shards = max(1, -(-n // shard_items))
     # equal texts get different shards by their id, so a shard's share is even
@@ -223,7 +226,8 @@ def indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
     for k in range(shards if n else 0):
         own = worded.where(F.col("shard") == k).select("item", "text").orderBy("item", "text").toArrow().to_pydict()
         terms = df.join(counted.where(F.col("shard") == k).select("w").distinct(), "w").toArrow().to_pydict()
-        yield build(own["item"], own["text"], dict(zip(terms["w"], terms["df"], strict=True)), n, mean or 0.0, longest or 0, block)
+        index = build(own["item"], own["text"], dict(zip(terms["w"], terms["df"], strict=True)), n, mean or 0.0, longest or 0, block)
+        yield replace(index, id_type=rows.schema["item"].dataType)
 
 
 def _split(text: str) -> Column:
@@ -240,34 +244,35 @@ def leaked(text: Column, index: Index, *, least: float = 0.6, question: float =
 
     shared = SparkSession.getActiveSession().sparkContext.broadcast(index)
 
-    @F.arrow_udf(HIT)
+    @F.arrow_udf(HIT.format(item=index.id_type.simpleString()))
     def find(texts: pa.Array) -> pa.Array:
         ix = shared.value
         rows = [leaks(t, ix, least, question, answer) for t in values(texts)]
         for row in rows:
             for hit in row:
                 hit["item"] = ix.items[hit["item"]]
-        kind = pa.struct([("item", pa.int64()), ("passage", pa.int64()), ("score", pa.float64()),
+        kind = pa.struct([("item", to_arrow_type(ix.id_type)), ("passage", pa.int64()), ("score", pa.float64()),
                           ("question", pa.float64()), ("answer", pa.float64())])
         return pa.array(rows, pa.list_(kind))
 
     return find.asNondeterministic()(text)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **params) -> DataFrame:
     """A row per (document, leaked item): doc_id, item_id, passage (its first word's place), score,
     question_overlap, answer_overlap."""
     ship(docs)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for index in indexes(items):
+    for index in indexes(items, id_col=item_col):
         hits = source.select("doc_id", leaked(F.col("text"), index, **params).alias("hits"))
         hits = hits.select("doc_id", F.explode("hits").alias("h")).select(
             "doc_id", F.col("h.item").alias("item_id"), "h.passage", "h.score",
             F.col("h.question").alias("question_overlap"), F.col("h.answer").alias("answer_overlap"))
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        out = source.where("false").selectExpr("doc_id", "0L item_id", "0L passage", "0D score", "0D question_overlap", "0D answer_overlap")
+        kind = items.schema[item_col].dataType.simpleString()
+        out = source.where("false").selectExpr("doc_id", f"CAST(NULL AS {kind}) item_id", "0L passage", "0D score", "0D question_overlap", "0D answer_overlap")
     return out
 
 

@@ -10,7 +10,7 @@ each counts a third) gets better.  The prediction is the largest of the
 selected set, the score its proportion.
 
 Defined results: ``und`` with score 0 for null texts and texts without a
-letter; with no training rows every text is ``und``.  Repeated and very long
+letter (number signs such as a fraction, a raised two or a circled one are no letters); with no training rows every text is ``und``.  Repeated and very long
 texts are whole documents like any other; other columns are not read.
 """
 
@@ -26,13 +26,18 @@ from pyspark.sql import functions as F
 
 from ._work import ship, values
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Runs that may hold letters; digits of all kinds, fractions and number signs among them are none.
+MAYBE_LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: ASCII bytes that are not letters count as a space.
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for run in MAYBE_LETTERS.finditer(text) for c in run[0])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -106,7 +111,7 @@ def _em(a: np.ndarray, counts: np.ndarray, total: float, share: np.ndarray) -> t
 
 def mixture(text: str | None, model: Model) -> dict[str, float]:
     """Selected languages of a text and their proportions; empty if it has no letter."""
-    if not text or not model.languages or not LETTER.search(text):
+    if not text or not model.languages or not has_letter(text):
         return {}
     hist = histogram(text, model.bits)
     at = np.flatnonzero(hist)

@@ -427,3 +427,30 @@ def test_pipeline(spark, docs, rows):
     none = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF_SMALL).collect() == []
+
+
+@pytest.mark.parametrize("text", ["²", "½ ½ ¼", "①②③", "Ⅷ 12 _", "12 !"])
+def test_number_signs_are_no_letters(spark, text):
+    model = language_id.train(spark.createDataFrame([("el perro come", "es"), ("the dog eats", "en")], "text string, lang string"))
+    got = spark.createDataFrame([(text,), (text + " perro",)], "text string").select(language_id.predicted(F.col("text"), model).alias("p")).collect()
+    assert (got[0].p.lang, got[0].p.score) == (language_id.UNDETERMINED, 0.0) and got[1].p.lang == "es"
+
+
+@pytest.mark.parametrize("kind,ids", [("string", ["q-1", None, "q-3"]), ("int", [4, None, 6]), ("long", [4, None, 6])])
+def test_test_items_have_ids_of_any_type(spark, kind, ids):
+    question = "which of the seven rivers named in the old poem runs past the northern gate of the city and why? because it was dug by hand in a single night"
+    other = "how many wooden bridges did the traveller count between the mill and the harbour on that day? eleven without the one that burned"
+    items = spark.createDataFrame([(ids[0], question), (ids[1], other), (ids[2], None)], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([("d1", "first some words then " + question), ("d2", "nothing of that kind"), ("d3", other + " and on")], "doc_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {("d1", ids[0]), ("d3", ids[1])}
+    assert decontaminate.contaminated(docs, items.where("false")).schema["item_id"].dataType == items.schema["item_id"].dataType
+
+
+def test_packing_goes_on_to_one_task(spark):
+    """Rounds that join few bins do not end the merge: with tasks of eight bins the count falls to what one task reaches."""
+    rows = [(i, "word " * (30 + i % 90)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    most = {n: best_fit_packing.pack(df, TOKENIZER, capacity=128, slack=0, items_per_task=n).select("sequence_id").distinct().count() for n in (8, 100_000)}
+    lengths = best_fit_packing.pack(df, TOKENIZER, capacity=128).groupBy().sum("length").first()[0]
+    assert -(-lengths // 128) <= most[100_000] <= most[8] <= 1.1 * most[100_000]
