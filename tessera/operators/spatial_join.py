@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,11 +103,16 @@ def _stats_both(left: DataFrame, right: DataFrame, bbox: str) -> tuple[dict, dic
             .unionByName(right.select(F.lit(1).alias("side"), F.col(bbox).alias("b")))
             .where(F.col("b").isNotNull()))
     ext = _extent(F.col("b"))
+    finite = reduce(lambda x, y: x & y, (F.abs(F.col("b")[k]) < F.lit(math.inf) for k in ("minx", "miny", "maxx", "maxy")))  # NaN is above infinity
     rows = {r["side"]: r for r in slim.groupBy("side").agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_if(~finite).alias("unbounded"),
         F.percentile_approx(ext, 0.5, 1000).alias("med"),
         F.max(ext).alias("top"),
     ).collect()}
+    for side, r in rows.items():
+        if r["unbounded"]:
+            raise ValueError(f"{r['unbounded']} features of the {('left', 'right')[side]} layer have coordinates that are not finite")
     out = []
     for side in (0, 1):
         r = rows.get(side)
@@ -291,16 +297,21 @@ def candidate_pairs(
 
 def _flatten(pairs: DataFrame, left_cols: list, right_cols: list, suffixes=("_1", "_2"),
              prefixes: tuple | None = None, drop_right: tuple = ()) -> list:
-    """Column list for ``select``: both attribute sets, collisions told apart."""
-    out = []
+    """Column list for ``select``: both attribute sets, collisions told apart.  A name that a suffix or prefix would make
+    twice gets the suffix again."""
     right_cols = [c for c in right_cols if c not in drop_right]
-    if prefixes:
-        out += [F.col(f"{_L}.{c}").alias(f"{prefixes[0]}{c}") for c in left_cols]
-        out += [F.col(f"{_R}.{c}").alias(f"{prefixes[1]}{c}") for c in right_cols]
-        return out
     shared = set(left_cols) & set(right_cols)
-    out += [F.col(f"{_L}.{c}").alias(c + suffixes[0] if c in shared else c) for c in left_cols]
-    out += [F.col(f"{_R}.{c}").alias(c + suffixes[1] if c in shared else c) for c in right_cols]
+    wanted = []
+    for side, cols, k in ((_L, left_cols, 0), (_R, right_cols, 1)):
+        for c in cols:
+            wanted.append((side, c, f"{prefixes[k]}{c}" if prefixes else c + suffixes[k] if c in shared else c, suffixes[k]))
+    taken = {name for _, c, name, _ in wanted if name == c}  # names that columns have of their own stay theirs
+    out = []
+    for side, c, name, suffix in wanted:
+        while name != c and name in taken:
+            name += suffix
+        taken.add(name)
+        out.append(F.col(f"{side}.`{c}`").alias(name))
     return out
 
 

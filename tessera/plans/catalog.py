@@ -19,7 +19,9 @@ from ..functions import (
     grid_hash,
     st_area,
     st_bbox,
+    st_geohash,
     st_geometry_type,
+    st_grid_hash,
     st_intersection,
     st_is_valid,
     st_length,
@@ -419,14 +421,16 @@ SELECT b.building_oid, p.parcel_oid, {geohash_sql(_CX, _CY, 5)} AS geom_hash,
        {grid_hash_sql(_CX, _CY, 50.0)} AS grid_hash
 FROM b JOIN p ON {STRICT}""")
 def sort_by_hash(spark, sf_dir):
-    """G6 + O1: overlay result hashed by location and globally sorted (range exchange)."""
+    """G6 + O1: overlay result hashed by location and globally sorted, in ranges of the buildings' location keys."""
+    from .job import location_ordered
+
     b, p = _layers(spark, sf_dir)
     o = overlay(b, p).withColumn("__bb", st_bbox("geometry"))
     cx = (F.col("__bb.minx") + F.col("__bb.maxx")) / 2
     cy = (F.col("__bb.miny") + F.col("__bb.maxy")) / 2
-    return (o.select("building_oid", "parcel_oid", geohash(cx, cy, 5).alias("geom_hash"),
-                     grid_hash(cx, cy, 50.0).alias("grid_hash"))
-             .orderBy("geom_hash", "grid_hash"))
+    keys = b.select(st_geohash("bbox", 5).alias("geom_hash"), st_grid_hash("bbox", 50.0).alias("grid_hash"))
+    return location_ordered(o.select("building_oid", "parcel_oid", geohash(cx, cy, 5).alias("geom_hash"), grid_hash(cx, cy, 50.0).alias("grid_hash")),
+                            sample=keys)
 
 
 # ------------------------------------------------------------ whole job
@@ -447,14 +451,15 @@ FROM b JOIN p ON {STRICT}"""
 @query("overlay_job", JOB_SQL)
 def overlay_job(spark, sf_dir):
     """The reference job on county layers: keep-first dedup, repair, overlay, location keys, global sort."""
-    from .job import location_ordered, prepare, with_location_keys, written
+    from .job import LOCATION_CELL, location_ordered, prepare, with_location_keys, written
 
     b = written(prepare(fx.buildings_counties(spark, sf_dir).withColumnRenamed("building_oid", "oid"),
                 ["oid", "funktion"], "first", "all"), "buildings")
     p = written(prepare(fx.parcels_counties(spark, sf_dir, None).withColumnRenamed("parcel_oid", "oid"),
                 ["oid", "nutzart"], "first", "all"), "parcels")
     o = overlay(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "parcel_oid"))
-    o = location_ordered(with_location_keys(o))
+    keys = b.select(st_geohash("bbox", 5).alias("geom_hash"), st_grid_hash("bbox", LOCATION_CELL).alias("grid_hash"))
+    o = location_ordered(with_location_keys(o), sample=keys)
     return o.select("building_oid", "funktion", "parcel_oid", "nutzart", st_area("geometry").alias("area"),
                     "geom_hash", "grid_hash")
 
@@ -485,10 +490,10 @@ def county_shapefiles(spark, sf_dir) -> str:
     return root
 
 
-def _read_shp(spark, root, layer, columns=None):
+def _read_shp(spark, root, layer, columns=None, paired=None, geometry=True):
     from .job import read_layer
 
-    return read_layer(spark, f"{root}/*/{layer}.shp", columns)
+    return read_layer(spark, f"{root}/*/{layer}.shp", columns, paired_with=paired and f"{root}/*/{paired}.shp", geometry=geometry)
 
 
 @query("shapefile_roundtrip", f"""SELECT building_oid, funktion, aktualit, county,
@@ -505,19 +510,26 @@ def shapefile_roundtrip(spark, sf_dir):
 def shapefile_columns(spark, sf_dir):
     """S3: scan with a column list (unlisted DBF fields are not decoded)."""
     root = county_shapefiles(spark, sf_dir)
-    df = _read_shp(spark, root, "GebauedeBauwerk", ["oid"])
+    df = _read_shp(spark, root, "GebauedeBauwerk", ["oid"], geometry=False)
     return df.select(F.col("oid").alias("building_oid"), F.col("county").cast("int").alias("county"))
 
 
+@query("shapefile_pushdown", f"""SELECT building_oid, funktion, county, (maxx - minx) * (maxy - miny) AS area FROM ({B_COUNTIES}) b
+WHERE county IN (1, 2) AND minx < 500 AND maxy >= 100""")
+def shapefile_pushdown(spark, sf_dir):
+    """Filters reach the scan: other counties' files are not opened, records off the box not decoded."""
+    root = county_shapefiles(spark, sf_dir)
+    df = _read_shp(spark, root, "GebauedeBauwerk", ["oid", "funktion"])
+    df = df.where(F.col("county").isin("1", "2") & (F.col("bbox.minx") < 500) & (F.col("bbox.maxy") >= 100))
+    return df.select(F.col("oid").alias("building_oid"), "funktion", F.col("county").cast("int").alias("county"), st_area("geometry").alias("area"))
+
+
 @query("shapefile_counties_paired", f"""SELECT building_oid, county FROM ({B_COUNTIES}) b
 WHERE county IN (SELECT county FROM ({P_COUNTIES}) p)""")
 def shapefile_counties_paired(spark, sf_dir):
-    """Only counties that hold both layers."""
-    from .job import paired_counties
-
+    """Only counties that hold both layers, as the listing tells; no record of the other layer is read."""
     root = county_shapefiles(spark, sf_dir)
-    b, p = paired_counties(_read_shp(spark, root, "GebauedeBauwerk", ["oid"]),
-                           _read_shp(spark, root, "NutzungFlurstueck", ["oid"]))
+    b = _read_shp(spark, root, "GebauedeBauwerk", ["oid"], paired="NutzungFlurstueck", geometry=False)
     return b.select(F.col("oid").alias("building_oid"), F.col("county").cast("int").alias("county"))
 
 
@@ -567,6 +579,60 @@ def shapefile_overlay_job(spark, sf_dir):
     return spark.read.parquet(out).select(st_area("geometry").alias("area"), "geom_hash", *RESULT_COLUMNS)
 
 
+_COUNT_SQL = {
+    "buildings_read": f"SELECT COUNT(*) FROM ({B_COUNTIES}) x", "buildings_kept": f"SELECT COUNT(DISTINCT building_oid) FROM ({B_COUNTIES}) x",
+    "parcels_read": f"SELECT COUNT(*) FROM ({P_ALL}) x", "parcels_kept": f"SELECT COUNT(DISTINCT parcel_oid) FROM ({P_ALL}) x",
+    "rows": f"SELECT COUNT(*) FROM ({FILES_SQL}) x",
+}
+
+
+@query("job_counts", " UNION ALL ".join(f"SELECT '{k}' AS measure, ({v}) AS n" for k, v in _COUNT_SQL.items()))
+def job_counts(spark, sf_dir):
+    """Rows read, kept and written by the job, observed during its writes (no counting pass)."""
+    from ..session import scratch_dir
+    from .job import run
+
+    counts: dict = {}
+    run(spark, [full_shapefiles(spark, sf_dir)], scratch_dir(spark, "job-output"), counts=counts)
+    return spark.createDataFrame(list(counts.items()), "measure string, n long")
+
+
+@query("job_persistent", f"SELECT * EXCLUDE (geom_hash) FROM ({FILES_SQL}) x")
+def job_persistent(spark, sf_dir):
+    """K5 with K4 and J8: the job's tables in buckets of their ids, attributes joined as the result is read."""
+    from .job import RESULT_COLUMNS, run
+
+    saved = run(spark, [full_shapefiles(spark, sf_dir)], None, save_name="tessera_job")
+    return saved.select(st_area("geometry").alias("area"), *RESULT_COLUMNS)
+
+
+@query("table_load_new", f"""SELECT building_oid, county, CASE WHEN county IN (1, 2) THEN 1 ELSE 2 END AS load
+FROM ({B_COUNTIES}) b WHERE county <> 0 OR building_oid % 8 = 0""")
+def table_load_new(spark, sf_dir):
+    """A second load takes the new county and the changed one, and nothing else; a third takes none."""
+    from ..operators.load import load_new, loaded
+    from ..session import register, scratch_dir
+
+    register(spark)
+    root, target = scratch_dir(spark, "delivered"), scratch_dir(spark, "loaded")
+    b = fx.buildings_counties(spark, sf_dir).select(F.col("building_oid").alias("oid"), "county", "geometry")
+
+    def deliver(df):
+        (df.repartition("county").write.format("shp").mode("overwrite")
+           .option("layer", "GebauedeBauwerk").option("partitionBy", "county").save(root))
+
+    def read(paths):
+        return spark.read.format("shp").option("files", "\n".join(paths)).option("geometry", "false").load()
+
+    pattern = f"{root}/*/GebauedeBauwerk.shp"
+    deliver(b.where("county <> 3"))
+    first = load_new(spark, pattern, target, read)
+    deliver(b.where("county = 3 OR county = 0 AND oid % 8 = 0"))
+    loads = [first, load_new(spark, pattern, target, read), load_new(spark, pattern, target, read)]
+    assert loads == [3, 2, 0], loads
+    return loaded(spark, target).select(F.col("oid").alias("building_oid"), F.col("county").cast("int").alias("county"), F.col("load").cast("int").alias("load"))
+
+
 @query("shapefile_recursive", f"SELECT building_oid, county FROM ({B_COUNTIES}) b")
 def shapefile_recursive(spark, sf_dir):
     """One layer in all folders below the root."""

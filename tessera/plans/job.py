@@ -2,16 +2,22 @@
 
 ``read layers -> keep-first dedup by oid -> repair -> intersection overlay ->
 geohash / grid hash -> range-partitioned sort -> GeoParquet``.  Each source
-is read once: the prepared layers and the clipped pairs are written to the
-shared ``spark.checkpoint.dir``, and the grid join plans on the layers' bbox.
+is decoded once: the layers as read and as prepared are written to the shared
+``spark.checkpoint.dir``, the grid join plans on their bbox, and the result goes
+from the clip to its ordered files without a copy in between.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import st_bbox, st_geohash, st_grid_hash
+from ..functions.hashing import GEOHASH_ALPHABET
 from ..operators.dedup import drop_duplicates_any, drop_duplicates_first
 from ..operators.overlay import overlay
 from ..operators.repair import repair
@@ -25,6 +31,8 @@ PARCEL_COLUMNS = ["oid", "nutzart", "bez", "flstkennz"]
 RESULT_COLUMNS = ["building_oid", "gebnutzbez", "gfkzshh", "name", "anzahlgs", "gmdschl", "lagebeztxt",
                   "funktion", "flur_oid", "nutzart", "bez", "flstkennz"]
 ETRS89_UTM33N = "EPSG:25833"
+#: Cell of the result's location order, in metres.
+LOCATION_CELL = 1000.0
 
 
 def resolve_root(candidates: list, layer: str = BUILDINGS_LAYER) -> str:
@@ -44,13 +52,33 @@ def layer_paths(root: str) -> tuple[str, str]:
     return b, p
 
 
-def read_layer(spark: SparkSession, pattern: str, columns: list | None = None) -> DataFrame:
-    r = spark.read.format("shp")
+def read_layer(spark: SparkSession, pattern: str, columns: list | None = None, *, paired_with: str | None = None,
+               geometry: bool = True) -> DataFrame:
+    """A layer's shapefiles; ``paired_with``: only of folders that hold a file of that pattern, too (a listing
+    tells, no file is opened for it)."""
+    r = spark.read.format("shp").option("geometry", str(geometry).lower())
     if columns:
         r = r.option("columns", ",".join(columns))
+    if paired_with:
+        r = r.option("pairedWith", paired_with)
     return r.load(pattern)
 
 
+def counted(df: DataFrame, counts: dict | None, name: str) -> DataFrame:
+    """``df`` whose rows are counted while they pass; ``resolve`` puts the number into ``counts``."""
+    if counts is None:
+        return df
+    counts[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+    return df.observe(counts[name], F.count(F.lit(1)).alias("rows"))
+
+
+def resolve(counts: dict | None) -> None:
+    """Numbers in place of the observations, once the jobs they sit in have run."""
+    for name, seen in list((counts or {}).items()):
+        if isinstance(seen, Observation):
+            counts[name] = int(seen.get["rows"])
+
+
 def paired_counties(buildings: DataFrame, parcels: DataFrame, key: str = "county") -> tuple[DataFrame, DataFrame]:
     """Keep only counties that have both layers (semi joins on the small county lists)."""
     bk = buildings.select(key).distinct()
@@ -59,8 +87,10 @@ def paired_counties(buildings: DataFrame, parcels: DataFrame, key: str = "county
 
 
 def prepare(df: DataFrame, columns: list | None, dedup: str = "first", repair_when: str | None = "all",
-            key: str = "oid") -> DataFrame:
-    """Project, dedup on ``key`` (``first`` in file order, ``any`` or ``none``), repair."""
+            key: str = "oid", counts: dict | None = None, name: str = "rows") -> DataFrame:
+    """Project, dedup on ``key`` (``first`` in file order, ``any`` or ``none``), repair.
+
+    ``counts`` gets what a layer loses on the way: ``<name>_kept`` rows, counted as they are written."""
     keep = list(dict.fromkeys([*(columns or [c for c in df.columns if c not in ("geometry", "bbox")]), "geometry", "bbox"]))
     keep = [c for c in keep if c in df.columns or c != "bbox"]
     order = ["source_file", "record_no"] if dedup == "first" else []
@@ -71,7 +101,7 @@ def prepare(df: DataFrame, columns: list | None, dedup: str = "first", repair_wh
         df = drop_duplicates_any(df, key)
     if repair_when:
         df = repair(df)
-    return df.select(*keep)
+    return counted(df.select(*keep), counts, f"{name}_kept")
 
 
 def overlay_layers(buildings: DataFrame, parcels: DataFrame, *, county_wise: bool = False, **grid) -> DataFrame:
@@ -81,7 +111,7 @@ def overlay_layers(buildings: DataFrame, parcels: DataFrame, *, county_wise: boo
     return overlay(b, p, partition_by=["county"] if county_wise else None, **grid)
 
 
-def with_location_keys(df: DataFrame, cell: float = 1000.0) -> DataFrame:
+def with_location_keys(df: DataFrame, cell: float = LOCATION_CELL) -> DataFrame:
     """``geom_hash`` (5-char geohash, NULL for projected metres) and ``grid_hash`` (Z-order of a
     ``cell``-metre grid) from the result geometry's bounding box."""
     b = st_bbox("geometry")
@@ -109,26 +139,69 @@ def prepared(spark: SparkSession, path: str, make, refresh: bool = False) -> Dat
     return spark.read.parquet(path)
 
 
-def location_ordered(df: DataFrame, single_file: bool = False, materialize: bool = True) -> DataFrame:
-    """Global order by location: range exchange + sort (``single_file`` coalesces to one task).
+def location_key(geom_hash: str = "geom_hash", grid_hash: str = "grid_hash") -> Column:
+    """A whole number that never falls along the order (geom_hash, grid_hash): 25 bits of geohash, 37 of the grid's Z-order."""
+    letters = [F.expr(f"instr('{GEOHASH_ALPHABET}', substring({geom_hash}, {i}, 1)) - 1") for i in range(1, 6)]
+    code = letters[0].cast("long")
+    for x in letters[1:]:
+        code = F.shiftleft(code, 5) + x
+    high = F.when(F.col(geom_hash).isNull(), F.lit(0).cast("long")).otherwise(code + 1)
+    return F.shiftleft(high, 37).bitwiseOR(F.shiftright(F.coalesce(F.col(grid_hash), F.lit(0).cast("long")), 3))
+
 
-    The range exchange samples its input in a separate job; on an overlay that
-    would run the clip kernels twice, so the input is first written once as a
-    Parquet table under the shared ``spark.checkpoint.dir`` and read back
-    (lineage cut; ``checkpoint()`` itself would recompute the input)."""
-    if materialize:
-        df = written(df, "overlay")
-    out = df.orderBy("geom_hash", "grid_hash")
+def location_ordered(df: DataFrame, single_file: bool = False, sample: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """Global order by location: ranges of location keys, sorted inside (``single_file`` coalesces to one task).
+
+    ``orderBy`` would run its input twice, once to sample it.  Here the splitters come from the location keys of
+    ``sample``, a written table with ``geom_hash`` and ``grid_hash`` (a prepared layer: results lie where its features
+    do), of which one aggregate reads those columns alone.  Each row is then dealt to its range as it is made: ``df`` is
+    evaluated once and written nowhere in between.  Partition k holds smaller keys than partition k + 1.
+    """
+    if sample is None:
+        df = sample = written(df, "overlay")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sample.agg(F.percentile_approx(location_key(), [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"] or []
+    splitters = np.unique(np.array(cuts, np.int64))
+
+    @F.arrow_udf("int")
+    def range_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(splitters, key.to_numpy(zero_copy_only=False), "right").astype(np.int32))
+
+    dealt = df.repartitionById(len(splitters) + 1, range_of(location_key()))
+    out = dealt.sortWithinPartitions("geom_hash", "grid_hash")
     return out.coalesce(1) if single_file else out
 
 
-def run(spark: SparkSession, roots: list, output: str, *, crs: str | None = ETRS89_UTM33N,
+def save_tables(buildings: DataFrame, parcels: DataFrame, pairs: DataFrame, name: str, buckets: int | None = None) -> None:
+    """The persistent mode: ``<name>_buildings``, ``<name>_parcels`` and ``<name>_pairs`` (ids and geometry) as tables in as
+    many buckets of their ids; older ones of these names go.  A join of the pairs with the buildings needs no exchange, one
+    with the parcels none on the parcels' side."""
+    spark = buildings.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df, part, key in ((buildings, "buildings", "building_oid"), (parcels, "parcels", "flur_oid"), (pairs, "pairs", "building_oid")):
+        spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(f"{name}_{part}")
+
+
+def saved_result(spark: SparkSession, name: str) -> DataFrame:
+    """The overlay of the persistent mode: pairs with both attribute sets, joined by id as it is read."""
+    pairs, b, p = (spark.table(f"{name}_{part}") for part in ("pairs", "buildings", "parcels"))
+    drop = ("geometry", "bbox")
+    joined = pairs.join(b.drop(*drop).hint("merge"), "building_oid").join(p.drop(*drop).hint("merge"), "flur_oid")
+    return joined.select("geometry", *RESULT_COLUMNS)
+
+
+def run(spark: SparkSession, roots: list, output: str | None, *, crs: str | None = ETRS89_UTM33N,
         dedup: str = "first", repair_when: str | None = "all", county_wise: bool = False,
-        on_missing: str = "error", single_file: bool = False, **grid) -> DataFrame | None:
-    """Run the job and write GeoParquet to ``output``; returns the result plan.
+        on_missing: str = "error", single_file: bool = False, counts: dict | None = None,
+        save_name: str | None = None, buckets: int | None = None, **grid) -> DataFrame | None:
+    """Run the job and write GeoParquet to ``output``; returns the written result.
 
     The result has ``geometry``, ``geom_hash`` and ``RESULT_COLUMNS`` in this
-    order; a layer without one of its columns is an error.
+    order; a layer without one of its columns is an error.  ``counts`` (a dict)
+    gets the numbers of rows read and kept of each layer and of the result,
+    counted during the writes, without a pass of their own.  ``save_name``: the
+    persistent mode, tables in buckets instead of the export (``save_tables``).
     """
     try:
         root = resolve_root(roots)
@@ -137,20 +210,29 @@ def run(spark: SparkSession, roots: list, output: str, *, crs: str | None = ETRS
         if on_missing == "skip":
             return None
         raise
-    b = read_layer(spark, bpath, BUILDING_COLUMNS)
-    p = read_layer(spark, ppath, PARCEL_COLUMNS)
-    if county_wise:
-        b, p = paired_counties(b, p)
-        dedup = "none"
-    bcols = BUILDING_COLUMNS + (["county"] if county_wise else [])
-    pcols = PARCEL_COLUMNS + (["county"] if county_wise else [])
-    # written once: the grid join's planning aggregates then read only the bbox column of these tables
-    b = written(prepare(b, bcols, dedup, repair_when), "buildings")
-    p = written(prepare(p, pcols, dedup, repair_when), "parcels")
+    layers = []
+    for path, other, columns, name in ((bpath, ppath, BUILDING_COLUMNS, "buildings"), (ppath, bpath, PARCEL_COLUMNS, "parcels")):
+        df = read_layer(spark, path, columns, paired_with=other if county_wise else None)
+        # decoded once: dedup looks at keys first and at rows then
+        df = counted(df, counts, f"{name}_read")
+        if dedup == "first" and not county_wise:
+            df = written(df, f"{name}-read")
+        df = prepare(df, columns + (["county"] if county_wise else []), "none" if county_wise else dedup, repair_when, counts=counts, name=name)
+        # written once: the grid join's planning aggregates then read only the bbox column of these tables
+        layers.append(written(df, name))
+    b, p = layers
     res = overlay_layers(b, p, county_wise=county_wise, **grid)
-    res = location_ordered(with_location_keys(res), single_file).select("geometry", "geom_hash", *RESULT_COLUMNS)
+    if save_name:
+        pairs = counted(res.select("building_oid", "flur_oid", "geometry"), counts, "rows")
+        save_tables(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "flur_oid"), pairs, save_name, buckets)
+        resolve(counts)
+        return saved_result(spark, save_name)
+    keys = b.select(st_geohash("bbox", 5).alias("geom_hash"), st_grid_hash("bbox", LOCATION_CELL).alias("grid_hash"))
+    res = location_ordered(with_location_keys(res), single_file, keys)
+    res = counted(res.select("geometry", "geom_hash", *RESULT_COLUMNS), counts, "rows")
     w = res.write.format("gpq").mode("overwrite").option("compression", "zstd").option("version", "1.0.0")
     if crs:
         w = w.option("crs", crs)
     w.save(output)
-    return res
+    resolve(counts)
+    return spark.read.parquet(output)

@@ -50,6 +50,7 @@ def register(spark: SparkSession) -> None:
     from .sources import register_sources
 
     _ship.ensure(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # filters on county and bbox reach the shapefile scan
     for name, fn in SQL_FUNCTIONS.items():
         spark.udf.register(name, fn)
     register_sources(spark)

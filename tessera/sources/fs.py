@@ -36,8 +36,11 @@ def _hidden(path: str, base: str) -> bool:
     return any(s[:1] in ("_", ".") for s in posixpath.relpath(path, base).split("/"))
 
 
-def expand(pattern: str, recursive: bool = False) -> list[str]:
-    """Files matching a glob pattern, sorted (file order decides "first" in dedup)."""
+def expand(pattern: str, recursive: bool = False, sizes: dict | None = None) -> list[str]:
+    """Files matching a glob pattern, sorted (file order decides "first" in dedup).
+
+    ``sizes`` gets the size of every file that the listing met, matching or not.
+    """
     fs, p = filesystem(pattern)
     scheme = pattern[: pattern.index("://") + 3] if "://" in pattern else ""
     host = ""
@@ -50,8 +53,10 @@ def expand(pattern: str, recursive: bool = False) -> list[str]:
             return [pattern]
         if info.type == pafs.FileType.Directory:
             sel = pafs.FileSelector(p, recursive=recursive)
-            return sorted(scheme + host + i.path for i in fs.get_file_info(sel)
-                          if i.type == pafs.FileType.File and not _hidden(i.path, p))
+            found = {scheme + host + i.path: i.size for i in fs.get_file_info(sel) if i.type == pafs.FileType.File and not _hidden(i.path, p)}
+            if sizes is not None:
+                sizes.update(found)
+            return sorted(found)
         return []
     base = _static_prefix(p)
     info = fs.get_file_info(base)
@@ -65,6 +70,8 @@ def expand(pattern: str, recursive: bool = False) -> list[str]:
             continue
         if _hidden(i.path, base):
             continue
+        if sizes is not None:
+            sizes[scheme + host + i.path] = i.size
         if _matches(i.path, p) or (recursive and fnmatch.fnmatchcase(posixpath.basename(i.path), posixpath.basename(p))):
             out.append(scheme + host + i.path)
     return sorted(out)

@@ -3,9 +3,19 @@
 A layer is a glob of ``.shp`` files (one per county directory in the
 reference layout); each comes with ``.shx`` (record index), ``.dbf``
 (attributes), optionally ``.cpg`` (text encoding) and ``.prj`` (CRS).  The
-driver only lists files and reads the small headers; executors read record
-ranges: every file is split into partitions of ``recordsPerPartition``
-records using the ``.shx`` index, so a large file is read by many tasks.
+driver only lists files (one listing gives all sizes) and reads the attribute
+tables' headers, several at a time; executors read record ranges: every file is
+split into partitions of ``recordsPerPartition`` records using the ``.shx``
+index, so a large file is read by many tasks.
+
+Filters (with ``spark.sql.python.filterPushdown.enabled``, which
+``tessera.session.register`` sets): those on ``county`` and ``source_file``
+leave out files, those on fields of ``bbox`` are tested on the records' headers
+before anything is decoded.  Options: ``columns`` (attributes to decode),
+``geometry`` (false: none is decoded, the column is left out), ``pairedWith`` (a
+second layer's pattern: only folders that hold a file of it, by the listing
+alone), ``files`` (paths, one a line, instead of a pattern),
+``recursiveFileLookup``, ``encoding``.
 
 Output columns: the DBF fields (or those listed in ``columns``), then
 ``geometry`` (WKB), ``bbox`` (from the record header, no decoding needed),
@@ -21,6 +31,7 @@ import json
 import posixpath
 import struct
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +39,16 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
     WriterCommitMessage,
 )
 from pyspark.sql.types import (
@@ -46,8 +66,9 @@ from pyspark.sql.types import (
 from ..functions import geometry as g
 from ..functions import wkb
 from ..functions.columns import BBOX_TYPE
-from . import fs
+from . import columnar, fs
 
+#: Columns of the reader's own; without ``geometry`` if that option is false.
 EXTRA_COLUMNS = ("geometry", "bbox", "source_file", "record_no", "county")
 
 
@@ -82,44 +103,20 @@ def field_type(ftype: str, length: int, dec: int):
     return StringType()
 
 
-def _decode_column(block: np.ndarray, off: int, length: int, ftype: str, dec: int, spark_type, enc: str) -> pa.Array:
-    raw = [bytes(r) for r in block[:, off:off + length]]
-    if isinstance(spark_type, StringType):
-        vals = [v.decode(enc).rstrip(" \x00") for v in raw]
-        return pa.array([v if v != "" else None for v in vals], type=pa.string())
-    txt = [v.decode("ascii", "replace").strip(" \x00") for v in raw]
+def _decode_column(block: np.ndarray, field: tuple, enc: str) -> pa.Array:
+    """One attribute of a batch of fixed-width rows."""
+    name, ftype, off, length, dec = field
+    cells = np.ascontiguousarray(block[:, off:off + length])
+    spark_type = field_type(ftype, length, dec)
     if isinstance(spark_type, (IntegerType, LongType)):
-        out = []
-        for t in txt:
-            try:
-                out.append(int(t) if t and not t.startswith("*") else None)
-            except ValueError:
-                out.append(int(float(t)) if _is_float(t) else None)
-        return pa.array(out, type=pa.int32() if isinstance(spark_type, IntegerType) else pa.int64())
+        return columnar.whole_numbers(cells, name).cast(_arrow_type(spark_type))
     if isinstance(spark_type, DoubleType):
-        return pa.array([float(t) if _is_float(t) else None for t in txt], type=pa.float64())
+        return columnar.numbers(cells)
     if isinstance(spark_type, DateType):
-        out = []
-        for t in txt:
-            try:
-                out.append(_dt.date(int(t[:4]), int(t[4:6]), int(t[6:8])) if len(t) == 8 and t.isdigit() else None)
-            except ValueError:
-                out.append(None)
-        return pa.array(out, type=pa.date32())
+        return columnar.dates(cells)
     if isinstance(spark_type, BooleanType):
-        return pa.array([True if t[:1] in ("T", "t", "Y", "y") else False if t[:1] in ("F", "f", "N", "n") else None
-                         for t in txt], type=pa.bool_())
-    return pa.array(txt, type=pa.string())
-
-
-def _is_float(t: str) -> bool:
-    if not t or t.startswith("*"):
-        return False
-    try:
-        float(t)
-        return True
-    except ValueError:
-        return False
+        return columnar.flags(cells)
+    return columnar.texts(cells, enc)
 
 
 # ------------------------------------------------------------------ SHP
@@ -153,9 +150,8 @@ def shape_to_wkb(content: bytes):
     rings = _ring_list(pts, parts)
     if base == 3:
         return wkb.encode(wkb.Shape(lines=rings)), box
+    # a ring with fewer than three corners is kept: validity and repair see it
     rings = [g.clean_ring(r) for r in rings]
-    if any(len(r) < 4 for r in rings):
-        raise ValueError("shp: a ring with fewer than three corners")
     if not rings:
         return wkb.encode(wkb.Shape(), empty_type=wkb.POLYGON), box
     if len(rings) == 1:
@@ -237,20 +233,30 @@ class ShapefileDataSource(DataSource):
 
     def _files(self) -> list:
         path = self.options.get("path")
-        if not path:
+        if not path and not self.options.get("files"):
             raise ValueError("shp: no path given")
-        recursive = str(self.options.get("recursiveFileLookup", "false")).lower() == "true"
-        files = [f for f in fs.expand(path, recursive) if f.lower().endswith(".shp")]
+        recursive = _true(self.options, "recursiveFileLookup", False)
+        self.sizes: dict = {}
+        if self.options.get("files"):
+            files = sorted(self.options["files"].split("\n"))
+        else:
+            files = [f for f in fs.expand(path, recursive, self.sizes) if f.lower().endswith(".shp")]
+        other = self.options.get("pairedWith")
+        if other:
+            folders = {posixpath.dirname(f) for f in fs.expand(other, recursive)}
+            files = [f for f in files if posixpath.dirname(f) in folders]
         if not files:
-            raise FileNotFoundError(f"no shapefile matches {path}")
+            raise FileNotFoundError(f"no shapefile matches {path}" + (f" beside {other}" if other else ""))
         return files
 
     def schema(self):
         files = self._files()
         wanted = _wanted(self.options)
         fields: dict = {}
-        for f in files:
-            for name, ftype, _, length, dec in _dbf_fields(f):
+        with ThreadPoolExecutor(32) as pool:
+            heads = list(pool.map(_dbf_fields, files))
+        for head in heads:
+            for name, ftype, _, length, dec in head:
                 t = field_type(ftype, length, dec)
                 prev = fields.get(name)
                 if prev is None:
@@ -268,8 +274,8 @@ class ShapefileDataSource(DataSource):
             if missing:
                 raise ValueError(f"shp: columns not found: {missing}")
             names = [n for n in wanted]
-        return StructType([StructField(n, fields[n]) for n in names] + [
-            StructField("geometry", BinaryType()),
+        geometry = [StructField("geometry", BinaryType())] if _true(self.options, "geometry", True) else []
+        return StructType([StructField(n, fields[n]) for n in names] + geometry + [
             StructField("bbox", BBOX_TYPE),
             StructField("source_file", StringType()),
             StructField("record_no", LongType()),
@@ -277,7 +283,7 @@ class ShapefileDataSource(DataSource):
         ])
 
     def reader(self, schema):
-        return ShapefileReader(self.options, schema, self._files())
+        return ShapefileReader(self.options, schema, self._files(), self.sizes)
 
     def writer(self, schema, overwrite):
         return ShapefileWriter(self.options, schema, overwrite)
@@ -288,6 +294,20 @@ def _attribute(name: str) -> str:
     return f"{name}_attr" if name in EXTRA_COLUMNS else name
 
 
+def _true(options, name: str, default: bool) -> bool:
+    return str(options.get(name, default)).lower() == "true"
+
+
+def _county(path: str) -> str:
+    return posixpath.basename(posixpath.dirname(fs.filesystem(path)[1]))
+
+
+#: Comparisons that are tested on the header's bounding box.
+_COMPARE = {GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal,
+            EqualTo: np.equal, EqualNullSafe: np.equal}
+_CORNERS = ("minx", "miny", "maxx", "maxy")
+
+
 def _wanted(options):
     cols = options.get("columns")
     if not cols:
@@ -296,27 +316,54 @@ def _wanted(options):
 
 
 class ShapefileReader(DataSourceReader):
-    def __init__(self, options, schema, files):
+    def __init__(self, options, schema, files, sizes=None):
         self.options = options
         self.schema = schema
         self.files = files
+        self.sizes = sizes or {}
         self.per_part = int(self.options.get("recordsPerPartition", 100_000))
         self.part_bytes = int(self.options.get("bytesPerPartition", 64 << 20))
         self.batch_bytes = int(self.options.get("bytesPerBatch", 8 << 20))
         self.encoding = self.options.get("encoding")
+        self.boxes: list = []
+
+    def pushFilters(self, filters):
+        """Filters on county and file leave out files, filters on the bounding box wait for the records' headers;
+        both are exact, so Spark gets the others back only."""
+        for f in filters:
+            name = getattr(f, "attribute", ())
+            if name in (("county",), ("source_file",)) and isinstance(f, (EqualTo, EqualNullSafe, In, StringStartsWith, IsNotNull)):
+                of = _county if name == ("county",) else str
+                if isinstance(f, In):
+                    self.files = [x for x in self.files if of(x) in f.value]
+                elif isinstance(f, StringStartsWith):
+                    self.files = [x for x in self.files if of(x).startswith(f.value)]
+                elif not isinstance(f, IsNotNull):
+                    self.files = [x for x in self.files if of(x) == f.value]
+            elif len(name) == 2 and name[0] == "bbox" and name[1] in _CORNERS and type(f) in _COMPARE and isinstance(f.value, (int, float)):
+                self.boxes.append((_CORNERS.index(name[1]), _COMPARE[type(f)], float(f.value)))
+            elif name[:1] == ("bbox",) and isinstance(f, IsNotNull):
+                self.boxes.append((0, np.equal, None))
+            else:
+                yield f
+
+    def _size(self, path: str) -> int:
+        known = self.sizes.get(path)
+        if known is None:
+            fsys, p = fs.filesystem(path)
+            known = max(0, fsys.get_file_info(p).size or 0)
+        return known
 
     def partitions(self):
         parts = []
         for f in self.files:
-            shx = _companion(f, ".shx")
-            fsys, p = fs.filesystem(shx)
-            n = max(0, (fsys.get_file_info(p).size - 100) // 8)
-            size = fsys.get_file_info(fs.filesystem(f)[1]).size
+            shx = next((x for x in (_stem(f) + ".shx", _stem(f) + ".SHX") if x in self.sizes), None) or _companion(f, ".shx")
+            n = max(0, (self._size(shx) - 100) // 8)
             # so many records that a range has about part_bytes; a range is read batch by batch in any case
-            step = max(1, min(self.per_part, -(-n // max(1, -(-size // self.part_bytes)))))
+            step = max(1, min(self.per_part, -(-n // max(1, -(-self._size(f) // self.part_bytes)))))
             for s in range(0, max(n, 1), step):
                 parts.append(_FilePart(f, s, min(n, s + step)))
-        return parts
+        return parts or [_FilePart("", 0, 0)]
 
     def read(self, partition):
         f, start, end = partition.path, partition.start, partition.end
@@ -332,45 +379,50 @@ class ShapefileReader(DataSourceReader):
         a = 0
         while a < len(idx):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.batch_bytes, "right")))
-            raw = fs.read_range(dbf, hlen + (start + a) * rlen, (b - a) * rlen)
-            block = np.frombuffer(raw, dtype=np.uint8)[: (b - a) * rlen].reshape(b - a, rlen)
-            yield self._batch(f, start + a, offs[a:b], lens[a:b], block, fields, enc)
+            lo, hi = int(offs[a:b].min()), int((offs[a:b] + 8 + lens[a:b]).max())
+            shp = np.frombuffer(fs.read_range(f, lo, hi - lo), np.uint8)
+            kind, box = columnar.headers(shp, offs[a:b] - lo + 8, lens[a:b])
+            keep = np.ones(b - a, bool)
+            for corner, compare, value in self.boxes:
+                keep &= ~np.isnan(box[:, corner]) if value is None else compare(box[:, corner], value)
+            if keep.any():
+                raw = fs.read_range(dbf, hlen + (start + a) * rlen, (b - a) * rlen)
+                block = np.frombuffer(raw, dtype=np.uint8)[: (b - a) * rlen].reshape(b - a, rlen)
+                rows = np.flatnonzero(keep & (block[:, 0] != 0x2A))  # records marked as deleted do not exist
+                if len(rows):
+                    yield self._batch(f, start + a + rows, shp, (offs[a:b] - lo + 8)[rows], lens[a:b][rows], kind[rows], box[rows], block[rows], fields, enc)
             a = b
 
-    def _batch(self, f, start, offs, lens, block, fields, enc):
-        """Consecutive records from ``start`` on, with their attribute rows in ``block``."""
-        n = len(offs)
-        lo, hi = int(offs.min()), int((offs + 8 + lens).max())
-        shp = fs.read_range(f, lo, hi - lo)
-        geoms, boxes = [], np.full((n, 4), np.nan)
-        for i in range(n):
-            c0 = int(offs[i] - lo + 8)
-            gbytes, box = shape_to_wkb(shp[c0:c0 + int(lens[i])])
-            geoms.append(gbytes)
-            if box is not None:
-                boxes[i] = box
+    def _batch(self, f, numbers, shp, at, size, kind, box, block, fields, enc):
+        """The records ``numbers``, with their attribute rows in ``block``."""
+        n = len(numbers)
+        null = np.isnan(box[:, 0])
+        own = {
+            "bbox": lambda: pa.StructArray.from_arrays([pa.array(box[:, k], mask=null) for k in range(4)], names=list(_CORNERS), mask=pa.array(null)),
+            "geometry": lambda: _geometries(shp, at, size, kind),
+            "source_file": lambda: pa.array([f]).take(pa.array(np.zeros(n, np.int32))),
+            "record_no": lambda: pa.array(numbers.astype(np.int64)),
+            "county": lambda: pa.array([_county(f)]).take(pa.array(np.zeros(n, np.int32))),
+        }
         arrays = []
-        for fld in self.schema.fields[:-len(EXTRA_COLUMNS)]:
-            spec = fields.get(fld.name)
-            if spec is None:
-                arrays.append(pa.nulls(n, type=_arrow_type(fld.dataType)))
+        for fld in self.schema.fields:
+            if fld.name in own:
+                arrays.append(own[fld.name]())
+            elif fld.name in fields:
+                arrays.append(_decode_column(block, fields[fld.name], enc).cast(_arrow_type(fld.dataType)))
             else:
-                _, ftype, off, length, dec = spec
-                arr = _decode_column(block, off, length, ftype, dec, field_type(ftype, length, dec), enc)
-                arrays.append(arr.cast(_arrow_type(fld.dataType)))
-        mask = np.isnan(boxes[:, 0])
-        bbox = pa.StructArray.from_arrays([pa.array(boxes[:, k], mask=mask) for k in range(4)],
-                                          names=["minx", "miny", "maxx", "maxy"], mask=pa.array(mask))
-        county = posixpath.basename(posixpath.dirname(fs.filesystem(f)[1]))
-        arrays += [
-            pa.array(geoms, type=pa.binary()),
-            bbox,
-            pa.array([f] * n, type=pa.string()),
-            pa.array(np.arange(start, start + n, dtype=np.int64)),
-            pa.array([county] * n, type=pa.string()),
-        ]
-        live = pa.array(block[:, 0] != 0x2A)  # records marked as deleted do not exist
-        return pa.RecordBatch.from_arrays(arrays, names=[fld.name for fld in self.schema.fields]).filter(live)
+                arrays.append(pa.nulls(n, type=_arrow_type(fld.dataType)))
+        return pa.RecordBatch.from_arrays(arrays, names=[fld.name for fld in self.schema.fields])
+
+
+def _geometries(shp: np.ndarray, at: np.ndarray, size: np.ndarray, kind: np.ndarray) -> pa.Array:
+    """WKB of records: polygons of one sound ring all at once, the others one by one."""
+    fast, found = columnar.single_rings(shp, at, size, kind)
+    rest = np.setdiff1d(np.arange(len(at)), fast)
+    slow = pa.array([shape_to_wkb(shp[a : a + s].tobytes())[0] for a, s in zip(at[rest].tolist(), size[rest].tolist(), strict=True)], pa.binary())
+    place = np.empty(len(at), np.int64)
+    place[np.concatenate([fast, rest])] = np.arange(len(at))
+    return pa.concat_arrays([found, slow]).take(pa.array(place))
 
 
 def _arrow_type(t):
