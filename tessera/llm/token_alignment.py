@@ -8,7 +8,8 @@ both id lists into groups, and the tokens that end together there are linked.
 A text is handled unit by unit: it is cut before every single space that stands
 between two characters that are no white space.  No token of either tokenizer
 reaches over such a place (no piece holds one; this is looked up), so a unit's
-tokens are the text's, and a unit seen before is not encoded again.
+tokens are the text's.  The distinct units of some megabytes of text are encoded
+and aligned together, as arrays; texts are put together from them.
 
 Counts over the corpus: a written table holds each text's links (id pair and
 times).  Spark sums them per pair.  The most frequent pairs go to every task as
@@ -24,9 +25,9 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ from pyspark.sql import functions as F
 
 from ._work import ship, values, written
 
+#: What byte-level vocabularies of this kind take for one pre-token.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the mark that stands for a space in B's pieces.
+MARK = "\u2581"
 #: A single space between characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Most frequent pairs that are sent to all tasks (17 bytes each).
@@ -48,72 +53,123 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Tokens:
+    """A vocabulary's pieces: byte lengths, and the bytes of any id list."""
+
+    def __init__(self, pieces: list[bytes]):
+        for piece in pieces:
+            if not piece or CUT.search(piece.decode(errors="ignore")):
+                raise ValueError(f"piece {piece!r} is empty or holds a place where texts are cut")
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.digits, self.width = decimals(len(pieces))
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        return self.data[np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of 0 to n - 1, to the left, with room for a sign behind them; and their number."""
+    text = np.arange(n).astype("S")
+    width = np.char.str_len(text)
+    return np.pad(text.view(np.uint8).reshape(n, -1), ((0, 0), (0, 1))), width.astype(np.int64)
+
+
 class Encoders:
-    """Both tokenizers and the byte lengths of their tokens; one a worker."""
+    """Both tokenizers; one a worker."""
 
-    def __init__(self, a_path: str, b_path: str, cached: int = 100_000):
+    def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        with open(a_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         back = byte_of_character()
-        self.a_bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
-        self.b_bytes = {}
-        for i in range(self.b.vocab_size()):
-            piece = self.b.id_to_piece(i)
-            byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
-            self.b_bytes[i] = bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
-        for piece in (*self.a_bytes.values(), *self.b_bytes.values()):
-            if CUT.search(piece.decode(errors="ignore")):
-                raise ValueError(f"piece {piece!r} holds a place where texts are cut")
-        self.units: dict[str, tuple | None] = {}
-        self.cached = cached
-
-    def learn(self, units) -> dict[str, tuple | None]:
-        """(tokens of A, tokens of B, groups, links, digest text) of each unit without its space; None: the bytes differ."""
-        if len(self.units) >= self.cached:
-            self.units.clear()
-        known = self.units
-        new = [u for u in units if u not in known]
-        found = {u: known[u] for u in units if u in known}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            ids_a = self.a.encode_batch_fast([" " + u for u in part], add_special_tokens=False)
-            ids_b = self.b.encode(part, num_threads=1)
-            for u, a, b in zip(part, ids_a, ids_b, strict=True):
-                found[u] = got = align(a.ids, b, self.a_bytes, self.b_bytes, (" " + u).encode())
-                if len(u) <= 100:
-                    known[u] = got
-        return found
-
-
-def ends_of(ids: list[int], pieces: dict[int, bytes]) -> dict[int, tuple[int, int]]:
-    """From each end (bytes) to the first and the last index of the tokens that end there."""
-    at, out = 0, {}
-    for i, token in enumerate(ids):
-        at += len(pieces[token])
-        out[at] = (out[at][0] if at in out else i, i)
-    return out
-
-
-def align(a: list[int], b: list[int], a_bytes: dict, b_bytes: dict, whole: bytes):
-    """Groups and links of two id lists that spell ``whole``; None if one does not."""
-    if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
-        return None
-    ends_a, ends_b = ends_of(a, a_bytes), ends_of(b, b_bytes)
-    groups, links, from_a, from_b = [], [], 0, 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        (first_a, to_a), (first_b, to_b) = ends_a[end], ends_b[end]
-        links += [x << 32 | y for x in a[first_a : to_a + 1] for y in b[first_b : to_b + 1]]
-        groups.append(",".join(map(str, a[from_a : to_a + 1])) + "|" + ",".join(map(str, b[from_b : to_b + 1])))
-        from_a, from_b = to_a + 1, to_b + 1
-    return len(a), len(b), len(groups), tuple(links), ";".join(groups)
-
-
-def units_of(text: str, size: int = 1 << 20):
+        special = [t for t in model["vocab"] if not all(c in back for c in t)]
+        ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        merged = [model["vocab"][m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in model["merges"]]
+        if special or merged != sorted(merged) or len(ranks) != len(model["vocab"]):
+            raise ValueError("the ids of A's vocabulary do not follow its merges")
+        self.a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        pieces = [b"?"] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            pieces[i] = piece
+        self.a_tokens = Tokens(pieces)
+        names = map(self.b.id_to_piece, range(self.b.vocab_size()))
+        self.b_tokens = Tokens([bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace(MARK, " ").encode() for n in names])
+
+    def encoded(self, units: list[str], odd: set[str]):
+        """Ids of A and of B over all units, each led by its space; None: B spells some of them otherwise."""
+        # white space at a unit's end would run into the next one's space: such units (``odd``) stand alone
+        parts, plain = [], []
+        for u in units:
+            plain.append(u)
+            if u in odd or len(plain) >= 256:
+                parts.append(" ".join(plain))
+                plain = []
+        parts += [" ".join(plain)] if plain else []
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (
+            [self.a.encode_ordinary(" " + p) for p in parts], self.b.encode(parts, num_threads=1)))
+        data = np.frombuffer("".join([" " + p for p in parts]).encode(), np.uint8)
+        same = len(data) == self.b_tokens.size[b].sum() == self.a_tokens.size[a].sum()
+        if not same or (self.b_tokens.spelled(b) != data).any() or (self.a_tokens.spelled(a) != data).any():
+            return None
+        return a, b
+
+    def aligned(self, units: list[str], odd: set[str]) -> tuple[np.ndarray, "Aligned"]:
+        """All units at once, and the place of each among them; those that cannot be spelled are left out (-1)."""
+        some = [u for u in units if MARK not in u]  # B spells its mark as a space
+        got = self.encoded(some, odd)
+        if got is None:
+            some = [u for u in some if self.encoded([u], odd) is not None]
+            got = self.encoded(some, odd)
+        if len(some) == len(units):
+            place = np.arange(len(units))
+        else:
+            at = {u: i for i, u in enumerate(some)}
+            place = np.array([at.get(u, -1) for u in units], np.int64)
+        return place, Aligned(*got, some, self.a_tokens, self.b_tokens)
+
+
+class Aligned:
+    """Groups and links of distinct units: ends of A in a dictionary (by byte) to their index, met by those of B."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, units: list[str], a_tokens: Tokens, b_tokens: Tokens):
+        size = np.array([len(u) if u.isascii() else len(u.encode()) for u in units], np.int64) + 1
+        unit_ends = np.cumsum(size)
+        ends_a, ends_b = np.cumsum(a_tokens.size[a]), np.cumsum(b_tokens.size[b])
+        index = np.full(int(size.sum()) + 1, -1, np.int64)
+        index[ends_a] = np.arange(len(a))
+        common_b = np.flatnonzero(index[ends_b] >= 0)
+        common_a, ends = index[ends_b[common_b]], ends_b[common_b]
+        self.links = a[common_a] << 32 | b[common_b]
+        per_unit = lambda last: np.diff(last + 1, prepend=0)
+        self.n_groups = np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
+        self.first_link = np.cumsum(self.n_groups) - self.n_groups
+        self.n_a = per_unit(index[unit_ends])
+        last_b = np.searchsorted(ends_b, unit_ends)
+        self.n_b = per_unit(last_b)
+        # the groups' texts: the ids of A, then those of B, each with the sign behind it
+        group_a, group_b = np.searchsorted(common_a, np.arange(len(a))), np.searchsorted(common_b, np.arange(len(b)))
+        place_a = np.arange(len(a)) + np.append(0, common_b + 1)[group_a]
+        place_b = np.arange(len(b)) + common_a[group_b] + 1
+        cells = np.zeros((len(a) + len(b), max(a_tokens.digits.shape[1], b_tokens.digits.shape[1])), np.uint8)
+        cells[place_a, : a_tokens.digits.shape[1]] = a_tokens.digits[a]
+        cells[place_b, : b_tokens.digits.shape[1]] = b_tokens.digits[b]
+        width = np.empty(len(cells), np.int64)
+        width[place_a], width[place_b] = a_tokens.width[a], b_tokens.width[b]
+        sign = np.full(len(cells), ord(","), np.uint8)
+        sign[place_a[common_a]], sign[place_b[common_b]] = ord("|"), ord(";")
+        cells[np.arange(len(cells)), width] = sign
+        text = cells[cells > 0].tobytes()
+        to = np.cumsum(width + 1)[place_b[last_b]].tolist() if units else []
+        self.texts = [text[s : e - 1] for s, e in zip([0, *to], to, strict=False)]
+
+
+def pieces_of(text: str, size: int):
     """Lists of units, each of about ``size`` characters of the text."""
     at = 0
     while len(text) - at > size and (cut := CUT.search(text, at + size)):
@@ -122,50 +178,70 @@ def units_of(text: str, size: int = 1 << 20):
     yield CUT.split(text[at:] if at else text)
 
 
-def aligned(times: Counter, found: dict, lists):
-    """Counts, digest and links with their times of a whole text."""
-    if not times or any(found[u] is None for u in times):
-        return 0, 0, 0, 0, "", Counter()
-    n_a, n_b, n_groups = (sum(found[u][k] * n for u, n in times.items()) for k in range(3))
-    links: Counter = Counter()
-    for u, n in times.items():
-        for pair in found[u][3]:
-            links[pair] += n
-    digest, joint = hashlib.sha256(), ""
-    for units in lists:
-        digest.update((joint + ";".join([found[u][4] for u in units])).encode())
-        joint = ";"
-    return n_a, n_b, n_groups, links.total(), digest.hexdigest(), links
-
-
-def all_aligned(encoders: Encoders, texts, size: int = 1 << 20):
-    """``aligned`` for each text; texts of about ``size`` characters in all are encoded together, longer ones alone."""
+class Found:
+    """What is known of one text so far."""
+
+    def __init__(self):
+        self.counts, self.digest, self.pairs, self.times, self.sound = np.zeros(4, np.int64), hashlib.sha256(), [], [], True
+
+    def row(self):
+        if not self.sound or not self.counts[0]:
+            none = np.zeros(0, np.int64)
+            return 0, 0, 0, 0, "", none, none
+        pairs, times = np.concatenate(self.pairs), np.concatenate(self.times)
+        if len(self.pairs) > 1:
+            pairs, back = np.unique(pairs, return_inverse=True)
+            times = np.bincount(back, times).astype(np.int64)
+        return *self.counts.tolist(), self.digest.hexdigest(), pairs, times
+
+
+def settle(encoders: Encoders, held: list[tuple[Found, list[str]]]) -> None:
+    """Encode and align the distinct units of some pieces together, and add each piece to its text."""
+    number: dict[str, int] = {}
+    seqs = [np.array([number.setdefault(u, len(number)) for u in units], np.int64) for _, units in held]
+    place, al = encoders.aligned(list(number), {units[-1] for _, units in held if units[-1].isspace() or units[-1][-1].isspace()})
+    kept = []
+    for (f, _), s in zip(held, seqs, strict=True):
+        s = place[s]
+        f.sound &= bool((s >= 0).all())
+        if f.sound:
+            kept.append((f, s))
+    if not kept:
+        return
+    held, seq = kept, np.concatenate([s for _, s in kept])
+    piece = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+    pairs, of_link = np.unique(al.links, return_inverse=True)
+    n = al.n_groups[seq]
+    link = of_link[np.repeat(al.first_link[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    key, times = np.unique(np.repeat(piece, n) * len(pairs) + link, return_counts=True)
+    cut = np.searchsorted(key, np.arange(len(held) + 1) * len(pairs))
+    sums = [np.bincount(piece, x[seq], len(held)).astype(np.int64) for x in (al.n_a, al.n_b, al.n_groups)]
+    for k, (f, units) in enumerate(held):
+        f.digest.update((b";" if f.counts[0] else b"") + b";".join([al.texts[u] for u in units.tolist()]))
+        f.counts += [sums[0][k], sums[1][k], sums[2][k], sums[2][k]]  # a group's last tokens end together: a link a group
+        f.pairs.append(pairs[key[cut[k] : cut[k + 1]] % len(pairs)])
+        f.times.append(times[cut[k] : cut[k + 1]])
+
+
+def all_aligned(encoders: Encoders, texts, size: int = 6 << 20):
+    """(n_a, n_b, n_groups, n_links, digest, pairs, times) of each text; about ``size`` characters are held at a time."""
+    waiting: list[Found] = []
     held: list = []
     total = 0
-
-    def flush():
-        found = encoders.learn(dict.fromkeys(u for times, _ in held for u in times))
-        for times, lists in held:
-            yield aligned(times, found, lists())
-
     for text in texts:
-        if not text:
-            held.append((Counter(), list))
-            continue
-        if len(text) <= size:
-            units = CUT.split(text)
-            held.append((Counter(units), lambda units=units: [units]))
-        else:
-            times: Counter = Counter()
-            for units in units_of(text, size):
-                times.update(units)
-            held.append((times, lambda text=text: units_of(text, size)))
-        total += len(text)
-        if total >= size:
-            yield from flush()
-            held.clear()
-            total = 0
-    yield from flush()
+        waiting.append(Found())
+        for units in pieces_of(text, size) if text else ():
+            held.append((waiting[-1], units))
+            total += sum(map(len, units)) + len(units)
+            if total >= size:
+                settle(encoders, held)
+                held, total = [], 0
+        if not held:
+            yield from (f.row() for f in waiting)
+            waiting = []
+    if held:
+        settle(encoders, held)
+    yield from (f.row() for f in waiting)
 
 
 COUNTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -180,11 +256,11 @@ def _links(a_path: str, b_path: str, many: int = 200_000):
         for batch in batches:
             rows, ids, texts = batch.columns
             begin, out, pairs, times, sizes = 0, [], [], [], []
-            for i, (*counts, links) in enumerate(all_aligned(held[0], values(texts))):
+            for i, (*counts, own, often) in enumerate(all_aligned(held[0], values(texts))):
                 out.append(counts)
-                pairs.append(np.fromiter(links, np.int64, len(links)))
-                times.append(np.fromiter(links.values(), np.int64, len(links)))
-                sizes.append(len(links))
+                pairs.append(own)
+                times.append(often)
+                sizes.append(len(own))
                 if i == batch.num_rows - 1 or sum(sizes) >= many:
                     n = i + 1 - begin
                     starts = pa.array(np.cumsum([0, *sizes]), pa.int32())

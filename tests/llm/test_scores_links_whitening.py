@@ -234,23 +234,37 @@ def test_alignment_of_documents(docs, rows, frequent):
     assert Counter(tuple(r) for r in got.collect()) == Counter(plain_alignment(rows))
 
 
-def test_alignment_of_units_and_long_texts():
-    enc = token_alignment.Encoders(A_PATH, B_PATH, cached=50)
-    texts = ["one two  three\n four five " * 40, "", None, "x", "a▁b", "it's we'll   x  y 'll z"]
-    small = list(token_alignment.all_aligned(enc, texts, size=30))
-    large = list(token_alignment.all_aligned(enc, texts))
-    assert small == large
-    assert small[1][:4] == small[4][:4] == (0, 0, 0, 0)
-    parts = [u for units in token_alignment.units_of(texts[0], 50) for u in units]
+def test_alignment_in_pieces():
+    """Small pieces, whose units are encoded apart, give what whole texts give."""
+    enc = token_alignment.Encoders(A_PATH, B_PATH)
+    texts = ["one two  three\n four five " * 40, "", None, "x", "a▁b", "it's we'll   x  y 'll z", "ends in space \t", "\n", "  ", "ends in space \t"]
+    same = lambda rows: [(*r[:5], dict(zip(r[5].tolist(), r[6].tolist(), strict=True))) for r in rows]
+    large = same(token_alignment.all_aligned(enc, texts))
+    for size in (1, 30, 200):
+        assert same(token_alignment.all_aligned(enc, texts, size)) == large
+    assert large[1][:5] == large[2][:5] == large[4][:5] == (0, 0, 0, 0, "")
+    parts = [u for units in token_alignment.pieces_of(texts[0], 50) for u in units]
     assert parts == token_alignment.CUT.split(texts[0]) and " ".join(parts) == texts[0]
 
 
-def test_tokens_that_end_together_are_all_linked():
-    """A token without bytes ends where the one before it ends; both are linked."""
-    pieces = {1: b" a", 2: b"", 3: b"b", 7: b" ", 8: b"ab"}
-    assert token_alignment.align([1, 2, 3], [7, 8], pieces, pieces, b" ab") == (3, 2, 1, (3 << 32 | 8,), "1,2,3|7,8")
-    assert token_alignment.align([1, 2, 3], [1, 3], pieces, pieces, b" ab") == (3, 2, 2, (1 << 32 | 1, 2 << 32 | 1, 3 << 32 | 3), "1,2|1;3|3")
-    assert token_alignment.align([1], [7, 8], pieces, pieces, b" ab") is None
+def test_units_that_cannot_be_spelled_are_found(monkeypatch):
+    """Where B spells some unit otherwise, the other texts of the batch keep their tokens."""
+    enc = token_alignment.Encoders(A_PATH, B_PATH)
+    real = enc.b.encode
+
+    class Other:
+        def encode(self, texts, **how):
+            return real([t.replace("bad", "bud") for t in texts], **how)
+
+    enc.b = Other()
+    found = list(token_alignment.all_aligned(enc, ["good words", "a bad word", "more good words"]))
+    assert [f[0] > 0 for f in found] == [True, False, True]
+
+
+def test_a_vocabulary_that_crosses_cuts_is_an_error():
+    with pytest.raises(ValueError, match="holds a place where texts are cut"):
+        token_alignment.Tokens([b"a b"])
+    token_alignment.Tokens([b" a", b"  ", " \u00a0 \u00a0".encode()])
 
 
 def test_alignment_of_nothing(nothing):
