@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox_of, st_bbox, st_intersects
+from ..session import written
 
 BBOX = "bbox"
 _L, _R = "__l", "__r"
@@ -164,20 +165,23 @@ def _explode_cells(df: DataFrame, bbox: Column, own_levels: list, other_levels:
               .withColumn(cy, F.explode(F.sequence(y0, y1))))
 
 
-def _hot_cells(lx: DataFrame, rx: DataFrame, rows: int) -> DataFrame:
-    """Cells whose candidate pairs exceed ``rows ** 2``, with the number of parts of each side."""
-    def count(df, p, n):
-        return df.groupBy(*[F.col(f"{p}{c}").alias(f"__hot_{c}") for c in ("lvl", "cx", "cy")]).agg(F.count("*").alias(n))
+def _hot_cells(lx: DataFrame, rx: DataFrame, rows: int, lkeys: list, rkeys: list) -> DataFrame:
+    """Cells (of one county, say, with partition keys) whose candidate pairs exceed ``rows ** 2``, with the number of
+    parts of each side."""
+    names = [f"__hot_{i}" for i in range(len(lkeys))]
 
-    both = count(lx, "__l_", "nl").join(count(rx, "__r_", "nr"), ["__hot_lvl", "__hot_cx", "__hot_cy"])
+    def count(df, keys, n):
+        return df.groupBy(*[F.col(k).alias(name) for k, name in zip(keys, names)]).agg(F.count("*").alias(n))
+
+    both = count(lx, lkeys, "nl").join(count(rx, rkeys, "nr"), names)
     return (both.where(F.col("nl").cast("double") * F.col("nr") > float(rows) ** 2)
-            .select("__hot_lvl", "__hot_cx", "__hot_cy", F.ceil(F.col("nl") / rows).alias("__hot_s"), F.ceil(F.col("nr") / rows).alias("__hot_t")))
+            .select(*names, F.ceil(F.col("nl") / rows).alias("__hot_s"), F.ceil(F.col("nr") / rows).alias("__hot_t")))
 
 
-def _salted(df: DataFrame, hot: DataFrame, small: bool, prefix: str, left: bool, basis: Column) -> DataFrame:
+def _salted(df: DataFrame, hot: DataFrame, small: bool, keys: list, prefix: str, left: bool, basis: Column) -> DataFrame:
     """Deal a hot cell's rows over s x t buckets: a row has one part of its own side and meets all parts of the other."""
     h = F.broadcast(hot) if small else hot.hint("merge")
-    j = df.join(h, [df[f"{prefix}{c}"] == hot[f"__hot_{c}"] for c in ("lvl", "cx", "cy")], "left")
+    j = df.join(h, [df[k] == hot[f"__hot_{i}"] for i, k in enumerate(keys)], "left")
     s, t = F.col("__hot_s"), F.col("__hot_t")
     own = F.pmod(F.xxhash64(basis), s if left else t)
     meets = F.transform(F.sequence(F.lit(0).cast("long"), (t if left else s) - 1), lambda o: own * t + o if left else o * t + own)
@@ -238,14 +242,14 @@ def candidate_pairs(
     # ---- hot cells: both sides are split, so a bucket holds at most about hot_cell_rows of each
     if salt_hot_cells and plan.rows_left * plan.rows_right > hot_cell_rows**2:
         slim_l, slim_r = (
-            _explode_cells(df.select(F.col(BBOX).alias("__b")), F.col("__b"), own, other, cell, thresholds, p)
+            _explode_cells(df.select(F.col(BBOX).alias("__b"), *[F.col(k).alias(f"{p[:3]}k_{k}") for k in partition_by]), F.col("__b"), own, other, cell, thresholds, p)
             for df, own, other, p in ((L, plan.levels_left, plan.levels_right, "__l_"), (R, plan.levels_right, plan.levels_left, "__r_")))
-        hot = _hot_cells(slim_l, slim_r, hot_cell_rows)
+        hot = written(_hot_cells(slim_l, slim_r, hot_cell_rows, lkeys, rkeys), "hot-cells")  # counted once, read three times
         plan.hot_cells = hot.count()
         if plan.hot_cells:
             small = plan.hot_cells <= 100_000  # 40 bytes a cell
-            lx = _salted(lx, hot, small, "__l_", True, F.col(_L))
-            rx = _salted(rx, hot, small, "__r_", False, F.col(_R))
+            lx = _salted(lx, hot, small, lkeys, "__l_", True, F.col(_L))
+            rx = _salted(rx, hot, small, rkeys, "__r_", False, F.col(_R))
             lkeys.append("__l_salt")
             rkeys.append("__r_salt")
 
@@ -363,7 +367,7 @@ def spatial_join_sql(spark, left_view: str, right_view: str, select: str, cell_s
         )
 
     text = f"""
-        SELECT {select}
+        SELECT /*+ MERGE(a, b) */ {select}
         FROM ({cells(left_view)}) a
         JOIN ({cells(right_view)}) b ON a.cx = b.cx AND a.cy = b.cy
         WHERE a.bbox.minx <= b.bbox.maxx AND b.bbox.minx <= a.bbox.maxx

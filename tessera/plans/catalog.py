@@ -772,3 +772,48 @@ def overlay_enclave(spark, sf_dir):
     """J3 of boxes that cover a parcel's hole and touch none of its edges."""
     o = overlay(fx.buildings_over_enclave(spark, sf_dir), fx.parcels_enclave(spark, sf_dir))
     return o.select("building_oid", "parcel_oid", st_area("geometry").alias("area"))
+
+
+# ------------------------------------ very large features, indexed small side
+
+def _share(x0: str, y0: str, x1: str, y1: str) -> str:
+    return f"GREATEST(0, LEAST({x1}, maxx) - GREATEST({x0}, minx)) * GREATEST(0, LEAST({y1}, maxy) - GREATEST({y0}, miny))"
+
+
+_W, _T, _H = fx.WIDE_L
+_WIDE_AREA = f"{_share('x', 'y', f'x + {_W}', f'y + {_T}')} + {_share('x', f'y + {_T}', f'x + {_T}', f'y + {_H}')}"
+
+
+@query("overlay_subdivided", f"""WITH b AS (SELECT s_suppkey AS area_oid, CAST(s_suppkey * 37 % 395 AS DOUBLE) AS x, CAST(s_suppkey * 3 % 10 AS DOUBLE) AS y FROM supplier),
+p AS ({P_GRID}), c AS (SELECT area_oid, parcel_oid, nutzart, {_WIDE_AREA} AS area FROM b JOIN p ON {_WIDE_AREA} > 0)
+SELECT *, 'Polygon' AS geom_type FROM c""")
+def overlay_subdivided_q(spark, sf_dir):
+    """J1 / J3 on features over hundreds of cells: cut, clipped per piece, united per pair."""
+    from ..operators.subdivide import overlay_subdivided
+
+    o = overlay_subdivided(fx.wide_lshapes(spark, sf_dir), fx.parcels_grid(spark, sf_dir).select("parcel_oid", "nutzart", "geometry", "bbox"))
+    return o.select("area_oid", "parcel_oid", "nutzart", st_area("geometry").alias("area"), st_geometry_type("geometry").alias("geom_type"))
+
+
+@query("overlay_indexed", OVERLAY_SQL)
+def overlay_indexed_q(spark, sf_dir):
+    """The smaller layer as a packed index in every task; no cells, no shuffle."""
+    from ..operators.packed_index import overlay_indexed
+
+    b, p = _layers(spark, sf_dir)
+    return _overlay_out(overlay_indexed(b, p, max_broadcast_bytes=64 << 20))
+
+
+@query("overlay_counties_pruned", f"""WITH b AS ({B_COUNTIES}), p AS ({P_COUNTIES})
+SELECT b.building_oid, p.parcel_oid, b.county, {W} * {H} AS area
+FROM b JOIN p ON b.county = p.county AND {STRICT} WHERE b.county IN (SELECT n_nationkey % 5 FROM nation WHERE n_nationkey % 5 BETWEEN 1 AND 2)""")
+def overlay_counties_pruned(spark, sf_dir):
+    """Layers saved by county; which counties are scanned a query tells at run time."""
+    from ..session import scratch_dir
+    from .job import overlay_counties, save_by_county
+
+    b = save_by_county(fx.buildings_counties(spark, sf_dir).select(F.col("building_oid").alias("oid"), "geometry", "bbox", "county"), scratch_dir(spark, "by-county"))
+    p = save_by_county(fx.parcels_counties(spark, sf_dir).select(F.col("parcel_oid").alias("oid"), "geometry", "bbox", "county"), scratch_dir(spark, "by-county"))
+    wanted = fx.table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5).cast("int").alias("county")).where("county BETWEEN 1 AND 2")
+    o = overlay_counties(b, p, wanted)
+    return o.select("building_oid", F.col("flur_oid").alias("parcel_oid"), "county", st_area("geometry").alias("area"))

@@ -190,3 +190,16 @@ def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k * 37) % 360 - 180).cast("double").alias("lon"),
         ((k * 17) % 180 - 90).cast("double").alias("lat"),
     )
+
+
+#: Arms of the very large L shapes (width of the plane, thickness, height).
+WIDE_L = (600, 20, 190)
+
+
+def wide_lshapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L shapes over hundreds of parcels, from suppliers."""
+    k = F.col("s_suppkey")
+    w, t, h = (F.lit(float(v)) for v in WIDE_L)
+    x, y = (k * 37 % 395).cast("double"), (k * 3 % 10).cast("double")
+    ring = _ring((x, y), (x + w, y), (x + w, y + t), (x + t, y + t), (x + t, y + h), (x, y + h), (x, y))
+    return table(spark, sf_dir, "supplier").select(k.alias("area_oid"), st_polygon(F.array(ring)).alias("geometry"))

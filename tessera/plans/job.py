@@ -21,6 +21,7 @@ from ..functions.hashing import GEOHASH_ALPHABET
 from ..operators.dedup import drop_duplicates_any, drop_duplicates_first
 from ..operators.overlay import overlay
 from ..operators.repair import repair
+from ..session import written
 from ..sources import fs
 
 # Layer file names and attribute lists of the reference job.
@@ -121,15 +122,6 @@ def with_location_keys(df: DataFrame, cell: float = LOCATION_CELL) -> DataFrame:
               .drop("__bb"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to a fresh folder under the shared checkpoint folder and read it back."""
-    from ..session import scratch_dir
-
-    path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def prepared(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:
     """The Parquet table at ``path``; made from ``make()`` if it is not there yet, or on ``refresh``."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -172,6 +164,22 @@ def location_ordered(df: DataFrame, single_file: bool = False, sample: DataFrame
     return out.coalesce(1) if single_file else out
 
 
+def save_by_county(df: DataFrame, path: str, key: str = "county") -> DataFrame:
+    """A prepared layer as a table with a folder for each county; read back, filters on the county prune folders."""
+    df.write.mode("overwrite").partitionBy(key).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def overlay_counties(buildings: DataFrame, parcels: DataFrame, wanted: DataFrame, key: str = "county", **grid) -> DataFrame:
+    """County-wise overlay of layers saved by county, for the counties that ``wanted`` has and both layers share.
+
+    ``wanted`` may be any query: which folders are scanned is decided at run time, by dynamic partition pruning of both
+    scans.  Hot cells are counted and split county by county."""
+    counties = wanted.select(key).distinct()
+    b, p = (df.join(counties, key, "left_semi") for df in (buildings, parcels))
+    return overlay(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "flur_oid"), partition_by=[key], **grid)
+
+
 def save_tables(buildings: DataFrame, parcels: DataFrame, pairs: DataFrame, name: str, buckets: int | None = None) -> None:
     """The persistent mode: ``<name>_buildings``, ``<name>_parcels`` and ``<name>_pairs`` (ids and geometry) as tables in as
     many buckets of their ids; older ones of these names go.  A join of the pairs with the buildings needs no exchange, one
