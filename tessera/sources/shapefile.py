@@ -616,39 +616,54 @@ class _Written(WriterCommitMessage):
         self.files = files
 
 
-def _metre(name: str, direction: str, abbreviation: str) -> dict:
-    return {"name": name, "abbreviation": abbreviation, "direction": direction, "unit": "metre"}
-
-
-def _method(name: str, code: int, value: float, unit: str) -> dict:
-    return {"name": name, "value": value, "unit": unit, "id": {"authority": "EPSG", "code": code}}
-
-
-#: ETRS89 / UTM zone 33N (EPSG:25833) as PROJJSON.
-UTM33N = {
-    "$schema": "https://proj.org/schemas/v0.7/projjson.schema.json",
-    "type": "ProjectedCRS",
-    "name": "ETRS89 / UTM zone 33N",
-    "base_crs": {
-        "name": "ETRS89",
-        "datum": {"type": "GeodeticReferenceFrame", "name": "European Terrestrial Reference System 1989",
-                  "ellipsoid": {"name": "GRS 1980", "semi_major_axis": 6378137, "inverse_flattening": 298.257222101}},
-        "coordinate_system": {"subtype": "ellipsoidal", "axis": [
-            {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"},
-            {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"}]},
-        "id": {"authority": "EPSG", "code": 4258},
-    },
-    "conversion": {
-        "name": "UTM zone 33N",
-        "method": {"name": "Transverse Mercator", "id": {"authority": "EPSG", "code": 9807}},
-        "parameters": [
-            _method("Latitude of natural origin", 8801, 0, "degree"), _method("Longitude of natural origin", 8802, 15, "degree"),
-            _method("Scale factor at natural origin", 8805, 0.9996, "unity"), _method("False easting", 8806, 500000, "metre"),
-            _method("False northing", 8807, 0, "metre")],
-    },
-    "coordinate_system": {"subtype": "Cartesian", "axis": [_metre("Easting", "east", "E"), _metre("Northing", "north", "N")]},
-    "id": {"authority": "EPSG", "code": 25833},
-}
+#: Fixed value: the published PROJJSON of ETRS89 / UTM zone 33N (EPSG:25833).
+UTM33N = json.loads("""
+{"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json",
+ "type": "ProjectedCRS",
+ "name": "ETRS89 / UTM zone 33N",
+ "base_crs": {
+  "name": "ETRS89",
+  "datum_ensemble": {
+   "name": "European Terrestrial Reference System 1989 ensemble",
+   "members": [
+    {"name": "European Terrestrial Reference Frame 1989"},
+    {"name": "European Terrestrial Reference Frame 1990"},
+    {"name": "European Terrestrial Reference Frame 1991"},
+    {"name": "European Terrestrial Reference Frame 1992"},
+    {"name": "European Terrestrial Reference Frame 1993"},
+    {"name": "European Terrestrial Reference Frame 1994"},
+    {"name": "European Terrestrial Reference Frame 1996"},
+    {"name": "European Terrestrial Reference Frame 1997"},
+    {"name": "European Terrestrial Reference Frame 2000"},
+    {"name": "European Terrestrial Reference Frame 2005"},
+    {"name": "European Terrestrial Reference Frame 2014"}],
+   "ellipsoid": {"name": "GRS 1980", "semi_major_axis": 6378137, "inverse_flattening": 298.257222101},
+   "accuracy": "0.1"},
+  "coordinate_system": {
+   "subtype": "ellipsoidal",
+   "axis": [
+    {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"},
+    {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"}]},
+  "id": {"authority": "EPSG", "code": 4258}},
+ "conversion": {
+  "name": "UTM zone 33N",
+  "method": {"name": "Transverse Mercator", "id": {"authority": "EPSG", "code": 9807}},
+  "parameters": [
+   {"name": "Latitude of natural origin", "value": 0, "unit": "degree", "id": {"authority": "EPSG", "code": 8801}},
+   {"name": "Longitude of natural origin", "value": 15, "unit": "degree", "id": {"authority": "EPSG", "code": 8802}},
+   {"name": "Scale factor at natural origin", "value": 0.9996, "unit": "unity", "id": {"authority": "EPSG", "code": 8805}},
+   {"name": "False easting", "value": 500000, "unit": "metre", "id": {"authority": "EPSG", "code": 8806}},
+   {"name": "False northing", "value": 0, "unit": "metre", "id": {"authority": "EPSG", "code": 8807}}]},
+ "coordinate_system": {
+  "subtype": "Cartesian",
+  "axis": [
+   {"name": "Easting", "abbreviation": "E", "direction": "east", "unit": "metre"},
+   {"name": "Northing", "abbreviation": "N", "direction": "north", "unit": "metre"}]},
+ "scope": "Engineering survey, topographic mapping.",
+ "area": "Europe between 12°E and 18°E: Austria; Denmark - offshore and offshore; Germany - onshore and offshore; Norway including Svalbard - onshore and offshore.",
+ "bbox": {"south_latitude": 46.4, "west_longitude": 12, "north_latitude": 84.42, "east_longitude": 18.01},
+ "id": {"authority": "EPSG", "code": 25833}}
+""")
 
 
 def crs_projjson(crs: str | None) -> dict | None:
