@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bbox_of, st_bbox, st_intersects
+from ..functions import columns as fc
 from ..session import written
 
 BBOX = "bbox"
@@ -345,39 +346,50 @@ def spatial_join(
 __all__ = ["GridPlan", "bbox_of", "candidate_pairs", "spatial_join", "with_bbox"]
 
 
-def spatial_join_sql(spark, left_view: str, right_view: str, select: str, cell_size: float,
+def spatial_join_sql(spark, left_view: str, right_view: str, select: str, cell_size: float | None = None,
                      left_geometry: str = "geometry", right_geometry: str = "geometry",
-                     where: str | None = None):
+                     clip: str | None = None, where: str | None = None, max_cells: int = 1024):
     """The grid join written as Spark SQL over two views that have a ``bbox`` column.
 
     ``select`` is the projection over aliases ``a`` (left) and ``b`` (right);
-    ``st_intersects`` must be registered (``tessera.register``).  One grid level:
-    a very large feature is keyed on every cell it covers.
+    ``st_intersects`` must be registered (``tessera.register``).  ``clip`` names
+    a column with the polygonal part of the shared geometry: it is made once a
+    pair, replaces the test and is there for ``select`` and ``where``.  Levels are
+    those of ``candidate_pairs``: a very large feature is keyed on coarser cells.
     """
-    c = float(cell_size)
+    sides = [spark.table(v) for v in (left_view, right_view)]
+    stats = _stats_both(*sides, BBOX)
+    c = float(cell_size) if cell_size else 2.0 * max(s["med"] for s in stats) or 1.0
+    per_axis = max(3, math.isqrt(max(int(max_cells), 9)))
+    thresholds = _thresholds(c, per_axis, _max_level(max(s["top"] for s in stats), c, per_axis))
+    levels = sorted({x for df in sides for x in _exact_levels(df, BBOX, thresholds)}) if thresholds else [0]
+    extent = "greatest(t.bbox.maxx - t.bbox.minx, t.bbox.maxy - t.bbox.miny)"
+    own = "CASE " + " ".join(f"WHEN {extent} <= {t!r}D THEN {j}" for j, t in enumerate(thresholds)) + f" ELSE {len(thresholds)} END" if thresholds else "0"
+    coarser = f"filter(array({', '.join(map(str, levels))}), x -> x >= own)"
 
     def cells(view: str) -> str:
-        return (
-            f"SELECT t.*, cx, cy FROM {view} t "
-            f"LATERAL VIEW explode(sequence(CAST(floor(t.bbox.minx / {c}) AS BIGINT), "
-            f"CAST(floor(t.bbox.maxx / {c}) AS BIGINT))) ex AS cx "
-            f"LATERAL VIEW explode(sequence(CAST(floor(t.bbox.miny / {c}) AS BIGINT), "
-            f"CAST(floor(t.bbox.maxy / {c}) AS BIGINT))) ey AS cy "
-            f"WHERE t.bbox IS NOT NULL"
-        )
-
-    text = f"""
-        SELECT /*+ MERGE(a, b) */ {select}
+        cover = lambda low, high: f"explode(sequence(CAST(floor({low} / ({c!r}D * power(2, lvl))) AS BIGINT), CAST(floor({high} / ({c!r}D * power(2, lvl))) AS BIGINT)))"
+        return (f"SELECT o.*, lvl, cx, cy FROM (SELECT t.*, {own} AS own FROM {view} t WHERE t.bbox IS NOT NULL) o "
+                f"LATERAL VIEW explode({coarser}) el AS lvl "
+                f"LATERAL VIEW {cover('o.bbox.minx', 'o.bbox.maxx')} ex AS cx "
+                f"LATERAL VIEW {cover('o.bbox.miny', 'o.bbox.maxy')} ey AS cy")
+
+    size = f"({c!r}D * power(2, a.lvl))"
+    pairs = f"""SELECT /*+ MERGE(a, b) */ struct(a.*) AS a, struct(b.*) AS b
         FROM ({cells(left_view)}) a
-        JOIN ({cells(right_view)}) b ON a.cx = b.cx AND a.cy = b.cy
-        WHERE a.bbox.minx <= b.bbox.maxx AND b.bbox.minx <= a.bbox.maxx
+        JOIN ({cells(right_view)}) b ON a.lvl = b.lvl AND a.cx = b.cx AND a.cy = b.cy
+        WHERE a.lvl = greatest(a.own, b.own)
+          AND a.bbox.minx <= b.bbox.maxx AND b.bbox.minx <= a.bbox.maxx
           AND a.bbox.miny <= b.bbox.maxy AND b.bbox.miny <= a.bbox.maxy
-          AND CAST(floor(greatest(a.bbox.minx, b.bbox.minx) / {c}) AS BIGINT) = a.cx
-          AND CAST(floor(greatest(a.bbox.miny, b.bbox.miny) / {c}) AS BIGINT) = a.cy
-          AND st_intersects(a.{left_geometry}, b.{right_geometry})
-          {"AND " + where if where else ""}
-    """
-    return spark.sql(text)
+          AND CAST(floor(greatest(a.bbox.minx, b.bbox.minx) / {size}) AS BIGINT) = a.cx
+          AND CAST(floor(greatest(a.bbox.miny, b.bbox.miny) / {size}) AS BIGINT) = a.cy"""
+    if clip:
+        spark.udf.register("st_clip_once", fc._clip_udf.asNondeterministic())  # evaluated once, whatever uses its column
+        inner = f"SELECT *, st_clip_once(a.{left_geometry}, b.{right_geometry}) AS {clip} FROM ({pairs})"
+        test = f"{clip} IS NOT NULL"
+    else:
+        inner, test = pairs, f"st_intersects(a.{left_geometry}, b.{right_geometry})"
+    return spark.sql(f"SELECT {select} FROM ({inner}) WHERE {test} {'AND ' + where if where else ''}")
 
 
 def choose_cell_size(left: DataFrame, right: DataFrame, left_geometry: str = "geometry",

@@ -31,7 +31,7 @@ from ..functions import (
 from ..operators.dedup import concat_layers, drop_duplicates_any, drop_duplicates_first, insert_if_absent
 from ..operators.overlay import overlay
 from ..operators.repair import invalid_rows, promote_to_multi, repair
-from ..operators.spatial_join import choose_cell_size, spatial_join, spatial_join_sql
+from ..operators.spatial_join import spatial_join, spatial_join_sql
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,11 +205,7 @@ def spatial_join_sql_form(spark, sf_dir):
     b, p = _layers(spark, sf_dir)
     b.createOrReplaceTempView("tessera_buildings")
     p.createOrReplaceTempView("tessera_usage")
-    cell = choose_cell_size(b, p)
-    return spatial_join_sql(
-        spark, "tessera_buildings", "tessera_usage",
-        "a.building_oid, b.parcel_oid, st_area(st_clip_polygonal(a.geometry, b.geometry)) AS area",
-        cell, where="st_clip_polygonal(a.geometry, b.geometry) IS NOT NULL")
+    return spatial_join_sql(spark, "tessera_buildings", "tessera_usage", "a.building_oid, b.parcel_oid, st_area(shared) AS area", clip="shared")
 
 
 @query("overlay_county_wise", f"""WITH b AS ({B_COUNTIES}), p AS ({P_COUNTIES})

@@ -123,3 +123,25 @@ def test_hot_cells_are_counted_by_county(spark):
     plain = overlay(b, p, partition_by=["county"], salt_hot_cells=False)
     key = lambda df: sorted((r.building_oid, r.parcel_oid, r.county) for r in df.collect())
     assert key(split) == key(plain)
+
+
+def test_sql_join_has_levels_and_one_clip(spark, layers):
+    """Large and small features in SQL: the rows of the plain join, no nested loop or broadcast, one clip a pair."""
+    from tessera.functions import st_bbox
+    from tessera.operators.spatial_join import spatial_join, spatial_join_sql
+    from tessera.session import register
+
+    register(spark)
+    for name, df in zip(("sql_small", "sql_large"), layers, strict=True):
+        df.withColumn("bbox", st_bbox("geometry")).createOrReplaceTempView(name)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    plain = key(spatial_join(*layers).select("id_1", "id_2"))
+    for cells in (9, 1024):
+        got = spatial_join_sql(spark, "sql_small", "sql_large", "a.id, b.id AS other", max_cells=cells)
+        assert key(got) == plain
+    clipped = spatial_join_sql(spark, "sql_small", "sql_large", "a.id, b.id AS other, st_area(shared) AS area", clip="shared", where="a.id < 100")
+    plan = clipped._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert plan.count("st_clip_once(") == 1
+    want = {(a, b): x for (a, b, _, _), x in areas(overlay(*layers)).items() if a < 100}
+    assert {(r.id, r.other): r.area for r in clipped.collect()} == pytest.approx(want)
