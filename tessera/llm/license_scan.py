@@ -72,6 +72,8 @@ UNVERSIONED = {"GPL", "LGPL", "AGPL"}
 #: A text that has all of one licence but this title is another.
 TITLES = {"GPL-3.0": ("AGPL-3.0", re.compile(r"(?i)gnu\s+affero\s+general\s+public\s+license\W+version\s+3,\s+19\s+november"))}
 WORD = re.compile(r"\w+")
+#: Rows whose hits are scored in one task.
+ROWS_A_TASK = 4000
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 
 
@@ -264,7 +266,9 @@ def scan(df: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str =
     for at, count in counts:
         df_of[at] = count
     idf = np.log((n + 1) / (df_of + 1)) + 1
-    scored = rows.select("doc_id", "path", _best(F.col("hits"), idf, float(np.log(n + 1) + 1), templates, least).alias("b"), F.col("hits.text").alias("t"),
+    # the hits are small files: as many tasks as rows ask for, not as there are files
+    dealt = rows.repartition(max(1, -(-n // ROWS_A_TASK)))
+    scored = dealt.select("doc_id", "path", _best(F.col("hits"), idf, float(np.log(n + 1) + 1), templates, least).alias("b"), F.col("hits.text").alias("t"),
                          F.col("hits.share").alias("share"), F.col("hits.text_line").alias("t_line"))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     named = F.substring_index("path", "/", -1).rlike(FILE_NAME)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, forest
+from ._repeats import grouped
 from ._work import U64, ship, written
 
 ONES = U64(0xFFFFFFFFFFFFFFFF)
@@ -145,23 +146,18 @@ def bit_sliced(fps: np.ndarray, bucket: np.ndarray, radius: int, chunk: int = 1
 
 def _links(radius: int):
     def links(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        bucket, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((fps, bucket))
-        bucket, fps = bucket[order], fps[order].view(U64)
-        same = np.r_[False, bucket[1:] == bucket[:-1]]
-        many = same | np.r_[same[1:], False]
-        bucket, fps = bucket[many], fps[many]
-        if not len(fps):
-            return
-        parent = np.arange(len(fps))
-        for i, j in bit_sliced(fps, bucket, radius):
-            parent = forest(parent, i, j)
-        child = np.flatnonzero(parent != np.arange(len(fps)))
-        signed = fps.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[parent[child]])], names=["u", "v"])
+        for bucket, fps in grouped(batches):  # whole buckets, sorted
+            same = np.r_[False, bucket[1:] == bucket[:-1]]
+            many = same | np.r_[same[1:], False]
+            bucket, fps = bucket[many], fps[many].view(U64)
+            if not len(fps):
+                continue
+            parent = np.arange(len(fps))
+            for i, j in bit_sliced(fps, bucket, radius):
+                parent = forest(parent, i, j)
+            child = np.flatnonzero(parent != np.arange(len(fps)))
+            signed = fps.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[parent[child]])], names=["u", "v"])
 
     return links
 
@@ -191,7 +187,7 @@ def labels(rows: DataFrame, *, radius: int = 4, bands: int = 6, block: int = 409
                         lambda o: F.least(o, F.col("own")) * F.col("cuts") + F.greatest(o, F.col("own")))
     dealt = (keyed.join(large, ["t", "k"], "left").withColumn("own", own)
              .withColumn("unit", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(-1))).otherwise(meets)))
-             .select(F.xxhash64("t", "k", "unit").alias("bucket"), "fp").repartition("bucket"))
+             .select(F.xxhash64("t", "k", "unit").alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp"))
     edges = dealt.mapInArrow(_links(radius), "u bigint, v bigint")
     roots = components(edges)
     named = distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
