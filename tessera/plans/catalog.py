@@ -596,9 +596,10 @@ def job_counts(spark, sf_dir):
 @query("job_persistent", f"SELECT * EXCLUDE (geom_hash) FROM ({FILES_SQL}) x")
 def job_persistent(spark, sf_dir):
     """K5 with K4 and J8: the job's tables in buckets of their ids, attributes joined as the result is read."""
+    from ..session import scratch_dir
     from .job import RESULT_COLUMNS, run
 
-    saved = run(spark, [full_shapefiles(spark, sf_dir)], None, save_name="tessera_job")
+    saved = run(spark, [full_shapefiles(spark, sf_dir)], scratch_dir(spark, "job-tables"), save_name="tessera_job")
     return saved.select(st_area("geometry").alias("area"), *RESULT_COLUMNS)
 
 

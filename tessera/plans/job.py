@@ -180,15 +180,17 @@ def overlay_counties(buildings: DataFrame, parcels: DataFrame, wanted: DataFrame
     return overlay(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "flur_oid"), partition_by=[key], **grid)
 
 
-def save_tables(buildings: DataFrame, parcels: DataFrame, pairs: DataFrame, name: str, buckets: int | None = None) -> None:
+def save_tables(buildings: DataFrame, parcels: DataFrame, pairs: DataFrame, name: str, buckets: int | None = None,
+                folder: str | None = None) -> None:
     """The persistent mode: ``<name>_buildings``, ``<name>_parcels`` and ``<name>_pairs`` (ids and geometry) as tables in as
     many buckets of their ids; older ones of these names go.  A join of the pairs with the buildings needs no exchange, one
-    with the parcels none on the parcels' side."""
+    with the parcels none on the parcels' side.  ``folder``: where the tables lie, else Spark's warehouse."""
     spark = buildings.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     for df, part, key in ((buildings, "buildings", "building_oid"), (parcels, "parcels", "flur_oid"), (pairs, "pairs", "building_oid")):
         spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(f"{name}_{part}")
+        out = df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet")
+        (out.option("path", f"{folder}/{part}") if folder else out).saveAsTable(f"{name}_{part}")
 
 
 def saved_result(spark: SparkSession, name: str) -> DataFrame:
@@ -209,7 +211,8 @@ def run(spark: SparkSession, roots: list, output: str | None, *, crs: str | None
     order; a layer without one of its columns is an error.  ``counts`` (a dict)
     gets the numbers of rows read and kept of each layer and of the result,
     counted during the writes, without a pass of their own.  ``save_name``: the
-    persistent mode, tables in buckets instead of the export (``save_tables``).
+    persistent mode, tables in buckets (below ``output``, if given) instead of the
+    export (``save_tables``).
     """
     try:
         root = resolve_root(roots)
@@ -232,7 +235,7 @@ def run(spark: SparkSession, roots: list, output: str | None, *, crs: str | None
     res = overlay_layers(b, p, county_wise=county_wise, **grid)
     if save_name:
         pairs = counted(res.select("building_oid", "flur_oid", "geometry"), counts, "rows")
-        save_tables(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "flur_oid"), pairs, save_name, buckets)
+        save_tables(b.withColumnRenamed("oid", "building_oid"), p.withColumnRenamed("oid", "flur_oid"), pairs, save_name, buckets, output)
         resolve(counts)
         return saved_result(spark, save_name)
     keys = b.select(st_geohash("bbox", 5).alias("geom_hash"), st_grid_hash("bbox", LOCATION_CELL).alias("grid_hash"))

@@ -228,7 +228,7 @@ def test_county_wise_job_reads_each_layer_once(spark, tmp_path):
 
 def test_saved_tables_join_without_an_exchange(spark, tmp_path):
     root = catalog.full_shapefiles(spark, SF_SMALL)
-    saved = job.run(spark, [root], None, save_name="tessera_saved", buckets=4)
+    saved = job.run(spark, [root], f"{tmp_path}/tables", save_name="tessera_saved", buckets=4)
     rows = job.run(spark, [root], f"{tmp_path}/out").count()
     assert saved.count() == rows
     spark.conf.set("spark.sql.adaptive.enabled", "false")
