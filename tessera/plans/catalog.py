@@ -470,10 +470,10 @@ def county_shapefiles(spark, sf_dir) -> str:
     from ..session import register, scratch_dir
     from .job import BUILDINGS_LAYER, PARCELS_LAYER
 
+    register(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _WRITTEN:
         return _WRITTEN[key]
-    register(spark)
     root = scratch_dir(spark, "shapefiles")
     b = fx.buildings_counties(spark, sf_dir).select(
         F.col("building_oid").alias("oid"), "aktualit", "funktion", "county", "geometry")
@@ -543,9 +543,9 @@ def full_shapefiles(spark, sf_dir) -> str:
     from ..session import register, scratch_dir
     from .job import BUILDINGS_LAYER, PARCELS_LAYER
 
+    register(spark)
     key = (spark.sparkContext.applicationId, sf_dir, "full")
     if key not in _WRITTEN:
-        register(spark)
         root = scratch_dir(spark, "shapefiles")
         k = F.col("building_oid")
         b = fx.buildings_counties(spark, sf_dir).select(
