@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import geometry as g
 from . import wkb
-from .convex import Rings, clip
+from .convex import Outlines, Rings, clip, clip_outlines, ring_areas2
 
 _RECT_LEN = 13 + 16 * 5
 _RECT_HEADER = np.array([1, 3, 0, 0, 0, 1, 0, 0, 0, 5, 0, 0, 0], dtype=np.uint8)
@@ -95,6 +96,66 @@ def _simple_rings(arr: pa.Array):
     return cand, npts, xy, (offsets, data, valid)
 
 
+def _numbers(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return data[at[:, None] + np.arange(4)].astype(np.int64) @ np.array([1, 256, 65536, 16777216], dtype=np.int64)
+
+
+def _ring_table(arr: pa.Array):
+    """Rings of the rows that are little-endian 2-D polygons or multipolygons: row, whether it is a shell, point count and
+    all coordinates as one flat array; and these rows.  The rows are read together, one ring of each at a time."""
+    offsets, data, valid = _buffers(arr)
+    n = len(arr)
+    begin, end = offsets[:-1], offsets[1:]
+    codes = _raw_codes(arr)
+    parsed = valid & np.isin(codes, (wkb.POLYGON, wkb.MULTIPOLYGON)) & (end - begin >= 9)
+    parsed[parsed] = data[begin[parsed]] == 1
+    pos = begin + 5
+    parts, rings = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    one = np.flatnonzero(parsed & (codes == wkb.POLYGON))
+    many = np.flatnonzero(parsed & (codes == wkb.MULTIPOLYGON))
+    rings[one], parts[many] = _numbers(data, pos[one]), _numbers(data, pos[many])
+    pos[parsed] += 4
+    next_is_shell = np.ones(n, bool)
+    found = []
+    while True:
+        # a part's header where the rings of the one before are read
+        new = np.flatnonzero(parsed & (rings == 0) & (parts > 0))
+        if len(new):
+            fits = pos[new] + 9 <= end[new]
+            fits[fits] = (data[pos[new[fits]][:, None] + np.arange(5)] == _RECT_HEADER[:5]).all(axis=1)
+            parsed[new[~fits]] = False
+            new = new[fits]
+            rings[new] = _numbers(data, pos[new] + 5)
+            pos[new] += 9
+            parts[new] -= 1
+            next_is_shell[new] = True
+        at = np.flatnonzero(parsed & (rings > 0))
+        if not len(at):
+            if not (parsed & (parts > 0)).any():
+                break
+            continue
+        fits = pos[at] + 4 <= end[at]
+        npts = np.zeros(len(at), np.int64)
+        npts[fits] = _numbers(data, pos[at[fits]])
+        fits &= pos[at] + 4 + 16 * npts <= end[at]
+        parsed[at[~fits]] = False
+        at, npts = at[fits], npts[fits]
+        found.append((at, next_is_shell[at], npts, pos[at] + 4))
+        pos[at] += 4 + 16 * npts
+        rings[at] -= 1
+        next_is_shell[at] = False
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty((0, 2)), parsed
+    row, shell, npts, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    parsed[row[npts == 0]] = False
+    use = np.flatnonzero(parsed[row])
+    use = use[np.argsort(row[use], kind="stable")]
+    row, shell, npts, first = row[use], shell[use], npts[use], first[use]
+    nbytes = 16 * npts
+    gather = np.arange(int(nbytes.sum())) + np.repeat(first - (np.cumsum(nbytes) - nbytes), nbytes)
+    return row, shell, npts, np.ascontiguousarray(data[gather]).view("<f8").reshape(-1, 2), parsed
+
+
 def bounds(arr: pa.Array) -> np.ndarray:
     """``(n, 4)`` bounding boxes; NaN for NULL or empty geometry."""
     arr = as_array(arr)
@@ -111,8 +172,16 @@ def bounds(arr: pa.Array) -> np.ndarray:
         out[cand, 2] = np.maximum.reduceat(xy[:, 0], brk)
         out[cand, 3] = np.maximum.reduceat(xy[:, 1], brk)
         simple[cand] = True
+    rest = np.flatnonzero(valid & ~simple)
+    if len(rest):
+        row, _, npts, xy, parsed = _ring_table(arr.take(pa.array(rest)))
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        brk, some = (np.cumsum(npts) - npts)[first], rest[row[first]]
+        for k in range(4) if len(some) else ():
+            out[some, k] = (np.minimum if k < 2 else np.maximum).reduceat(xy[:, k % 2], brk)
+        rest = rest[~parsed]
     start = offsets[:-1]
-    for i in np.nonzero(valid & ~simple)[0]:
+    for i in rest:
         c = wkb.parse(data[start[i]:offsets[i + 1]].tobytes()).coords()
         if len(c):
             out[i] = [c[:, 0].min(), c[:, 1].min(), c[:, 0].max(), c[:, 1].max()]
@@ -223,8 +292,9 @@ def intersection_batch(a, b, keep_geom_type: bool, empty_as_null: bool = False)
         oh = np.minimum(bxa[:, 3], bxb[:, 3]) - np.maximum(bxa[:, 1], bxb[:, 1])
         todo &= (ow > 0) & (oh > 0)
         for rows, found, exact in _convex_clips(a, b, todo):
-            for i, v in zip(rows[exact], np.array(found, object)[exact], strict=True):
-                out[i] = v
+            for i, v, known in zip(rows.tolist(), found, exact.tolist(), strict=True):
+                if known:
+                    out[i] = v
             todo[rows[exact]] = False
     rest = np.flatnonzero(todo)
     for i, va, vb in zip(rest, a.take(pa.array(rest)).to_pylist(), b.take(pa.array(rest)).to_pylist(), strict=True):
@@ -241,15 +311,24 @@ def rings(arr: pa.Array) -> Rings:
 
 
 def _convex_clips(a: pa.Array, b: pa.Array, todo: np.ndarray):
-    """Clips of the rows in which one side is convex and the other a single ring, part by part."""
+    """Clips of the rows in which one side is convex, part by part: single rings first, then shapes of several rings and
+    what the first way hands back."""
     if not todo.any():
         return
     ka, kb = rings(a), rings(b)
     by_b = todo & ka.simple & kb.convex
     by_a = todo & ka.convex & kb.simple & ~by_b
+    left = todo.copy()
     for subject, window, rows in ((ka, kb, by_b), (kb, ka, by_a)):
         if rows.any():
-            yield from clip(subject, window, np.flatnonzero(rows))
+            for part, found, exact in clip(subject, window, np.flatnonzero(rows)):
+                left[part[exact]] = False
+                yield part, found, exact
+    for shapes, window, rows in ((a, kb, left & kb.convex), (b, ka, left & ka.convex & ~kb.convex)):
+        own = np.flatnonzero(rows)
+        if len(own):
+            outlines = Outlines(len(own), *_ring_table(shapes.take(pa.array(own))))
+            yield own, *clip_outlines(outlines, window, own)
 
 
 def intersects_batch(a, b) -> pa.Array:
@@ -298,6 +377,11 @@ def area_batch(arr) -> pa.Array:
     vals = None
     nulls = ~valid
     rest = np.nonzero(valid & ~done)[0]
+    if len(rest):
+        row, shell, npts, xy, parsed = _ring_table(arr.take(pa.array(rest)))
+        area2 = np.abs(ring_areas2(xy, np.cumsum(npts) - npts, npts))
+        out[rest] = np.bincount(row, np.where(shell, area2, -area2), minlength=len(rest)) / 2.0
+        rest = rest[~parsed]
     if len(rest):
         vals = arr.to_pylist()
         for i in rest:
@@ -402,9 +486,58 @@ def as_text_one(v: bytes) -> str:
 
 
 def polygon_from_rings(rings_arr) -> pa.Array:
-    """``array<array<double>>`` (flat x, y per ring) to WKB polygons."""
+    """``array<array<double>>`` (flat x, y per ring) to WKB polygons; closed rings without repeats are copied as they are."""
+    rings_arr = as_array(rings_arr)
+    known, found = _polygons_of_closed_rings(rings_arr)
+    if known.all():
+        return found
+    rest = np.flatnonzero(~known)
+    place = np.empty(len(known), np.int64)
+    place[np.concatenate([np.flatnonzero(known), rest])] = np.arange(len(known))
+    return pa.concat_arrays([found, _polygons_one_by_one(rings_arr.take(pa.array(rest)))]).take(pa.array(place))
+
+
+def _polygons_of_closed_rings(arr: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Rows whose rings are closed and repeat no point, and their WKB."""
+    n = len(arr)
+    known = arr.is_valid().to_numpy(zero_copy_only=False).copy()
+    rows = arr.filter(pa.array(known)) if not known.all() else arr
+    inner = rows.flatten()
+    per_row = np.diff(rows.offsets.to_numpy(zero_copy_only=False))
+    lengths = pc.fill_null(pc.list_value_length(inner), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    xy = np.append(inner.flatten().to_numpy(zero_copy_only=False), np.zeros(2))
+    begin = np.cumsum(lengths) - lengths
+    row = np.repeat(np.arange(len(rows)), per_row)
+    good = (lengths >= 2) & (lengths % 2 == 0)
+    last = np.where(good, begin + lengths - 2, 0)
+    good &= (xy[np.where(good, begin, 0)] == xy[last]) & (xy[np.where(good, begin + 1, 0)] == xy[last + 1])
+    pairs = np.where(good, lengths // 2 - 1, 0)
+    of = np.repeat(np.arange(len(pairs)), pairs)
+    p = begin[of] + 2 * (np.arange(len(of)) - (np.cumsum(pairs) - pairs)[of])
+    good[of[(xy[p] == xy[p + 2]) & (xy[p + 1] == xy[p + 3])]] = False
+    whole = np.bincount(row, ~good, minlength=len(rows)) == 0
+    known[known] = whole
+    use = whole[row]
+    row, lengths, begin = (np.cumsum(whole) - 1)[row[use]], lengths[use], begin[use]
+    count = per_row[whole]
+    size = 9 + 4 * count + 8 * np.bincount(row, lengths, minlength=len(count)).astype(np.int64)
+    offsets = np.append(0, np.cumsum(size))
+    data = np.empty(int(offsets[-1]), np.uint8)
+    head = offsets[:-1, None] + np.arange(9)
+    data[head[:, :5]] = _RECT_HEADER[:5]
+    data[head[:, 5:]] = np.ascontiguousarray(count, "<u4").view(np.uint8).reshape(-1, 4)
+    before = np.cumsum(4 + 8 * lengths) - (4 + 8 * lengths)
+    at = before + 9 * (row + 1)
+    data[at[:, None] + np.arange(4)] = np.ascontiguousarray(lengths // 2, "<u4").view(np.uint8).reshape(-1, 4)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    k = np.arange(len(of)) - (np.cumsum(lengths) - lengths)[of]
+    data[(at[of] + 4 + 8 * k)[:, None] + np.arange(8)] = np.ascontiguousarray(xy[begin[of] + k], "<f8").view(np.uint8).reshape(-1, 8)
+    return known, pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _polygons_one_by_one(rings_arr: pa.Array) -> pa.Array:
     out = []
-    for rings in as_array(rings_arr).to_pylist():
+    for rings in rings_arr.to_pylist():
         if rings is None:
             out.append(None)
             continue

@@ -3,7 +3,10 @@
 A single ring is cut by one half-plane of the window after the other, on
 padded arrays.  That is exact as long as each half-plane leaves one chain of
 the ring, so rows whose ring crosses a half-plane's line more than twice are
-handed back.  Rings are taken as valid (the overlay repairs before it clips).
+handed back to ``clip_outlines``, which takes polygons of any number of rings:
+where a half-plane cuts an outline, the crossings along its line are joined two
+by two in their order.  Rings are taken as valid (the overlay repairs before it
+clips).
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ import struct
 
 import numpy as np
 
-from .geometry import REL_TOL
+from . import wkb
+from .geometry import REL_TOL, _assemble
 
 #: Padded vertices handled at once.
 CELLS = 1 << 18
@@ -111,3 +115,146 @@ def clip(subject: Rings, window: Rings, rows: np.ndarray):
             p[np.arange(len(p)), n] = p[:, 0]
             yield part, [struct.pack("<BIII", 1, 3, 1, k + 1) + p[i, : k + 1].tobytes() if k else None
                          for i, k in enumerate(n.tolist())], exact
+
+
+class Outlines:
+    """All rings of the polygons and multipolygons of a batch: vertices without the closing ones and without repeats,
+    interior on the left.  ``known``: rows of which every ring is closed and has area."""
+
+    def __init__(self, n: int, row: np.ndarray, shell: np.ndarray, npts: np.ndarray, xy: np.ndarray, parsed: np.ndarray):
+        self.known = parsed.copy()
+        end = np.cumsum(npts)
+        start = end - npts
+        whole = npts >= 4
+        closed = np.zeros(len(row), bool)
+        closed[whole] = (xy[start[whole]] == xy[end[whole] - 1]).all(axis=1)
+        self.known[row[~closed]] = False
+        use = closed & self.known[row]
+        row, shell, start, m = row[use], shell[use], start[use], npts[use] - 1
+        of, at = _spread(m)
+        step = (xy[start[of] + at] != xy[start[of] + at + 1]).any(axis=1)
+        of, at = of[step], at[step]
+        area2 = ring_areas2(xy, start, m + 1)
+        m = np.bincount(of, minlength=len(m))
+        self.known[row[(m < 3) | ~np.isfinite(area2) | (area2 == 0)]] = False
+        points = xy[start[of] + at]
+        brk = np.cumsum(m) - m
+        place = np.arange(len(of)) - brk[of]
+        place = np.where(((area2 < 0) == shell)[of], m[of] - 1 - place, place)
+        self.xy = points[brk[of] + place]
+        self.row = row[of]
+        self.next = brk[of] + (np.arange(len(of)) - brk[of] + 1) % np.maximum(m, 1)[of]
+
+
+def _spread(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of ``m`` members: each member's group and place in it."""
+    of = np.repeat(np.arange(len(m)), m)
+    return of, np.arange(len(of)) - (np.cumsum(m) - m)[of]
+
+
+def ring_areas2(xy: np.ndarray, start: np.ndarray, npts: np.ndarray) -> np.ndarray:
+    """Twice the signed areas of closed rings, reckoned from their first points; rings of less than four have none."""
+    of, at = _spread(np.where(npts >= 4, npts - 1, 0))
+    p = xy[start[of] + at] - xy[start[of]]
+    q = xy[start[of] + at + 1] - xy[start[of]]
+    return np.bincount(of, _cross(p, q), minlength=len(start))
+
+
+def _cut_outlines(xy, row, to, a, e, tol):
+    """Outlines cut by a half-plane for each row (left of ``e`` through ``a``); also the rows for which the order of
+    the crossings does not tell how to go on."""
+    d = _cross(e[row], xy - a[row])
+    inside = d > tol[row]
+    cross = np.flatnonzero(inside != inside[to])
+    far = np.where(inside[cross], to[cross], cross)
+    near = np.where(inside[cross], cross, to[cross])
+    at = xy[near] + (d[near] / (d[near] - d[far]))[:, None] * (xy[far] - xy[near])
+    at = np.where((np.abs(d[far]) <= tol[row[cross]])[:, None], xy[far], at)
+    along = ((at - a[row[cross]]) * e[row[cross]]).sum(axis=1)
+    order = np.lexsort((along, row[cross]))
+    cross, at, along = cross[order], at[order], along[order]
+    leaves = inside[cross]
+    tie = (np.diff(along) <= 4 * tol[row[cross[1:]]]) & (row[cross[1:]] == row[cross[:-1]])
+    bad = np.unique(np.concatenate([row[cross[1:]][tie], row[cross[0::2]][~leaves[0::2]], row[cross[1::2]][leaves[1::2]]]))
+    ok = ~np.isin(row[cross], bad)
+    cross, at = cross[ok], at[ok]
+    inside &= ~np.isin(row, bad)
+    # a boundary that leaves goes on along the line to where the next one along it enters
+    n, exits, entries = len(xy), cross[0::2], cross[1::2]
+    new = n + np.arange(len(cross))
+    entered = to[entries]
+    to = np.concatenate([to, np.zeros(len(cross), np.int64)])
+    to[exits], to[new[0::2]], to[new[1::2]] = new[0::2], new[1::2], entered
+    keep = np.concatenate([inside, np.ones(len(cross), bool)])
+    name = np.cumsum(keep) - 1
+    return np.concatenate([xy, at])[keep], np.concatenate([row, row[cross]])[keep], name[to[keep]], bad
+
+
+def _in_order(to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices ring by ring, each from its first one on, and the rings they belong to (the first vertex's number)."""
+    ring, jump = np.arange(len(to)), to
+    while True:
+        lower = np.minimum(ring, ring[jump])
+        if (lower == ring).all():
+            break
+        ring, jump = lower, jump[jump]
+    last = to == ring
+    left, jump = np.where(last, 0, 1), np.where(last, np.arange(len(to)), to)
+    while left[jump].any():
+        left, jump = left + left[jump], jump[jump]
+    order = np.lexsort((-left, ring))
+    return order, ring[order]
+
+
+def clip_outlines(subject: Outlines, window: Rings, rows: np.ndarray):
+    """Cut polygons of any number of rings by the convex windows of ``rows``, one each: WKB or None, and whether that is exact."""
+    own = subject.known[subject.row]
+    name = np.cumsum(own) - 1
+    xy, row, to = subject.xy[own], subject.row[own], name[subject.next[own]]
+    exact = subject.known.copy()
+    start, count, ccw = window.start[rows], window.count[rows], window.ccw[rows]
+
+    def corner(k):
+        j = k % count
+        return window.xy[start + np.where(ccw, j, count - 1 - j)]
+
+    most = int(count.max(initial=0))
+    scale = np.ones(len(rows))
+    np.maximum.at(scale, row, np.abs(xy).max(axis=1))
+    for k in range(most):
+        scale = np.maximum(scale, np.abs(corner(k)).max(axis=1))
+    for k in range(most):
+        a = corner(k)
+        e = corner(k + 1) - a
+        e = e / np.hypot(e[:, 0], e[:, 1])[:, None]
+        xy, row, to, bad = _cut_outlines(xy, row, to, a, e, REL_TOL * scale)
+        exact[bad] = False
+    order, ring = _in_order(to)
+    first = np.flatnonzero(np.diff(ring, prepend=-1))
+    keep = (xy[order] != xy[to[order]]).any(axis=1)
+    of = (np.cumsum(np.diff(ring, prepend=-1) != 0) - 1)[keep]
+    ring_row, m = row[order[first]], np.bincount(of, minlength=len(first))
+    xy = xy[order[keep]]
+    some = m >= 3
+    start = (np.cumsum(m) - m)[some]
+    m, ring_row = m[some], ring_row[some]
+    of, at = _spread(m + 1)
+    closed = xy[start[of] + at % m[of]]
+    end = np.cumsum(m + 1)
+    area2 = ring_areas2(closed, end - m - 1, m + 1)
+    sized = np.abs(area2) > (REL_TOL * scale[ring_row]) ** 2
+    found = [None] * len(rows)
+    # of each row the rings around area first
+    ordered = np.lexsort((area2 < 0, ring_row))
+    ordered = ordered[sized[ordered]]
+    shells = np.bincount(ring_row[ordered], area2[ordered] > 0, minlength=len(rows)).astype(int)
+    stop = np.cumsum(np.bincount(ring_row[ordered], minlength=len(rows)))
+    ordered, begin, end = ordered.tolist(), (end - m - 1).tolist(), end.tolist()
+    for i in np.flatnonzero((shells > 0) & exact).tolist():
+        rings = [closed[begin[r] : end[r]] for r in ordered[stop[i - 1] if i else 0 : stop[i]]]
+        if shells[i] == 1:
+            found[i] = wkb.polygon_bytes(rings)
+        else:
+            polygons = _assemble(rings, REL_TOL * scale[i]) if len(rings) > shells[i] else [[r] for r in rings]
+            found[i] = wkb.encode(wkb.Shape(polygons=polygons))
+    return found, exact
