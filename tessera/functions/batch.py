@@ -100,7 +100,7 @@ def _numbers(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return data[at[:, None] + np.arange(4)].astype(np.int64) @ np.array([1, 256, 65536, 16777216], dtype=np.int64)
 
 
-def _ring_table(arr: pa.Array):
+def ring_table(arr: pa.Array):
     """Rings of the rows that are little-endian 2-D polygons or multipolygons: row, whether it is a shell, point count and
     all coordinates as one flat array; and these rows.  The rows are read together, one ring of each at a time."""
     offsets, data, valid = _buffers(arr)
@@ -174,7 +174,7 @@ def bounds(arr: pa.Array) -> np.ndarray:
         simple[cand] = True
     rest = np.flatnonzero(valid & ~simple)
     if len(rest):
-        row, _, npts, xy, parsed = _ring_table(arr.take(pa.array(rest)))
+        row, _, npts, xy, parsed = ring_table(arr.take(pa.array(rest)))
         first = np.flatnonzero(np.diff(row, prepend=-1))
         brk, some = (np.cumsum(npts) - npts)[first], rest[row[first]]
         for k in range(4) if len(some) else ():
@@ -327,7 +327,7 @@ def _convex_clips(a: pa.Array, b: pa.Array, todo: np.ndarray):
     for shapes, window, rows in ((a, kb, left & kb.convex), (b, ka, left & ka.convex & ~kb.convex)):
         own = np.flatnonzero(rows)
         if len(own):
-            outlines = Outlines(len(own), *_ring_table(shapes.take(pa.array(own))))
+            outlines = Outlines(len(own), *ring_table(shapes.take(pa.array(own))))
             yield own, *clip_outlines(outlines, window, own)
 
 
@@ -378,7 +378,7 @@ def area_batch(arr) -> pa.Array:
     nulls = ~valid
     rest = np.nonzero(valid & ~done)[0]
     if len(rest):
-        row, shell, npts, xy, parsed = _ring_table(arr.take(pa.array(rest)))
+        row, shell, npts, xy, parsed = ring_table(arr.take(pa.array(rest)))
         area2 = np.abs(ring_areas2(xy, np.cumsum(npts) - npts, npts))
         out[rest] = np.bincount(row, np.where(shell, area2, -area2), minlength=len(rest)) / 2.0
         rest = rest[~parsed]

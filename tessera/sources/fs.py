@@ -101,6 +101,14 @@ def write_bytes(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def write_chunks(path: str, chunks) -> None:
+    fs, p = filesystem(path)
+    fs.create_dir(posixpath.dirname(p), recursive=True)
+    with fs.open_output_stream(p) as f:
+        for chunk in chunks:
+            f.write(chunk)
+
+
 def move(src: str, dst: str) -> None:
     fs, s = filesystem(src)
     _, d = filesystem(dst)

@@ -28,13 +28,16 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import os
 import posixpath
 import struct
+import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -63,9 +66,10 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from ..functions import batch, wkb
 from ..functions import geometry as g
-from ..functions import wkb
 from ..functions.columns import BBOX_TYPE
+from ..functions.convex import ring_areas2
 from . import columnar, fs
 
 #: Columns of the reader's own; without ``geometry`` if that option is false.
@@ -434,17 +438,23 @@ def _arrow_type(t):
 
 # ---------------------------------------------------------------- writing
 
+#: Bytes of geometry that are encoded at once, of a layer's rows before they are, and of all layers' rows of a task.
+ENCODE_BYTES, LAYER_BYTES, TASK_BYTES = 4 << 20, 8 << 20, 48 << 20
+
+
 def _dbf_spec(name: str, arr: pa.Array):
+    """Name, type, width and decimals of a column that holds these values."""
     t = arr.type
     if pa.types.is_string(t) or pa.types.is_large_string(t):
-        width = max([len(v.encode("utf-8")) for v in arr.to_pylist() if v is not None] or [1])
+        width = pc.max(pc.binary_length(arr)).as_py() or 1
         if width > 254:
             raise ValueError(f"shp: a text of {name} has {width} bytes, the format holds 254")
-        return (name, "C", max(width, 1), 0)
-    if pa.types.is_int32(t) or pa.types.is_int16(t) or pa.types.is_int8(t):
-        return (name, "N", 9, 0) if all(v is None or -99999999 <= v <= 999999999 for v in arr.to_pylist()) else (name, "N", 18, 0)
+        return (name, "C", width, 0)
     if pa.types.is_integer(t):
-        return (name, "N", max([18, *(len(str(v)) for v in arr.to_pylist() if v is not None)]), 0)
+        low, high = pc.min_max(arr).as_py().values()
+        if t.bit_width < 64 and pa.types.is_signed_integer(t):
+            return (name, "N", 9 if low is None or -99999999 <= low and high <= 999999999 else 18, 0)
+        return (name, "N", max(18, *(len(str(v)) for v in (low, high) if v is not None), 0), 0)
     if pa.types.is_floating(t):
         return (name, "F", 24, 16)
     if pa.types.is_date(t):
@@ -454,42 +464,55 @@ def _dbf_spec(name: str, arr: pa.Array):
     return (name, "C", 254, 0)
 
 
-def _dbf_value(v, spec) -> bytes:
-    _, ftype, width, dec = spec
-    if v is None:
-        return b" " * width
-    if ftype == "C":
-        return v.encode("utf-8").ljust(width, b" ")
+def _dbf_texts(arr: pa.Array, spec) -> pa.Array:
+    """The values of a column as their bytes, not padded yet."""
+    _, ftype, _, dec = spec
+    t = arr.type
+    if ftype == "C" and (pa.types.is_string(t) or pa.types.is_large_string(t)):
+        return arr.cast(pa.large_binary())
     if ftype == "N":
-        return str(int(v)).rjust(width).encode("ascii")
-    if ftype == "F":
-        return f"{float(v):.{dec}e}".rjust(width).encode("ascii")
+        return arr.cast(pa.string()).cast(pa.large_binary())
     if ftype == "D":
-        return v.strftime("%Y%m%d").encode("ascii")
+        return pc.strftime(arr.cast(pa.timestamp("s")), "%Y%m%d").cast(pa.large_binary())
     if ftype == "L":
-        return b"T" if v else b"F"
-    return str(v).encode("utf-8")[:width].ljust(width, b" ")
+        return pc.if_else(arr, "T", "F").cast(pa.large_binary())
+    if ftype != "F" and arr.null_count < len(arr):
+        raise ValueError(f"shp: the format has no field for {spec[0]}, of type {t}")
+    return pa.array([None if v is None else f"{float(v):.{dec}e}".encode() for v in arr.to_pylist()], pa.large_binary())
 
 
-def write_dbf(columns: dict) -> bytes:
-    names = list(columns)
+def _dbf_rows(columns: dict, specs: list) -> np.ndarray:
+    """Attribute rows as a matrix of bytes: texts to the left of their fields, numbers to the right, nulls blank."""
     n = len(next(iter(columns.values()))) if columns else 0
-    long = [nm for nm in names if not nm.isascii() or len(nm) > 10]
+    out = np.full((n, 1 + sum(s[2] for s in specs)), 0x20, np.uint8)
+    off = 1
+    for spec in specs:
+        texts = pc.fill_null(_dbf_texts(columns[spec[0]], spec), b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.empty(0, np.uint8)
+        size = np.diff(offsets)
+        of = np.repeat(np.arange(n), size)
+        place = np.arange(len(of)) - (offsets[:-1] - offsets[:1])[of] if n else of
+        out[of, off + place + (spec[2] - size[of] if spec[1] in "NF" else 0)] = data
+        off += spec[2]
+    return out
+
+
+def _dbf_head(specs: list, n: int) -> bytes:
+    long = [s[0] for s in specs if not s[0].isascii() or len(s[0]) > 10]
     if long:
         raise ValueError(f"shp: field names hold at most 10 ASCII characters: {long}")
-    specs = [_dbf_spec(nm, columns[nm]) for nm in names]
-    rlen = 1 + sum(s[2] for s in specs)
-    hlen = 32 + 32 * len(specs) + 1
     today = _dt.date.today()
-    out = [struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, n, hlen, rlen)]
+    out = [struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, n, 32 + 32 * len(specs) + 1, 1 + sum(s[2] for s in specs))]
     for name, ftype, width, dec in specs:
         out.append(struct.pack("<11sc4xBB14x", name.encode("ascii", "replace"), ftype.encode(), width, dec))
-    out.append(b"\x0d")
-    values = [columns[nm].to_pylist() for nm in names]
-    for i in range(n):
-        out.append(b" " + b"".join(_dbf_value(values[k][i], specs[k]) for k in range(len(specs))))
-    out.append(b"\x1a")
-    return b"".join(out)
+    return b"".join(out) + b"\x0d"
+
+
+def write_dbf(columns: dict) -> bytes:
+    specs = [_dbf_spec(nm, columns[nm]) for nm in columns]
+    n = len(next(iter(columns.values()))) if columns else 0
+    return _dbf_head(specs, n) + _dbf_rows(columns, specs).tobytes() + b"\x1a"
 
 
 def _shp_record(gbytes) -> tuple[int, bytes, tuple | None]:
@@ -517,44 +540,141 @@ def _shp_record(gbytes) -> tuple[int, bytes, tuple | None]:
     return kind, body, box
 
 
+def _shp_records(geoms: pa.Array, number: int) -> tuple[np.ndarray, np.ndarray, set, np.ndarray]:
+    """Records from ``number`` on with their headers as one run of bytes, their contents' lengths, kinds and boxes.
+    Polygons of sound rings all at once, the others one by one."""
+    n = len(geoms)
+    row, shell, npts, xy, parsed = batch.ring_table(geoms)
+    start = np.cumsum(npts) - npts
+    of = np.repeat(np.arange(len(row)), npts)
+    last = np.zeros(len(xy), bool)
+    last[(start + npts - 1)[npts > 0]] = True
+    repeats = np.append((xy[1:] == xy[:-1]).all(axis=1), False) & ~last
+    sound = (npts >= 4) & (xy[start] == xy[start + npts - 1]).all(axis=1) & ~np.bincount(of, repeats, minlength=len(row)).astype(bool)
+    parts = np.bincount(row, minlength=n)
+    fast = parsed & (parts > 0)
+    fast[row[~sound]] = False
+    use = fast[row]
+    row, shell, npts, start, parts = row[use], shell[use], npts[use], start[use], parts[fast]
+    points = np.bincount(row, npts, minlength=n).astype(np.int64)[fast]
+    size = np.zeros(n, np.int64)
+    size[fast] = 44 + 4 * parts + 16 * points
+    slow = {i: _shp_record(v) for i, v in zip(np.flatnonzero(~fast).tolist(), geoms.filter(pa.array(~fast)).to_pylist(), strict=True)}
+    size[list(slow)] = [len(body) for _, body, _ in slow.values()]
+    at = np.cumsum(8 + size) - size
+    out = np.empty(int((8 + size).sum()), np.uint8)
+    heads = np.column_stack([number + np.arange(n) + 1, size // 2]).astype(">i4")
+    out[(at - 8)[:, None] + np.arange(8)] = heads.view(np.uint8).reshape(n, 8)
+    # shells clockwise, holes counter-clockwise
+    area2 = ring_areas2(xy, start, npts)
+    flip = ~np.where(shell, area2 < 0, area2 > 0)
+    of = np.repeat(np.arange(len(row)), npts)
+    j = np.arange(len(of)) - (np.cumsum(npts) - npts)[of]
+    xy = xy[start[of] + np.where(flip[of], npts[of] - 1 - j, j)]
+    boxes = np.empty((len(points), 4), "<f8")
+    for k in range(4) if len(points) else ():
+        boxes[:, k] = (np.minimum if k < 2 else np.maximum).reduceat(xy[:, k % 2], np.cumsum(points) - points)
+    own = at[fast]
+    body = np.empty((len(points), 44), np.uint8)
+    body[:, :4] = np.frombuffer(struct.pack("<i", 5), np.uint8)
+    body[:, 4:36] = boxes.view(np.uint8)
+    body[:, 36:] = np.column_stack([parts, points]).astype("<i4").view(np.uint8)
+    out[own[:, None] + np.arange(44)] = body
+    name = (np.cumsum(fast) - 1)[row]  # a ring's record among the fast ones
+    place = np.arange(len(row)) - (np.cumsum(parts) - parts)[name]
+    first = (np.cumsum(npts) - npts) - (np.cumsum(points) - points)[name]
+    out[(own[name] + 44 + 4 * place)[:, None] + np.arange(4)] = np.ascontiguousarray(first, "<i4").view(np.uint8).reshape(-1, 4)
+    to = own[name[of]] + 44 + 4 * parts[name[of]] + 16 * (first[of] + j)
+    out[to[:, None] + np.arange(16)] = np.ascontiguousarray(xy, "<f8").view(np.uint8).reshape(-1, 16)
+    for i, (_, content, _) in slow.items():
+        out[at[i] : at[i] + size[i]] = np.frombuffer(content, np.uint8)
+    kinds = {kind for kind, _, _ in slow.values() if kind} | ({5} if len(points) else set())
+    return out, size, kinds, np.array([*boxes, *(box for _, _, box in slow.values() if box)]).reshape(-1, 4)
+
+
+class _Layer:
+    """The files of a layer while its rows arrive: records, index and attributes lie in a local folder until lengths and
+    field widths are known, which stand first in the files."""
+
+    def __init__(self, folder: str):
+        self.base = f"{folder}/{uuid.uuid4().hex}"
+        self.rows, self.pos, self.kinds, self.specs = 0, 100, set(), None
+        self.box = np.array([np.inf, np.inf, -np.inf, -np.inf])
+        self.waiting: list = []
+        self.waiting_bytes = 0
+
+    def add(self, geoms: pa.Array, columns: dict) -> None:
+        specs = [_dbf_spec(nm, columns[nm]) for nm in columns]
+        self.specs = [(*a[:2], max(a[2], b[2]), a[3]) for a, b in zip(self.specs or specs, specs, strict=True)]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(geoms), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        with open(f"{self.base}.shp", "ab") as shp, open(f"{self.base}.shx", "ab") as shx, open(f"{self.base}.dbf", "ab") as dbf:
+            i = 0
+            while i < len(geoms):
+                k = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + ENCODE_BYTES, "right")))
+                records, size, kinds, boxes = _shp_records(geoms.slice(i, k - i), self.rows + i)
+                at = self.pos + np.cumsum(8 + size) - 8 - size
+                self.pos += len(records)
+                if self.pos // 2 >= 1 << 31:
+                    raise ValueError("shp: a file holds less than 4 GB")
+                shp.write(records)
+                shx.write(np.column_stack([at // 2, size // 2]).astype(">i4").tobytes())
+                self.kinds |= kinds
+                if len(boxes):
+                    self.box = np.concatenate([np.minimum(self.box[:2], boxes[:, :2].min(axis=0)), np.maximum(self.box[2:], boxes[:, 2:].max(axis=0))])
+                i = k
+            if columns:
+                rows = pa.record_batch(list(columns.values()), names=list(columns))
+                with pa.ipc.new_stream(dbf, rows.schema) as stream:
+                    stream.write_batch(rows)
+        self.rows += len(geoms)
+
+    def _attributes(self):
+        yield _dbf_head(self.specs or [], self.rows)
+        size = os.path.getsize(f"{self.base}.dbf")
+        with pa.OSFile(f"{self.base}.dbf") as f:
+            while f.tell() < size:
+                for rows in pa.ipc.open_stream(f):
+                    for i in range(0, rows.num_rows, 50_000):
+                        part = rows.slice(i, 50_000)
+                        yield _dbf_rows(dict(zip(part.schema.names, part.columns, strict=True)), self.specs)
+        yield b"\x1a"
+
+    def _file(self, suffix: str, length: int):
+        box = self.box if np.isfinite(self.box).any() or self.kinds else np.zeros(4)
+        yield (struct.pack(">7i", 9994, 0, 0, 0, 0, 0, length // 2)
+               + struct.pack("<2i4d4d", 1000, max(self.kinds) if self.kinds else 5, *box, 0, 0, 0, 0))
+        with open(self.base + suffix, "rb") as f:
+            while chunk := f.read(8 << 20):
+                yield chunk
+
+    def close(self, stem: str, prj: str | None) -> None:
+        """Write ``stem.shp/.shx/.dbf/.cpg`` (and ``.prj``)."""
+        fs.write_chunks(stem + ".shp", self._file(".shp", self.pos))
+        fs.write_chunks(stem + ".shx", self._file(".shx", 100 + 8 * self.rows))
+        fs.write_chunks(stem + ".dbf", self._attributes())
+        fs.write_bytes(stem + ".cpg", b"UTF-8")
+        if prj:
+            fs.write_bytes(stem + ".prj", prj.encode("utf-8"))
+        for suffix in (".shp", ".shx", ".dbf"):
+            os.unlink(self.base + suffix)
+
+
 def write_shapefile(stem: str, geoms: list, columns: dict, prj: str | None = None) -> None:
     """Write ``stem.shp/.shx/.dbf/.cpg`` (and ``.prj``) for one layer."""
-    recs, kinds, boxes = [], set(), []
-    for gb in geoms:
-        kind, body, box = _shp_record(gb)
-        recs.append(body)
-        if kind:
-            kinds.add(kind)
-        if box:
-            boxes.append(box)
-    kind = max(kinds) if kinds else 5
-    allb = np.array(boxes) if boxes else np.zeros((1, 4))
-    fbox = (allb[:, 0].min(), allb[:, 1].min(), allb[:, 2].max(), allb[:, 3].max())
-    shp, shx = [], []
-    pos = 100
-    for i, body in enumerate(recs):
-        shp.append(struct.pack(">2i", i + 1, len(body) // 2) + body)
-        shx.append(struct.pack(">2i", pos // 2, len(body) // 2))
-        pos += 8 + len(body)
-
-    def header(length_bytes):
-        return (struct.pack(">7i", 9994, 0, 0, 0, 0, 0, length_bytes // 2)
-                + struct.pack("<2i4d4d", 1000, kind, *fbox, 0, 0, 0, 0))
-
-    fs.write_bytes(stem + ".shp", header(pos) + b"".join(shp))
-    fs.write_bytes(stem + ".shx", header(100 + 8 * len(recs)) + b"".join(shx))
-    fs.write_bytes(stem + ".dbf", write_dbf(columns))
-    fs.write_bytes(stem + ".cpg", b"UTF-8")
-    if prj:
-        fs.write_bytes(stem + ".prj", prj.encode("utf-8"))
+    with tempfile.TemporaryDirectory() as folder:
+        layer = _Layer(folder)
+        layer.add(pa.array(geoms, pa.binary()), columns)
+        layer.close(stem, prj)
 
 
 class ShapefileWriter(DataSourceArrowWriter):
     """Each task writes its rows as ``<path>/<partitionBy value>/<layer>.shp``.
 
     Rows of one ``partitionBy`` value must sit in one task (``repartition`` on
-    it first).  Files go to a task folder under ``_temporary`` and are moved
-    into place by the driver's ``commit``; ``abort`` removes them.
+    it first).  A task holds some megabytes of rows: they are encoded as they
+    arrive, into files in the executor's local folder.  Finished files go to a
+    task folder under ``_temporary`` and are moved into place by the driver's
+    ``commit``; ``abort`` removes them.
     """
 
     def __init__(self, options, schema, overwrite):
@@ -567,32 +687,53 @@ class ShapefileWriter(DataSourceArrowWriter):
         self.geom = self.options.get("geometry", "geometry")
         self.job = self.options.get("jobId") or uuid.uuid4().hex
 
+    def _groups(self, rows: pa.RecordBatch):
+        if not self.part_col:
+            yield None, rows
+            return
+        keys = rows.column(self.part_col).dictionary_encode()
+        number = pc.fill_null(keys.indices, -1).to_numpy(zero_copy_only=False)
+        values, first = np.unique(number, return_index=True)
+        for v in values[np.argsort(first)].tolist():
+            yield None if v < 0 else keys.dictionary[v].as_py(), rows.take(pa.array(np.flatnonzero(number == v)))
+
     def write(self, iterator):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
         task = f"{ctx.partitionId() if ctx else 0}-{uuid.uuid4().hex[:8]}"
-        batches = list(iterator)
-        if not batches:
-            return _Written([])
-        table = pa.Table.from_batches(batches)
         drop = {self.geom, "bbox", self.part_col}
-        attrs = [c for c in table.column_names if c not in drop]
-        groups = {None: np.arange(table.num_rows)}
-        if self.part_col:
-            keys = table.column(self.part_col).to_pylist()
-            groups = {}
-            for i, k in enumerate(keys):
-                groups.setdefault(k, []).append(i)
+        layers: dict = {}
+
+        def encode(layer):
+            rows = pa.Table.from_batches(layer.waiting).combine_chunks()
+            columns = {c: batch.as_array(rows.column(c)) for c in rows.column_names if c not in drop}
+            layer.add(batch.as_array(rows.column(self.geom)), columns)
+            layer.waiting, layer.waiting_bytes = [], 0
+
         written = []
         tmp_root = f"{self.path}/_temporary/{self.job}/{task}"
-        for key, rows in groups.items():
-            sub = table.take(pa.array(rows, type=pa.int64()))
-            rel = f"{key}/{self.layer}" if self.part_col else f"part-{task}/{self.layer}"
-            geoms = sub.column(self.geom).to_pylist()
-            cols = {c: sub.column(c).combine_chunks() for c in attrs}
-            write_shapefile(f"{tmp_root}/{rel}", geoms, cols, self.options.get("prj"))
-            written.append(rel)
+        # the executor's folder for shuffle files is where a task may put much data
+        with tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as folder:
+            for rows in iterator:
+                for key, some in self._groups(rows):
+                    if key not in layers:
+                        layers[key] = _Layer(folder)
+                    layer = layers[key]
+                    layer.waiting.append(some)
+                    layer.waiting_bytes += some.nbytes
+                    if layer.waiting_bytes > LAYER_BYTES:
+                        encode(layer)
+                if sum(x.waiting_bytes for x in layers.values()) > TASK_BYTES:
+                    for layer in layers.values():
+                        if layer.waiting:
+                            encode(layer)
+            for key, layer in layers.items():
+                if layer.waiting:
+                    encode(layer)
+                rel = f"{key}/{self.layer}" if self.part_col else f"part-{task}/{self.layer}"
+                layer.close(f"{tmp_root}/{rel}", self.options.get("prj"))
+                written.append(rel)
         return _Written([(tmp_root, rel) for rel in written])
 
     def commit(self, messages):
