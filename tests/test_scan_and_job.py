@@ -207,6 +207,18 @@ def test_results_are_in_order_of_location(spark):
         assert rows == sorted(rows)
 
 
+def test_rows_at_one_location_are_dealt_over_several_ranges(spark):
+    same = F.lit(None).cast("string").alias("geom_hash")
+    for grid in (F.lit(7), F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id") % 3 + 5), F.when(F.col("id") % 8 == 0, F.col("id")).otherwise(F.lit(1 << 30))):
+        df = spark.range(0, 20_000, numPartitions=3).select("id", same, grid.cast("long").alias("grid_hash"))
+        out = job.location_ordered(df, sample=df.select("geom_hash", "grid_hash"), ranges=8)
+        rows = [(-1 if r.grid_hash is None else r.grid_hash, r.p) for r in out.select("grid_hash", F.spark_partition_id().alias("p")).collect()]
+        assert len(rows) == 20_000 and rows == sorted(rows)
+        assert max(sum(p == k for _, p in rows) for k in range(8)) < 5_000
+    few = spark.range(3).select("id", same, F.lit(1).cast("long").alias("grid_hash"))
+    assert job.location_ordered(few, sample=few.limit(0), ranges=8).count() == job.location_ordered(few, sample=few, ranges=1).count() == 3
+
+
 def test_counts_come_with_the_writes(spark, tmp_path):
     root = catalog.full_shapefiles(spark, SF_SMALL)
     counts: dict = {}
